@@ -8,18 +8,19 @@ _STRICT = {
     "allowSingleQuotes": "false",
     "allowUnquotedFieldNames": "false",
     "allowUnquotedControlChars": "false",
-    "pathGlobFilter": "*.jsonl",
 }
 
 
-def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, bad_lines: str = "fail") -> DataFrame:
-    """Read files, or the ``*.jsonl`` of directories; blank lines are skipped.
+def read_jsonl(
+    spark: SparkSession, paths: str | list[str], schema: str, bad_lines: str = "fail", glob: str = "*.jsonl"
+) -> DataFrame:
+    """Read files, or those of directories that match ``glob``; blank lines are skipped.
 
     ``bad_lines``: ``fail`` stops the job, ``drop`` leaves the line out, ``keep``
     gives an all-null record that still counts (with ``_bad_line`` holding it).
     """
     paths = [paths] if isinstance(paths, str) else paths
-    reader = spark.read.options(**_STRICT)
+    reader = spark.read.options(**_STRICT, pathGlobFilter=glob)
     if bad_lines == "keep":
         full = T.StructType(T._parse_datatype_string(schema).fields + [T.StructField("_bad_line", T.StringType())])
         return reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad_line").schema(full).json(paths)
