@@ -2,7 +2,9 @@
 
 Spark's own JSON functions accept trailing words and single quotes, which
 changes which responses count as parsed, so response columns go through one
-vectorised function each. Everything after that stays native.
+vectorised function each. Everything after that stays native. The functions are
+declared non-deterministic for one reason: a filter on a parsed field must not
+be pushed below the parsing, which would parse every response twice.
 """
 
 import ast
@@ -60,7 +62,7 @@ def json_fields(col: Column, *names: str) -> Column:
             out[n] = [None if o is None else _shown(o.get(n, "")) for o in objects]
         return pd.DataFrame(out)
 
-    return parse(col)
+    return parse.asNondeterministic()(col)
 
 
 def json_list_size(col: Column, name: str) -> Column:
@@ -74,7 +76,7 @@ def json_list_size(col: Column, name: str) -> Column:
 
         return pd.Series([one(r) for r in raw], dtype="Int64")
 
-    return size(col)
+    return size.asNondeterministic()(col)
 
 
 def _last_flat_block(raw: str):
@@ -143,7 +145,7 @@ def parse_last_block(col: Column, balanced: bool = False) -> Column:
     def parse(raw: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(r) for r in raw], columns=schema.names)
 
-    return parse(col)
+    return parse.asNondeterministic()(col)
 
 
 def printed_list(col: Column) -> Column:
@@ -163,4 +165,4 @@ def printed_list(col: Column) -> Column:
     def parse(raw: pd.Series) -> pd.Series:
         return pd.Series([one(r) for r in raw], dtype=object)
 
-    return parse(col)
+    return parse.asNondeterministic()(col)

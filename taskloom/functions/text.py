@@ -1,19 +1,35 @@
 """Whitespace, line and token helpers, all native Catalyst expressions.
 
-Spark's ``trim`` removes plain spaces only, and Java's ``\\s`` is ASCII unless
-``(?U)`` is set, so stripping and splitting go through explicit classes that
-cover Unicode white space plus the separators U+001C..U+001F. The patterns are
-possessive and anchored so that long runs stay linear.
+White space means Unicode white space plus the separators U+001C..U+001F.
+Spark's ``trim`` removes plain spaces unless it is given a set, and Java's
+``\\s`` is ASCII unless ``(?U)`` is set. The patterns are possessive and
+anchored so that long runs stay linear.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"\s\x1c-\x1f"
-_EDGES = rf"(?U)\A[{WS}]++|(?<![{WS}])[{WS}]++\z"
+# The white space characters that stripping removes.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _TOKEN = rf"(?U)[^{WS}]++"
-# A token is looked at once, from its first character.
-_DIGIT_TOKEN = rf"(?U)(?<![^{WS}])[^{WS}\d]*+\d[^{WS}]*+"
+# From the first digit to the end of its token: one match per token with a digit.
+_DIGIT_TOKEN = rf"(?U)\d[^{WS}]*+"
+
+
+def computed_once(col: Column) -> Column:
+    """Fence around a costly column.
+
+    Catalyst copies a column's expression into every filter it pushes below the
+    projection, and filters share no subexpressions. A term that Spark treats as
+    non-deterministic (and that is always true) keeps the filter above, so the
+    column is computed once per row.
+    """
+    return F.when(F.spark_partition_id() >= 0, col)
 
 
 def text_or_empty(col: Column) -> Column:
@@ -22,7 +38,8 @@ def text_or_empty(col: Column) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, _EDGES, "")
+    """Looks at the edges only, unlike a regular expression."""
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def is_blank(col: Column) -> Column:
@@ -50,11 +67,12 @@ def lines(col: Column) -> Column:
 def occurrences(col: Column, needle: str) -> Column:
     """Non-overlapping substring count.
 
-    Works on byte lengths, which Spark keeps with each string, so a needle that
-    does not occur costs one scan and no copy.
+    Works on byte lengths, which Spark keeps with each string. ``contains``
+    scans faster than ``replace``, and most needles are absent.
     """
     removed = F.octet_length(col) - F.octet_length(F.replace(col, F.lit(needle), F.lit("")))
-    return (removed / F.lit(len(needle.encode("utf-8")))).cast("int")
+    count = (removed / F.lit(len(needle.encode("utf-8")))).cast("int")
+    return F.when(F.contains(col, F.lit(needle)), count).otherwise(0)
 
 
 def truncate(col: Column, n: int) -> Column:

@@ -26,11 +26,11 @@ def corpus_features(corpus: DataFrame) -> DataFrame:
     Adds text_len, token_count, digit_tokens, numeric_ratio, has_table,
     list_lines, line_count, list_density, temporal_score, spatial_score, is_prose.
     """
-    stripped = corpus.withColumn("text", t.strip(t.text_or_empty(F.col("text"))))
-    lowered = stripped.withColumn("_lower", F.lower("text"))
+    stripped = corpus.withColumn("text", t.computed_once(t.strip(t.text_or_empty(F.col("text")))))
+    lowered = stripped.withColumn("_lower", t.computed_once(F.lower("text")))
     measured = lowered.select(
         "*",
-        F.length("text").alias("text_len"),
+        t.computed_once(F.length("text")).alias("text_len"),
         t.token_count(F.col("_lower")).alias("token_count"),
         t.digit_token_count(F.col("_lower")).alias("digit_tokens"),
         F.col("text").rlike(_TABLE).alias("has_table"),
@@ -97,15 +97,32 @@ def classified_corpus(
     )
 
 
+def corpus_texts(classified: DataFrame, corpus_id: str, max_len: int = 4096) -> DataFrame:
+    """corpus_id → text for pairing; empty texts are dropped."""
+    kept = classified.where(~t.is_blank(F.col("text")))
+    return kept.select(
+        F.col(corpus_id).alias("corpus_id"), t.truncate(t.strip(F.col("text")), max_len).alias("corpus_text")
+    )
+
+
+def type_listing(classified: DataFrame, corpus_id: str) -> DataFrame:
+    """One narrow row per (text, listed type); ``slot`` is the place in the list, so repeats stay.
+
+    Reads no text: use it on tables whose empty texts are already dropped.
+    """
+    rows = classified.select(F.col(corpus_id).alias("corpus_id"), F.posexplode("suitable_types").alias("slot", "_type"))
+    typed = rows.withColumn("type_id", F.col("_type").try_cast("int")).drop("_type")
+    return typed.where(F.col("type_id").between(1, 5))
+
+
 def type_buckets(classified: DataFrame, corpus_id: str, max_len: int = 4096) -> DataFrame:
-    """One row per (text, listed type); ``slot`` is the place in the list, so repeats stay."""
+    """The buckets with their texts: one row per (text, listed type)."""
     kept = classified.where(~t.is_blank(F.col("text")))
+    text = t.truncate(t.strip(F.col("text")), max_len).alias("corpus_text")
     rows = kept.select(
-        F.col(corpus_id).alias("corpus_id"),
-        t.truncate(t.strip(F.col("text")), max_len).alias("corpus_text"),
-        F.posexplode("suitable_types").alias("slot", "_type"),
+        F.col(corpus_id).alias("corpus_id"), text, F.posexplode("suitable_types").alias("slot", "_type")
     )
-    typed = rows.withColumn("type_id", F.expr("try_cast(_type as int)")).drop("_type")
+    typed = rows.withColumn("type_id", F.col("_type").try_cast("int")).drop("_type")
     return typed.where(F.col("type_id").between(1, 5))
 
 

@@ -1,15 +1,17 @@
 """Typed pairing: k seeded draws per problem from the texts of its type."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.functions.hashing import md5_bucket, md5_int, md5_key
 from taskloom.functions.text import strip
-from taskloom.operators.numbering import dense_ordinal, number_rows, top_per_key
+from taskloom.operators.numbering import dense_ordinal, lookup_join, number_rows, top_per_key
 
 DEFAULT_TYPE = 3
 ANY_TYPE = 0
-SMALL_POOL = 256  # rows; with texts of 4096 characters at most, six pools stay near 25 MB
+SMALL_POOL = 10_000  # ids; the six pools stay below 2 MB
 
 
 def resolve_type(col: Column) -> Column:
@@ -18,9 +20,9 @@ def resolve_type(col: Column) -> Column:
     return F.when(number.between(1, 5), number).otherwise(DEFAULT_TYPE)
 
 
-def pool_sizes(buckets: DataFrame) -> dict[int, int]:
+def pool_sizes(listing: DataFrame) -> dict[int, int]:
     """Entries per type: five numbers at most reach the driver."""
-    return {r["type_id"]: r["n"] for r in buckets.groupBy("type_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {r["type_id"]: r["n"] for r in listing.groupBy("type_id").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def route_problems(problems: DataFrame, sizes: dict[int, int], strict: bool = False) -> DataFrame:
@@ -39,35 +41,36 @@ def pair_stats(problems: DataFrame, sizes: dict[int, int], strict: bool = False)
     return routed.groupBy(label.alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pools(buckets: DataFrame, with_any: bool, seed: int) -> DataFrame:
+def _rings(listing: DataFrame, with_any: bool, seed: int) -> DataFrame:
     """Entries with a dense position per pool, in hash order."""
-    entry = buckets.withColumn("_h", md5_key(F.lit(seed), F.col("type_id"), F.col("corpus_id"), F.col("slot")))
-    own = entry.withColumn("pool", F.col("type_id"))
+    entry = listing.withColumn("_h", md5_key(F.lit(seed), F.col("type_id"), F.col("corpus_id"), F.col("slot")))
     if with_any:
-        pools = F.array(F.col("type_id"), F.lit(ANY_TYPE))
-        own = entry.withColumn("pool", F.explode(pools))
-    own = own.drop("type_id")
-    ranked = number_rows(own, ["pool"], ["_h", "corpus_id", "slot"], md5_bucket(F.col("_h"), 3), "pool_pos")
-    return ranked.drop("_h", "slot")
+        entry = entry.withColumn("pool", F.explode(F.array(F.col("type_id"), F.lit(ANY_TYPE))))
+    else:
+        entry = entry.withColumn("pool", F.col("type_id"))
+    entry = entry.select("pool", "corpus_id", "slot", "_h")
+    ring = number_rows(entry, ["pool"], ["_h", "corpus_id", "slot"], md5_bucket(F.col("_h"), 3), "pool_pos")
+    return ring.select("pool", "pool_pos", "corpus_id")
 
 
-def typed_pairs(
+def typed_picks(
     problems: DataFrame,
-    buckets: DataFrame,
+    listing: DataFrame,
     k: int = 1,
     seed: int = 42,
     strict: bool = False,
     sizes: dict[int, int] | None = None,
     small_pool: int = SMALL_POOL,
 ) -> DataFrame:
-    """``k`` texts per problem, without repeats until the whole pool was used once.
+    """``k`` corpus ids per problem, without repeats until the whole pool was used once.
 
     Each pool is a ring in hash order; a problem starts at its own hashed place
     and takes consecutive entries, with a new start for each pass over the pool.
-    The join key (pool, position) is near uniform for large pools; pools below
-    ``small_pool`` rows, whose keys would be hot, are broadcast instead.
+    Only ids are numbered and joined. The join key (pool, position) is near
+    uniform for large pools; the rings of pools up to ``small_pool`` entries,
+    whose keys would be hot, are broadcast (at most 6 x ``small_pool`` ids).
     """
-    sizes = pool_sizes(buckets) if sizes is None else sizes
+    sizes = pool_sizes(listing) if sizes is None else sizes
     routed = route_problems(problems, sizes, strict).where("route <> 'skipped'")
     uses_any = not strict and any(sizes.get(i, 0) == 0 for i in range(1, 6))
     pool_n = {**sizes, ANY_TYPE: sum(sizes.values())}
@@ -82,20 +85,34 @@ def typed_pairs(
         .withColumn("pool_pos", F.pmod(F.pmod("_start", "_n") + F.pmod("sample_idx", "_n"), F.col("_n")))
         .drop("_pass", "_start", "_n")
     )
-    texts = _pools(buckets, uses_any, seed)
-    small = [p for p, n in pool_n.items() if 0 < n <= small_pool]
-    large = [p for p, n in pool_n.items() if n > small_pool and (p != ANY_TYPE or uses_any)]
-    pairs = None
-    for pools, hint in ((large, None), (small, "broadcast")):
-        if not pools:
-            continue
-        side = texts.where(F.col("pool").isin(*pools))
-        side = side.hint(hint) if hint else side
-        part = draws.where(F.col("pool").isin(*pools)).join(side, ["pool", "pool_pos"])
-        pairs = part if pairs is None else pairs.unionByName(part)
-    if pairs is None:  # no corpus at all: every problem is skipped
-        pairs = draws.where(F.lit(False)).join(texts, ["pool", "pool_pos"])
-    return pairs
+    rings = _rings(listing, uses_any, seed)
+    live = [p for p, n in pool_n.items() if n > 0 and (p != ANY_TYPE or uses_any)]
+    small = [p for p in live if pool_n[p] <= small_pool]
+    large = [p for p in live if pool_n[p] > small_pool]
+    parts = []
+    if large:
+        chosen = F.col("pool").isin(*large)
+        parts.append(draws.where(chosen).join(rings.where(chosen), ["pool", "pool_pos"]))
+    if small:
+        chosen = F.col("pool").isin(*small)
+        parts.append(draws.where(chosen).join(F.broadcast(rings.where(chosen)), ["pool", "pool_pos"]))
+    if not parts:  # no corpus at all: every problem is skipped
+        return draws.where(F.lit(False)).join(rings, ["pool", "pool_pos"]).drop("pool", "pool_pos")
+    return reduce(DataFrame.unionByName, parts).drop("pool", "pool_pos")
+
+
+def typed_pairs(
+    problems: DataFrame, listing: DataFrame, texts: DataFrame, k: int = 1, hot_rows: int = 1_000_000, **options
+) -> DataFrame:
+    """Problems with the texts of their picks; ``texts`` has one row per corpus_id.
+
+    A text that many problems pick (a small pool) is a hot key of this join.
+    """
+    sizes = options.pop("sizes", None) or pool_sizes(listing)
+    picks = typed_picks(problems, listing, k, sizes=sizes, **options)
+    # The same picks without the problem columns, to count on.
+    keys = typed_picks(problems.select("id", "type_level1"), listing, k, sizes=sizes, **options)
+    return lookup_join(picks, texts, ["corpus_id"], ["id", "sample_idx"], "inner", hot_rows, hot_from=keys)
 
 
 def segment_sample(df: DataFrame, seq: str, key: str, seed: int = 42, size: int = 500) -> DataFrame:

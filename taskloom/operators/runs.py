@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskloom.functions.text import is_blank, lines, strip, text_or_empty
+from taskloom.functions.text import computed_once, is_blank, lines, strip, text_or_empty
 
 MARK = "[TRACE]"
 MAX_TRACE_LINES = 20
@@ -26,9 +26,10 @@ def _is_trace(line: Column) -> Column:
 def split_trace(runs: DataFrame, col: str = "stdout") -> DataFrame:
     """Add ``traces`` (stripped, in order) and ``actual_output`` (the rest, stripped)."""
     out = lines(text_or_empty(F.col(col)))
-    return runs.withColumn("traces", F.transform(F.filter(out, _is_trace), strip)).withColumn(
-        "actual_output", strip(F.array_join(F.filter(out, lambda x: ~_is_trace(x)), "\n"))
-    )
+    rows = runs.withColumn("_lines", computed_once(out))
+    return rows.withColumn("traces", computed_once(F.transform(F.filter("_lines", _is_trace), strip))).withColumn(
+        "actual_output", computed_once(strip(F.array_join(F.filter("_lines", lambda x: ~_is_trace(x)), "\n")))
+    ).drop("_lines")
 
 
 def output_match(runs: DataFrame) -> DataFrame:
@@ -64,10 +65,12 @@ def run_funnel(jobs: DataFrame) -> DataFrame:
 
 
 def trace_events(runs: DataFrame) -> DataFrame:
-    """One row per trace line: label and key/value map. The last of a repeated key wins."""
+    """One row per trace line: label, key/value pairs and the same as a map.
+
+    The last of a repeated key wins.
+    """
     rows = runs.select("seq", "problem_id", F.posexplode("traces").alias("line_no", "line"))
     body = strip(F.substring(F.col("line"), len(MARK) + 1, 2_147_483_647))
-    parts = F.split(F.col("body"), r"\s\|\s", -1)
     pair = lambda p: F.struct(
         strip(F.substring_index(p, "=", 1)).alias("key"),
         strip(F.substring(p, F.locate("=", p) + 1, F.length(p))).alias("value"),
@@ -79,12 +82,12 @@ def trace_events(runs: DataFrame) -> DataFrame:
         return ~F.exists(later, lambda q: q["key"] == p["key"])
 
     return (
-        rows.withColumn("body", body)
-        .withColumn("_parts", parts)
+        rows.withColumn("_parts", computed_once(F.split(body, r"\s\|\s", -1)))
         .withColumn("label", strip(F.element_at("_parts", 1)))
-        .withColumn("_pairs", F.transform(with_eq, pair))
-        .withColumn("fields", F.map_from_entries(F.filter("_pairs", last_of_key)))
-        .drop("body", "_parts", "_pairs")
+        .withColumn("_pairs", computed_once(F.transform(with_eq, pair)))
+        .withColumn("pairs", computed_once(F.filter("_pairs", last_of_key)))
+        .withColumn("fields", F.map_from_entries("pairs"))
+        .drop("_parts", "_pairs")
     )
 
 
@@ -94,7 +97,7 @@ def _at(events: DataFrame) -> DataFrame:
 
 def trace_key_stats(events: DataFrame) -> DataFrame:
     """Per problem, label and key: occurrences, first and last value in run order."""
-    rows = _at(events).select("problem_id", "label", "_at", F.explode("fields").alias("key", "value"))
+    rows = _at(events).select("problem_id", "label", "_at", F.inline("pairs"))
     return rows.groupBy("problem_id", "label", "key").agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by("value", "_at").alias("first_value"),
@@ -105,7 +108,7 @@ def trace_key_stats(events: DataFrame) -> DataFrame:
 def trace_label_stats(events: DataFrame) -> DataFrame:
     """Per problem and label: events and distinct keys, pre-grouped by key."""
     pair = ["problem_id", "label"]
-    keys = events.select(*pair, F.explode(F.map_keys("fields")).alias("key")).groupBy(*pair, "key").agg(F.count(F.lit(1)))
+    keys = events.select(*pair, F.inline("pairs")).groupBy(*pair, "key").agg(F.count(F.lit(1)))
     distinct = keys.groupBy(*pair).agg(F.count(F.lit(1)).alias("distinct_keys"))
     counted = events.groupBy(*pair).agg(F.count(F.lit(1)).alias("events"))
     return counted.join(distinct, pair, "left").withColumn("distinct_keys", F.coalesce("distinct_keys", F.lit(0)))

@@ -13,7 +13,7 @@ from taskloom.functions.strict_json import json_fields, parse_last_block
 from taskloom.operators import checks, corpus, exchange, export, joins, pairing, responses, runs, shape, sharding
 from taskloom.plans import fixtures
 from taskloom.prompts import STAGES
-from taskloom.session import scratch_path
+from taskloom.session import scratch_path, written
 from taskloom.sources import jsonl, shards
 from taskloom.streaming import intake
 
@@ -37,9 +37,13 @@ class Inputs:
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
 
+    @cached_property
+    def features(self) -> DataFrame:
+        return corpus.corpus_features(jsonl.spread(self.corpus_raw, "doc_id"))
+
     @cached_property
     def hinted(self) -> DataFrame:
-        return corpus.rule_hints(corpus.corpus_features(self.corpus_raw))
+        return corpus.rule_hints(self.features)
 
     @cached_property
     def classified(self) -> DataFrame:
@@ -52,6 +56,20 @@ class Inputs:
         kept = corpus.rule_filter(self.hinted).withColumn("suitable_types", F.col("rule_hints"))
         return corpus.type_buckets(kept, "doc_id")
 
+    @cached_property
+    def ruled(self) -> DataFrame:
+        """Hinted texts as a written table, which pairing reads several times."""
+        kept = corpus.rule_filter(self.hinted).select("doc_id", "text", F.col("rule_hints").alias("suitable_types"))
+        return written(kept, "ruled")
+
+    @cached_property
+    def listing(self) -> DataFrame:
+        return corpus.type_listing(self.ruled, "doc_id")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        return corpus.corpus_texts(self.ruled, "doc_id")
+
     @cached_property
     def templates(self) -> DataFrame:
         return responses.story_templates(self.stories)
@@ -86,12 +104,13 @@ def _big(col: str):
 
 @query
 def read_jsonl(x: Inputs) -> DataFrame:
-    """Classified lines written as JSON text, read back with broken lines dropped."""
+    """Response lines written as text and read as JSON lines; bad lines are kept as empty records."""
     path = x.scratch("jsonl")
     x.corpus_responses.select(F.col("raw").alias("value")).write.text(path)
     found = jsonl.read_jsonl(x.spark, path, "suitable_types array<string>, reasons map<string,string>", "keep", "*.txt")
-    bad = F.col("_bad_line").isNotNull()
-    return found.groupBy(bad.alias("bad_line")).agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(
+        F.col("_bad_line").isNotNull().alias("bad_line"), F.array_join("suitable_types", ",").alias("types")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -104,7 +123,7 @@ def read_shards(x: Inputs) -> DataFrame:
 @query
 def union_inputs(x: Inputs) -> DataFrame:
     return shards.union_inputs(
-        x.eval_cases.select("problem_id", "source", "input"), x.trace_runs.select("problem_id", "input", "seq")
+        x.eval_cases.select("problem_id", "source", "input"), x.trace_runs.select("problem_id", "input")
     )
 
 
@@ -171,7 +190,7 @@ def _known_solutions(x: Inputs) -> DataFrame:
 
 @query
 def solution_rows(x: Inputs) -> DataFrame:
-    return shape.solution_rows(x.qa).select("id", "pos", "source", "og_source", "programmingLanguage", "submission_id")
+    return shape.solution_rows(x.qa).select("id", F.coalesce("pos", F.lit(-1)).alias("pos"), "source", "og_source", "programmingLanguage", "submission_id")
 
 
 @query
@@ -227,7 +246,7 @@ def text_truncate(x: Inputs) -> DataFrame:
 @query
 def corpus_features(x: Inputs) -> DataFrame:
     whole = ("text_len", "token_count", "digit_tokens", "list_lines", "line_count", "temporal_score", "spatial_score")
-    return corpus.corpus_features(x.corpus_raw).select(
+    return x.features.select(
         "doc_id", *[_big(c) for c in whole], "has_table", "numeric_ratio", "list_density", "is_prose"
     )
 
@@ -283,7 +302,7 @@ def resolve_type(x: Inputs) -> DataFrame:
 
 def _pairs(x: Inputs, k: int, **options) -> DataFrame:
     problems = x.qa.select("id", "type_level1")
-    return pairing.typed_pairs(problems, x.buckets, k, **options).select(
+    return pairing.typed_pairs(problems, x.listing, x.texts, k, **options).select(
         "id", _big("type_id"), "route", _big("sample_idx"), "corpus_id", "corpus_text"
     )
 
@@ -295,18 +314,19 @@ def typed_pairs(x: Inputs) -> DataFrame:
 
 @query
 def typed_pairs_cycled(x: Inputs) -> DataFrame:
-    """More draws than the small pools hold."""
-    return _pairs(x, 45).drop("corpus_text")
+    """More draws than the small pools hold; ids only."""
+    picks = pairing.typed_picks(x.qa.select("id", "type_level1"), x.listing, 45)
+    return picks.select("id", _big("type_id"), "route", _big("sample_idx"), "corpus_id")
 
 
 def _without_types(x: Inputs, *types: int) -> DataFrame:
-    return x.buckets.where(~F.col("type_id").isin(*types))
+    return x.listing.where(~F.col("type_id").isin(*types))
 
 
 @query
 def pair_fallback(x: Inputs) -> DataFrame:
     """Types 1 and 3 left empty, so their problems draw from all buckets."""
-    pairs = pairing.typed_pairs(x.qa.select("id", "type_level1"), _without_types(x, 1, 3), 2)
+    pairs = pairing.typed_picks(x.qa.select("id", "type_level1"), _without_types(x, 1, 3), 2)
     return pairs.select("id", _big("type_id"), "route", _big("sample_idx"), "corpus_id")
 
 
@@ -485,7 +505,7 @@ def generated_inputs(x: Inputs) -> DataFrame:
 
 @query
 def cot_fields(x: Inputs) -> DataFrame:
-    return x.cot_rows.select("eval_id", "parse_ok", "verified", _big("num_steps"), "reasoning", "mismatch_reason")
+    return x.cot_rows.select("eval_id", "parse_ok", "verified", F.coalesce("num_steps", F.lit(-1)).cast("bigint").alias("num_steps"), "reasoning", "mismatch_reason")
 
 
 # --- joins -------------------------------------------------------------------
@@ -653,8 +673,8 @@ def banned_terms(x: Inputs) -> DataFrame:
 
 @query
 def banned_question_terms(x: Inputs) -> DataFrame:
-    """Question rules over whole documents, one row per document and term."""
-    return checks.banned_terms(x.table("documents"), "text", lexicon.QUESTION_BANNED).select("doc_id", "term")
+    """Question rules over whole texts, one row per question and term."""
+    return checks.banned_terms(x.questions, "question", lexicon.QUESTION_BANNED).select("doc_id", "term")
 
 
 @query
@@ -696,7 +716,7 @@ def stage_yield(x: Inputs) -> DataFrame:
     typed = x.qa.select(pairing.resolve_type(F.col("type_level1")).alias("type_id"), "id", "type_level1")
     found = export.stage_yield({
         "problems": typed,
-        "pairs": pairing.typed_pairs(x.qa.select("id", "type_level1"), x.buckets, 3),
+        "pairs": pairing.typed_picks(x.qa.select("id", "type_level1"), x.listing, 3),
         "cases": x.fused,
         "matched": joins.trace_join(x.fused, x.trace_runs, x.codes),
         "verified": x.cot_rows.where("verified"),
@@ -707,7 +727,7 @@ def stage_yield(x: Inputs) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus features, hints, buckets, seeded pairs and rendered prompts."""
     x = Inputs(spark, sf_dir)
-    pairs = pairing.typed_pairs(x.qa.withColumn("problem", shape.problem_text()), x.buckets, 3)
+    pairs = pairing.typed_pairs(x.qa.withColumn("problem", shape.problem_text()), x.listing, x.texts, 3)
     prompt = exchange.render_prompt(STAGES["synthesize"].template, [
         ("type_id", F.col("type_id")), ("type_instruction", exchange.type_instruction(F.col("type_id"))),
         ("text", F.col("corpus_text")), ("problem", F.col("problem")),

@@ -181,6 +181,13 @@ def stories(d: Dialect) -> Parts:
     })]
 
 
+def questions(d: Dialect) -> Parts:
+    """Documents as question texts; some end in contest wording."""
+    tail = _pick("doc_id % 5", "' Given a positive integer n, print the answer.'", "' What was the total of that day?'",
+                 "' The Algorithm takes x_1 and i; mind the time complexity.'", "' See the Input format and the output formats.'", "''")
+    return [("documents", {"doc_id": "doc_id", "question": d.cat("text", tail)})]
+
+
 def _case(d: Dialect) -> dict[str, str]:
     source = _pick("event_id % 5", "'level_A'", "'level_B'", "'level_C'", "'official'", "'synthesized'")
     pid = d.cat("'p'", d.s("user_id % 45"))
@@ -326,7 +333,7 @@ def kernel_responses(d: Dialect) -> Parts:
 
 
 FIXTURES: dict[str, Callable[[Dialect], Parts]] = {f.__name__: f for f in (
-    corpus_raw, corpus_responses, qa, qa_twice, solutions, stories, eval_cases, executed_tests, done_keys,
+    corpus_raw, corpus_responses, qa, qa_twice, solutions, stories, questions, eval_cases, executed_tests, done_keys,
     runs, trace_runs, fused, cot, instrumented, printed_tests, classify_responses, kernel_responses,
 )}
 

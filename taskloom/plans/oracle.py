@@ -265,11 +265,12 @@ def _terms(source: str, key: str, col: str, words) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "read_jsonl": f"""SELECT doc_id % 9 IN (2, 3, 5, 7) AS bad_line, count(*) AS n FROM {fx('corpus_responses')} GROUP BY 1""",
+    "read_jsonl": f"""WITH {_EXPECTED} SELECT origin <> 'whole' AS bad_line, CASE WHEN origin = 'whole' THEN replace({ints('listed')}, 'True', 'true') END AS types,
+        count(*) AS n FROM expected GROUP BY 1, 2""",
     "read_shards": f"""WITH {_status_of(0)} SELECT eval_id, seq, (ord // ((n + 15) // 16))::bigint AS shard FROM ords
         WHERE ord // ((n + 15) // 16) BETWEEN 3 AND 9""",
-    "union_inputs": f"""SELECT problem_id, source, input, NULL::bigint AS seq FROM {fx('eval_cases')}
-        UNION ALL SELECT problem_id, NULL, input, seq FROM {fx('trace_runs')}""",
+    "union_inputs": f"""SELECT problem_id, source, input FROM {fx('eval_cases')}
+        UNION ALL SELECT problem_id, NULL, input FROM {fx('trace_runs')}""",
     "write_shards": f"""WITH {_status_of(0)} SELECT ({_SHARD7})::bigint AS shard, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM ords GROUP BY 1""",
     "append_jsonl": "SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark",
     "two_way_sink": f"""WITH {_FEATURES}, o AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS ord FROM hinted),
@@ -289,7 +290,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN len(accepted_solutions) > 0 THEN concat('Reference code (', coalesce(accepted_solutions[1]."programmingLanguage", 'Unknown'),
         '):', chr(10), coalesce(accepted_solutions[1].source, 'N/A')) ELSE 'None' END AS editorial FROM {fx('qa')}""",
     "solution_rows": f"""WITH q AS (SELECT id, unnest(CASE WHEN len(accepted_solutions) = 0 THEN [NULL] ELSE accepted_solutions END) AS s FROM {fx('qa')})
-        SELECT id, CASE WHEN s IS NOT NULL THEN 0::bigint END AS pos, s.source AS source, s.og_source AS og_source,
+        SELECT id, CASE WHEN s IS NOT NULL THEN 0 ELSE -1 END::bigint AS pos, s.source AS source, s.og_source AS og_source,
         s."programmingLanguage" AS "programmingLanguage", s.submission_id AS submission_id FROM q""",
     "expand_solutions": f"""WITH {_solutions(400, ('cpp', 'python', 'java'))} SELECT id, pos, code, language, submission_id,
         row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS solution_idx FROM kept""",
@@ -364,7 +365,7 @@ ORACLE: dict[str, str] = {
     "kernel_text": f"""SELECT id, CASE WHEN coalesce({_safe('raw', 'text')}, '') <> '' THEN {_safe('raw', 'text')} ELSE question END AS refined_question
         FROM {fx('kernel_responses')}""",
     "generated_inputs": f"WITH {_SUITES} SELECT suite, place, input, level FROM listed",
-    "cot_fields": f"WITH {_COT} SELECT eval_id, parse_ok, verified, num_steps, reasoning, mismatch_reason FROM cot",
+    "cot_fields": f"WITH {_COT} SELECT eval_id, parse_ok, verified, coalesce(num_steps, -1) AS num_steps, reasoning, mismatch_reason FROM cot",
     "round_robin_templates": f"""WITH {_STORIES},
         tpl AS (SELECT id, story_problem, story_input, row_number() OVER (PARTITION BY id ORDER BY seq) - 1 AS i,
           count(*) OVER (PARTITION BY id) AS m FROM stories WHERE story_origin IS NOT NULL),
@@ -397,7 +398,7 @@ ORACLE: dict[str, str] = {
     "run_funnel": f"""WITH {_MATCHED}, {_FIRST_CODE} SELECT CASE WHEN m.eval_id IN (SELECT eval_id FROM {fx('done_keys')}) THEN 'done'
         WHEN c.code IS NULL THEN 'no_code' WHEN NOT success THEN 'fail' WHEN output_matched THEN 'success' ELSE 'mismatch' END AS run_status,
         count(*) AS n FROM matched m LEFT JOIN codes c ON c.id = m.problem_id GROUP BY 1""",
-    "trace_events": f"""WITH {_EVENTS} SELECT e.seq, e.line_no, e.label, coalesce(string_agg(concat(p.key, '=', p.value), ';' ORDER BY p.key), '') AS fields
+    "trace_events": f"""WITH {_EVENTS} SELECT e.seq, e.line_no, e.label, coalesce(string_agg(CASE WHEN p.key IS NOT NULL THEN concat(p.key, '=', p.value) END, ';' ORDER BY p.key), '') AS fields
         FROM events_out e LEFT JOIN pairs_last p USING (seq, line_no) GROUP BY 1, 2, 3""",
     "trace_key_stats": f"""WITH {_EVENTS} SELECT problem_id, label, key, count(*) AS n, arg_min(value, (seq, line_no)) AS first_value,
         arg_max(value, (seq, line_no)) AS last_value FROM pairs_last GROUP BY 1, 2, 3""",
@@ -417,7 +418,7 @@ ORACLE: dict[str, str] = {
         f AS (SELECT seq, len(v) AS value_count, len(list_filter(v, lambda q: regexp_matches(problem, concat('(^|\\W)', q, '(\\W|$)')))) AS values_found FROM c)
         SELECT *, values_found / greatest(value_count, 1) AS coverage FROM f""",
     "banned_terms": f"WITH {_COT} {_terms('cot', 'eval_id', 'reasoning', lexicon.REASONING_BANNED)}",
-    "banned_question_terms": _terms("documents", "doc_id", "text", lexicon.QUESTION_BANNED),
+    "banned_question_terms": _terms(fx("questions"), "doc_id", "question", lexicon.QUESTION_BANNED),
     "step_check": f"""WITH {_COT}, s AS (SELECT *, list_transform(regexp_extract_all(reasoning, '(?m)^Step (\\d+):', 1), lambda q: q::bigint) AS steps FROM cot WHERE verified)
         SELECT eval_id, len(steps) AS steps_found, CASE WHEN len(steps) = 0 THEN 'no_steps' WHEN steps <> range(1, len(steps) + 1) THEN 'gap'
         WHEN num_steps IS DISTINCT FROM len(steps) THEN 'wrong_count' ELSE 'ok' END AS step_status FROM s""",
