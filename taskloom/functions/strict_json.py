@@ -1,46 +1,45 @@
-"""Strict JSON over Arrow batches.
+"""Strict JSON out of response columns, natively where possible.
 
-Spark's own JSON functions accept trailing words and single quotes, which
-changes which responses count as parsed, so response columns go through one
-vectorised function each. Everything after that stays native. The functions are
-declared non-deterministic for one reason: a filter on a parsed field must not
-be pushed below the parsing, which would parse every response twice.
+Spark's parser stops at the closing brace, so ``{"a": 1} and more`` would pass.
+Wrapped in brackets it does not: the text must then be exactly one array item.
+Single quotes, bare names and raw control characters are off, so a text is
+accepted when a strict JSON parser accepts it as one object.
+
+Only two things need Python (Arrow-batched): lists in Python notation, and the
+optional search for the last *balanced* object.
 """
 
 import ast
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FLAT_BLOCK = re.compile(r"\{[^{}]*\}")
-
-
-def _object(raw):
-    """The parsed object, or None for anything that is not one JSON object."""
-    try:
-        value = json.loads(raw)
-    except (TypeError, ValueError, RecursionError):
-        return None
-    return value if isinstance(value, dict) else None
+from taskloom.functions.text import computed_once, strip, text_or_empty
 
+STRICT = {
+    "mode": "PERMISSIVE",
+    "allowSingleQuotes": "false",
+    "allowUnquotedFieldNames": "false",
+    "allowUnquotedControlChars": "false",
+    "maxStringLen": "2147483647",
+}
+_TEXTS = T.ArrayType(T.StringType())
+_NAMED = T.MapType(T.StringType(), T.StringType())
+_FLAT_BLOCK = r"\{[^{}]*\}"
 
-def _utf8(text: str) -> str:
-    """A lone surrogate cannot leave Python as UTF-8; it becomes ``?``."""
-    try:
-        text.encode("utf-8")
-    except UnicodeEncodeError:
-        return text.encode("utf-8", "replace").decode("utf-8")
-    return text
 
+def one_object(text: Column) -> Column:
+    """The text as one object: map of names to strings, nested values as JSON text.
 
-def _shown(value):
-    if value is None:
-        return None
-    return _utf8(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
+    Null if it is anything else. A string map takes every kind of value, so only
+    broken JSON fails, not an unexpected type.
+    """
+    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", STRICT)
+    single = F.transform(F.array(wrapped), lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))))
+    return F.when(F.startswith(strip(text), F.lit("{")), F.get(single, F.lit(0)))
 
 
 def json_fields(col: Column, *names: str) -> Column:
@@ -49,103 +48,107 @@ def json_fields(col: Column, *names: str) -> Column:
     A missing name gives ``''`` and an explicit null gives null, so the two can
     be told apart; values of other types come back as JSON text.
     """
-    schema = T.StructType(
-        [T.StructField("ok", T.BooleanType(), False)]
-        + [T.StructField(n, T.StringType()) for n in names]
-    )
-
-    @F.pandas_udf(schema)
-    def parse(raw: pd.Series) -> pd.DataFrame:
-        objects = [_object(r) for r in raw]
-        out = {"ok": [o is not None for o in objects]}
-        for n in names:
-            out[n] = [None if o is None else _shown(o.get(n, "")) for o in objects]
-        return pd.DataFrame(out)
 
-    return parse.asNondeterministic()(col)
+    def fields(m: Column) -> Column:
+        def value(n: str) -> Column:
+            key = F.lit(n)
+            return F.when(m.isNotNull(), F.when(F.map_contains_key(m, key), F.try_element_at(m, key)).otherwise(""))
+
+        return F.struct(m.isNotNull().alias("ok"), *[value(n).alias(n) for n in names])
+
+    # The one-element array binds the parsed map, which is read once per name.
+    bound = F.transform(F.array(one_object(text_or_empty(col))), fields)
+    return computed_once(F.get(bound, F.lit(0)))
 
 
 def json_list_size(col: Column, name: str) -> Column:
     """Length of the list under ``name``; null where there is none."""
+    found = F.try_element_at(one_object(text_or_empty(col)), F.lit(name))
+    return computed_once(F.size(F.from_json(found, "array<string>", STRICT)).cast("bigint"))
+
+
+def typed_value(m: Column, name: str, kind: T.DataType) -> Column:
+    """One value of a parsed object as ``kind``; null where it does not fit."""
+    text = F.try_element_at(m, F.lit(name))
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.from_json(text, kind, STRICT)
+    return text.try_cast(kind)
+
+
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
-    @F.pandas_udf(T.LongType())
-    def size(raw: pd.Series) -> pd.Series:
-        def one(r):
-            value = (_object(r) or {}).get(name)
-            return len(value) if isinstance(value, list) else None
 
-        return pd.Series([one(r) for r in raw], dtype="Int64")
+def parse_last_block(col: Column, balanced: bool = False) -> Column:
+    """Classifier response: the whole text, else the last brace-free block that parses.
 
-    return size.asNondeterministic()(col)
+    Gives ``ok``, ``origin`` (whole / block / none), ``matched_inner`` (the
+    block sits inside a wider one, so its object may be the wrong one),
+    ``types`` (listed values in text form) and ``reasons``. ``balanced=True``
+    takes the last outermost object instead of the last brace-free one.
+    """
+    raw = strip(text_or_empty(col))
+
+    def result(b: Column) -> Column:
+        text, whole = b["text"], b["whole"]
+        found = F.coalesce(whole, b["block"]["value"])
+        after = F.length(F.call_function("substring_index", text, b["block"]["text"], F.lit(-1)))
+        before = F.substring(text, F.lit(1), F.length(text) - after - F.length(b["block"]["text"]))
+        inner = whole.isNull() & F.coalesce(_count(before, "{") > _count(before, "}"), F.lit(False))
+        return F.struct(
+            found.isNotNull().alias("ok"),
+            F.when(whole.isNotNull(), "whole").when(found.isNotNull(), "block").otherwise("none").alias("origin"),
+            (F.lit(False) if balanced else inner).alias("matched_inner"),
+            F.coalesce(typed_value(found, "suitable_types", _TEXTS), F.array().cast(_TEXTS)).alias("types"),
+            F.coalesce(typed_value(found, "reasons", _NAMED), F.create_map().cast(_NAMED)).alias("reasons"),
+        )
 
+    def last_object(blocks: Column) -> Column:
+        parsed = F.transform(blocks, lambda x: F.struct(x.alias("text"), one_object(x).alias("value")))
+        return F.try_element_at(F.filter(parsed, lambda x: x["value"].isNotNull()), F.lit(-1))
 
-def _last_flat_block(raw: str):
-    """Last brace-free block that parses, and whether a wider block holds it."""
-    for m in reversed(list(_FLAT_BLOCK.finditer(raw))):
-        found = _object(m.group())
-        if found is not None:
-            before = raw[: m.start()]
-            return found, before.count("{") > before.count("}")
-    return None, False
+    def blocks_of(p: Column) -> Column:
+        return p["outer"] if balanced else F.regexp_extract_all(p["text"], F.lit(_FLAT_BLOCK), F.lit(0))
 
+    # Each one-element array binds a value that the next step reads several times.
+    outer = outermost_objects(raw) if balanced else F.lit(None)
+    bound = F.transform(F.array(F.struct(raw.alias("text"), outer.alias("outer"))), lambda p: F.struct(
+        p["text"].alias("text"), p["outer"].alias("outer"), one_object(p["text"]).alias("whole")))
+    searched = F.transform(bound, lambda p: F.struct(
+        p["text"].alias("text"), p["whole"].alias("whole"),
+        F.when(p["whole"].isNull(), last_object(blocks_of(p))).alias("block"),
+    ))
+    return computed_once(F.get(F.transform(searched, result), F.lit(0)))
 
-def _last_outer_block(raw: str):
-    """Last outermost object in the text."""
-    decoder, at, found = json.JSONDecoder(), raw.find("{"), None
+
+def _outermost(raw: str) -> list[str]:
+    """Texts of the outermost objects, left to right."""
+    decoder, at, found = json.JSONDecoder(), raw.find("{"), []
     while at >= 0:
         try:
-            value, end = decoder.raw_decode(raw, at)
+            _, end = decoder.raw_decode(raw, at)
         except (ValueError, RecursionError):
             end = at + 1
         else:
-            found = value
+            found.append(raw[at:end])
         at = raw.find("{", end)
     return found
 
 
-def parse_last_block(col: Column, balanced: bool = False) -> Column:
-    """Classifier response: the whole text, else the last block that parses.
-
-    Gives ``ok``, ``origin`` (whole / block / none), ``matched_inner`` (the
-    block sits inside a wider one, so its object may be the wrong one), the
-    listed types in text form and the reasons as two arrays. ``balanced=True``
-    looks for the last outermost object instead of the last flat one.
-    """
-    texts = T.ArrayType(T.StringType())
-    schema = T.StructType([
-        T.StructField("ok", T.BooleanType(), False),
-        T.StructField("origin", T.StringType(), False),
-        T.StructField("matched_inner", T.BooleanType(), False),
-        T.StructField("types", texts),
-        T.StructField("reason_keys", texts),
-        T.StructField("reason_texts", texts),
-    ])
+def outermost_objects(col: Column) -> Column:
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def find(raw: pd.Series) -> pd.Series:
+        return pd.Series([_outermost(r or "") for r in raw], dtype=object)
 
-    def one(raw):
-        raw = (raw or "").strip()
-        found, origin, inner = _object(raw), "whole", False
-        if found is None:
-            origin = "block"
-            if balanced:
-                found = _last_outer_block(raw)
-            else:
-                found, inner = _last_flat_block(raw)
-        if found is None:
-            return False, "none", False, [], [], []
-        listed = found.get("suitable_types")
-        listed = [str(t) for t in listed] if isinstance(listed, list) else []
-        reasons = found.get("reasons")
-        reasons = reasons if isinstance(reasons, dict) else {}
-        return (
-            True, origin, inner, [_utf8(t) for t in listed],
-            [_utf8(k) for k in reasons], [_shown(v) for v in reasons.values()],
-        )
+    return find(col)
 
-    @F.pandas_udf(schema)
-    def parse(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(r) for r in raw], columns=schema.names)
 
-    return parse.asNondeterministic()(col)
+def _shown(value):
+    """Strings as they are, other values as JSON text; a lone surrogate becomes ``?``."""
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text.encode("utf-8", "replace").decode("utf-8")
 
 
 def printed_list(col: Column) -> Column:

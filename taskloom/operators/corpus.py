@@ -89,7 +89,7 @@ def classified_corpus(
     return parsed.select(
         key, "text", "rule_hints",
         suitable_types(F.col("_p.types")).alias("suitable_types"),
-        F.map_from_arrays("_p.reason_keys", "_p.reason_texts").alias("reasons"),
+        F.col("_p.reasons").alias("reasons"),
         "raw_output",
         F.col("_p.ok").alias("parse_ok"),
         F.col("_p.origin").alias("parse_origin"),

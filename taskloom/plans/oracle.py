@@ -67,7 +67,7 @@ _T1, _T2 = "1 + doc_id % 5", "1 + (doc_id // 9) % 5"
 _EXPECTED = f"""
 expected AS (
   SELECT doc_id, raw,
-    CASE doc_id % 9 WHEN 0 THEN [({_T1})::varchar, ({_T2})::varchar] WHEN 1 THEN ['1', '4', 'True', '2.0']
+    CASE doc_id % 9 WHEN 0 THEN [({_T1})::varchar, ({_T2})::varchar] WHEN 1 THEN ['1', '4', 'true', '2.0']
       WHEN 2 THEN [({_T1})::varchar, ({_T2})::varchar] WHEN 4 THEN ['0', '6', '3', '3']
       WHEN 7 THEN [({_T1})::varchar, ({_T2})::varchar] WHEN 8 THEN [({_T1})::varchar, ({_T2})::varchar] ELSE [] END AS listed,
     doc_id % 9 <> 5 AS ok,
@@ -265,7 +265,7 @@ def _terms(source: str, key: str, col: str, words) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "read_jsonl": f"""WITH {_EXPECTED} SELECT origin <> 'whole' AS bad_line, CASE WHEN origin = 'whole' THEN replace({ints('listed')}, 'True', 'true') END AS types,
+    "read_jsonl": f"""WITH {_EXPECTED} SELECT origin <> 'whole' AS bad_line, CASE WHEN origin = 'whole' THEN {ints('listed')} END AS types,
         count(*) AS n FROM expected GROUP BY 1, 2""",
     "read_shards": f"""WITH {_status_of(0)} SELECT eval_id, seq, (ord // ((n + 15) // 16))::bigint AS shard FROM ords
         WHERE ord // ((n + 15) // 16) BETWEEN 3 AND 9""",

@@ -2,20 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from taskloom.functions.strict_json import one_object, typed_value
 from taskloom.functions.text import computed_once, strip
 
-_STRICT = {
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": "_bad_line",
-    "allowSingleQuotes": "false",
-    "allowUnquotedFieldNames": "false",
-    "allowUnquotedControlChars": "false",
-}
-# One object per line: Spark's parser stops at the closing brace, so words after it need this test.
-_OBJECT = r"(?s)\A\{.*\}\z"
-
 
 def read_jsonl(
     spark: SparkSession, paths: str | list[str], schema: str, bad_lines: str = "fail", glob: str = "*.jsonl"
@@ -24,23 +14,20 @@ def read_jsonl(
 
     ``bad_lines``: ``fail`` stops the job, ``drop`` leaves the line out, ``keep``
     gives an all-null record that still counts (with ``_bad_line`` holding it).
+    A value of another type than the schema's is null; it does not make a line bad.
     """
     if bad_lines not in ("fail", "drop", "keep"):
         raise ValueError(f"unknown bad-line policy {bad_lines!r}")
-    fields = spark.createDataFrame([], schema).schema.fields
-    full = T.StructType([*fields, T.StructField("_bad_line", T.StringType())])
+    record = spark.createDataFrame([], schema).schema
     lines = spark.read.option("pathGlobFilter", glob).text(paths).select(strip(F.col("value")).alias("_line"))
-    lines = lines.where(F.col("_line") != "")
-    parsed = F.when(F.col("_line").rlike(_OBJECT), F.from_json("_line", full, _STRICT))
-    bad = F.col("_r").isNull() | F.col("_r._bad_line").isNotNull()
-    rows = lines.withColumn("_r", computed_once(parsed)).withColumn("_bad_line", F.when(bad, F.col("_line")))
+    rows = lines.where(F.col("_line") != "").withColumn("_r", computed_once(one_object(F.col("_line"))))
+    rows = rows.withColumn("_bad_line", F.when(F.col("_r").isNull(), F.col("_line")))
     if bad_lines == "fail":
         stop = F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("_bad_line")))
         rows = rows.where(F.when(F.col("_bad_line").isNotNull(), stop.cast("boolean")).otherwise(True))
     elif bad_lines == "drop":
         rows = rows.where(F.col("_bad_line").isNull())
-    good = F.when(F.col("_bad_line").isNull(), F.col("_r"))
-    kept = [good[f.name].alias(f.name) for f in fields]
+    kept = [typed_value(F.col("_r"), f.name, f.dataType).alias(f.name) for f in record.fields]
     return rows.select(*kept, *(["_bad_line"] if bad_lines == "keep" else []))
 
 
