@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.functions.lexicon import TAXONOMY
-from taskloom.functions.text import lines, occurrences, strip, text_or_empty, token_count, tokens
+from taskloom.functions.text import computed_once, lines, occurrences, strip, text_or_empty, token_count, tokens
 from taskloom.operators.runs import MARK
 
 _EDGE_MARKS = r"^[^\p{L}\p{N}\-+]+|[^\p{L}\p{N}]+$"
@@ -55,10 +55,13 @@ def banned_terms(rows: DataFrame, col: str, terms: tuple[str, ...]) -> DataFrame
     text = F.lower(text_or_empty(F.col(col)))
 
     def found(term: str) -> Column:
-        return F.when(text.rlike(rf"(?<![\p{{L}}\p{{N}}_])\Q{term}\E(?![\p{{L}}\p{{N}}_])"), F.lit(term))
+        # The literal comes first, so only its hits look around; absent terms never reach the pattern.
+        whole_word = rf"\Q{term}\E(?<![\p{{L}}\p{{N}}_]\Q{term}\E)(?![\p{{L}}\p{{N}}_])"
+        return F.when(F.contains("_low", F.lit(term)) & F.col("_low").rlike(whole_word), F.lit(term))
 
     hits = F.array_compact(F.array(*[found(term) for term in terms]))
-    return rows.withColumn("term", F.explode(hits))
+    lowered = rows.withColumn("_low", computed_once(text))
+    return lowered.withColumn("_hits", computed_once(hits)).withColumn("term", F.explode("_hits")).drop("_low", "_hits")
 
 
 def step_check(rows: DataFrame) -> DataFrame:

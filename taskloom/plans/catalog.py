@@ -39,7 +39,7 @@ class Inputs:
 
     @cached_property
     def features(self) -> DataFrame:
-        return corpus.corpus_features(jsonl.spread(self.corpus_raw, "doc_id"))
+        return corpus.corpus_features(self.corpus_raw)
 
     @cached_property
     def hinted(self) -> DataFrame:
@@ -72,7 +72,9 @@ class Inputs:
 
     @cached_property
     def templates(self) -> DataFrame:
-        return responses.story_templates(self.stories)
+        """Parsed templates as a written table: numbering and counting read them again."""
+        kept = responses.story_templates(self.stories)
+        return written(kept.select("id", "seq", "story_problem", "story_input"), "templates")
 
     @cached_property
     def codes(self) -> DataFrame:
@@ -148,8 +150,9 @@ def append_jsonl(x: Inputs) -> DataFrame:
 @query
 def two_way_sink(x: Inputs) -> DataFrame:
     path = x.scratch("two-way")
-    rows = sharding.shard_modulo(x.hinted, "seq", 4)
-    kept = corpus.rule_filter(rows).select("doc_id", "text", "rule_hints", "shard")
+    numbered = sharding.shard_modulo(x.corpus_raw, "seq", 4)
+    hinted = corpus.rule_filter(corpus.rule_hints(corpus.corpus_features(numbered)))
+    kept = written(hinted.select("doc_id", "text", "rule_hints", "shard"), "kept")
     answered = corpus.classified_corpus(kept, x.corpus_responses, "doc_id").join(kept.select("doc_id", "shard"), "doc_id")
     shards.two_way_sink(kept, answered, path)
     both = [

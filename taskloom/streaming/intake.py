@@ -11,21 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from taskloom.operators.corpus import corpus_features, rule_filter, rule_hints
+from taskloom.operators.corpus import classified_corpus, corpus_features, rule_filter, rule_hints
 from taskloom.operators.exchange import infer_batches, render_corpus_prompt, requests
-from taskloom.operators.corpus import classified_corpus
 from taskloom.prompts import STAGES
+from taskloom.sources.jsonl import spread
 
 
 def corpus_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json", **options: str) -> DataFrame:
     return spark.readStream.format(fmt).options(**options).schema(schema).load(path)
 
 
-def hinted_stream(source: DataFrame, domain: str = "quality_domain_txt") -> DataFrame:
-    """Stateless: features, hints and the rule filter."""
-    return rule_filter(rule_hints(corpus_features(source), domain))
-
-
 def intake(
     source: DataFrame,
     out: str,
@@ -46,8 +41,9 @@ def intake(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rule_path = f"{out}/rule/batch_id={batch_id}"
+        hinted = rule_filter(rule_hints(corpus_features(spread(batch)), domain))
         cut = F.substring("text", 1, max_len).alias("text")
-        batch.select(*columns, cut, "rule_hints").write.mode("overwrite").parquet(rule_path)
+        hinted.select(*columns, cut, "rule_hints").write.mode("overwrite").parquet(rule_path)
         if complete is None:
             return
         rule = spark.read.parquet(rule_path)
@@ -60,8 +56,7 @@ def intake(
         rows.write.mode("overwrite").parquet(f"{out}/model/batch_id={batch_id}")
 
     return (
-        hinted_stream(source, domain)
-        .writeStream.foreachBatch(write)
+        source.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
