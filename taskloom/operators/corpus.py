@@ -81,13 +81,16 @@ def suitable_types(listed: Column) -> Column:
 
 
 def classified_corpus(
-    requests: DataFrame, responses: DataFrame, key: str = "request_id", balanced: bool = False
+    requests: DataFrame, responses: DataFrame, key: str = "request_id", balanced: bool = False, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Every answered request with its parsed types, parse failures included."""
+    """Every answered request with its parsed types, parse failures included.
+
+    ``key`` is unique on both sides; ``keep`` names further request columns.
+    """
     answered = requests.join(responses.select(key, F.col("raw").alias("raw_output")), key)
     parsed = answered.withColumn("_p", parse_last_block(F.col("raw_output"), balanced))
     return parsed.select(
-        key, "text", "rule_hints",
+        key, *keep, "text", "rule_hints",
         suitable_types(F.col("_p.types")).alias("suitable_types"),
         F.col("_p.reasons").alias("reasons"),
         "raw_output",

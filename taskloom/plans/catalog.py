@@ -153,7 +153,7 @@ def two_way_sink(x: Inputs) -> DataFrame:
     numbered = sharding.shard_modulo(x.corpus_raw, "seq", 4)
     hinted = corpus.rule_filter(corpus.rule_hints(corpus.corpus_features(numbered)))
     kept = written(hinted.select("doc_id", "text", "rule_hints", "shard"), "kept")
-    answered = corpus.classified_corpus(kept, x.corpus_responses, "doc_id").join(kept.select("doc_id", "shard"), "doc_id")
+    answered = corpus.classified_corpus(kept, x.corpus_responses, "doc_id", keep=("shard",))
     shards.two_way_sink(kept, answered, path)
     both = [
         x.spark.read.schema("doc_id bigint, shard int").json(f"{path}/{name}").withColumn("sink", F.lit(name))
@@ -376,7 +376,7 @@ def resume_incremental(x: Inputs) -> DataFrame:
     source = intake.corpus_stream(
         x.spark, x.sf_dir, raw, "parquet", pathGlobFilter="documents.parquet", recursiveFileLookup="true"
     ).selectExpr(*[f"{e} AS `{c}`" for c, e in fixtures.corpus_raw(fixtures.Dialect("spark"))[0][1].items()])
-    intake.intake(source, out, x.scratch("intake-checkpoint")).awaitTermination()
+    intake.intake(source, out, x.scratch("intake-checkpoint"), "doc_id").awaitTermination()
     return x.spark.read.parquet(f"{out}/rule").select("doc_id", "text", _ints("rule_hints").alias("hints"))
 
 

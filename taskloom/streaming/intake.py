@@ -25,6 +25,7 @@ def intake(
     source: DataFrame,
     out: str,
     checkpoint: str,
+    key: str,
     complete: Callable[[list[str]], list[str]] | None = None,
     domain: str = "quality_domain_txt",
     max_len: int = 2048,
@@ -34,7 +35,8 @@ def intake(
     Without ``complete`` the hinted rows are written under ``out/rule``; with it
     each batch also asks the model and writes ``out/model``. The rule rows are
     written first and the model stage reads them back, so features are computed
-    once and the text is cut before it crosses into Python.
+    once and the text is cut before it crosses into Python. ``key`` is the
+    unique column of the source.
     """
     columns = [c for c in source.columns if c != "text"]
 
@@ -49,10 +51,10 @@ def intake(
         rule = spark.read.parquet(rule_path)
         stage = STAGES["classify_corpus"]
         prompt = render_corpus_prompt(stage.template, F.col("text"), F.col("rule_hints"), max_len)
-        asked = requests(rule, "classify_corpus", [columns[0]] if columns else ["text"], prompt)
+        asked = requests(rule, "classify_corpus", [key], prompt)
         answers_path = f"{out}/answers/batch_id={batch_id}"
         infer_batches(asked, complete, stage.batch_size).write.mode("overwrite").parquet(answers_path)
-        rows = classified_corpus(asked, spark.read.parquet(answers_path))
+        rows = classified_corpus(asked, spark.read.parquet(answers_path), keep=(key,))
         rows.write.mode("overwrite").parquet(f"{out}/model/batch_id={batch_id}")
 
     return (
