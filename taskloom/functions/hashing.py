@@ -18,5 +18,13 @@ def md5_bucket(digest: Column, digits: int) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("int")
 
 
+def bucket_digits(width: int) -> int:
+    """Hex digits for a few buckets per shuffle partition: 4096 buckets, more on wide clusters."""
+    digits = 3
+    while 16**digits < 4 * width:
+        digits += 1
+    return digits
+
+
 def sha_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)

@@ -99,13 +99,16 @@ def test_suite_mix(inputs: DataFrame, key: list[str], max_len: int = 1000) -> Da
 def instrument_readonly(rows: DataFrame, key: list[str], original: str = "original", code: str = "code") -> DataFrame:
     """Bag check per program: lost original lines and added lines without the marker.
 
-    Blank lines do not count. Both sides go through one grouping on the line.
+    Blank lines do not count. One scan gives the lines of both sides, and one
+    grouping on the line compares them.
     """
-    def side(col: str, sign: int) -> DataFrame:
-        line = rows.select(*key, F.explode(lines(text_or_empty(F.col(col)))).alias("_l"))
-        return line.select(*key, strip(F.col("_l")).alias("line"), F.lit(sign).alias("sign")).where("line <> ''")
+    def signed(col: str, sign: int) -> Column:
+        return F.transform(
+            lines(text_or_empty(F.col(col))), lambda x: F.struct(strip(x).alias("line"), F.lit(sign).alias("sign"))
+        )
 
-    net = side(original, 1).unionByName(side(code, -1)).groupBy(*key, "line").agg(F.sum("sign").alias("net"))
+    both = rows.select(*key, F.inline(F.concat(signed(original, 1), signed(code, -1)))).where("line <> ''")
+    net = both.groupBy(*key, "line").agg(F.sum("sign").alias("net"))
     marked = F.contains("line", F.lit(MARK))
     per = net.groupBy(*key).agg(
         F.sum(F.greatest("net", F.lit(0))).alias("lost_lines"),

@@ -5,9 +5,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskloom.functions.hashing import md5_bucket, md5_int, md5_key
+from taskloom.functions.hashing import bucket_digits, md5_bucket, md5_int, md5_key
 from taskloom.functions.text import strip
-from taskloom.operators.numbering import dense_ordinal, lookup_join, number_rows, top_per_key
+from taskloom.operators.numbering import dense_ordinal, number_rows, spread_join, top_per_key
+from taskloom.session import shuffle_width
 
 DEFAULT_TYPE = 3
 ANY_TYPE = 0
@@ -49,10 +50,15 @@ def _rings(listing: DataFrame, with_any: bool, seed: int) -> DataFrame:
     else:
         entry = entry.withColumn("pool", F.col("type_id"))
     entry = entry.select("pool", "corpus_id", "slot", "_h")
-    ring = number_rows(entry, ["pool"], ["_h", "corpus_id", "slot"], md5_bucket(F.col("_h"), 3), "pool_pos")
+    bucket = md5_bucket(F.col("_h"), bucket_digits(shuffle_width(listing.sparkSession)))
+    ring = number_rows(entry, ["pool"], ["_h", "corpus_id", "slot"], bucket, "pool_pos")
     return ring.select("pool", "pool_pos", "corpus_id")
 
 
+def _pool() -> Column:
+    return F.when(F.col("route") == "typed", F.col("type_id")).otherwise(ANY_TYPE)
+
+
 def typed_picks(
     problems: DataFrame,
     listing: DataFrame,
@@ -74,10 +80,9 @@ def typed_picks(
     routed = route_problems(problems, sizes, strict).where("route <> 'skipped'")
     uses_any = not strict and any(sizes.get(i, 0) == 0 for i in range(1, 6))
     pool_n = {**sizes, ANY_TYPE: sum(sizes.values())}
-    pool = F.when(F.col("route") == "typed", F.col("type_id")).otherwise(ANY_TYPE)
     size_of = F.create_map(*[F.lit(v) for pair in pool_n.items() for v in pair])
     draws = (
-        routed.withColumn("pool", pool)
+        routed.withColumn("pool", _pool())
         .withColumn("_n", F.try_element_at(size_of, F.col("pool")).cast("bigint"))
         .withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
         .withColumn("_pass", F.floor(F.col("sample_idx") / F.col("_n")))
@@ -106,13 +111,23 @@ def typed_pairs(
 ) -> DataFrame:
     """Problems with the texts of their picks; ``texts`` has one row per corpus_id.
 
-    A text that many problems pick (a small pool) is a hot key of this join.
+    Draws are near uniform within a pool, so texts are hot keys exactly where a
+    pool has more than ``hot_rows`` draws per entry. Such pools are small (at
+    most draws / ``hot_rows`` entries), which bounds the broadcast list of their ids.
     """
     sizes = options.pop("sizes", None) or pool_sizes(listing)
     picks = typed_picks(problems, listing, k, sizes=sizes, **options)
-    # The same picks without the problem columns, to count on.
-    keys = typed_picks(problems.select("id", "type_level1"), listing, k, sizes=sizes, **options)
-    return lookup_join(picks, texts, ["corpus_id"], ["id", "sample_idx"], "inner", hot_rows, hot_from=keys)
+    routed = route_problems(problems, sizes, options.get("strict", False)).where("route <> 'skipped'")
+    asked = routed.groupBy(_pool().alias("pool")).agg(F.count(F.lit(1)).alias("n")).collect()  # six rows at most
+    pool_n = {**sizes, ANY_TYPE: sum(sizes.values())}
+    hot_pools = [r["pool"] for r in asked if r["n"] * k > hot_rows * pool_n[r["pool"]]]
+    if not hot_pools:
+        return picks.join(texts, "corpus_id")
+    entries = listing if ANY_TYPE in hot_pools else listing.where(F.col("type_id").isin(*hot_pools))
+    hot = F.broadcast(entries.select("corpus_id", F.lit(True).alias("_hot")).distinct())
+    return spread_join(
+        picks.join(hot, "corpus_id", "left"), texts.join(hot, "corpus_id", "left"), ["corpus_id"], ["id", "sample_idx"]
+    )
 
 
 def segment_sample(df: DataFrame, seq: str, key: str, seed: int = 42, size: int = 500) -> DataFrame:

@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT = "spark.checkpoint.dir"
 
 
+# Folder per application, for sessions that name none (local runs and tests).
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is named."""
     found = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
-    if not found:
-        found = tempfile.mkdtemp(prefix="taskloom-")
-        spark.conf.set(_CHECKPOINT, found)
-    return found
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="taskloom-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -37,5 +37,5 @@ def two_way_sink(hinted: DataFrame, classified: DataFrame, path: str) -> None:
     Both inputs carry ``shard``. Overwriting makes a repeated run harmless.
     """
     for name, df in (("rule", hinted), ("model", classified)):
-        out = df.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("shard")
+        out = df.hint("rebalance", "shard").write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("shard")
         out.json(f"{path}/{name}")
