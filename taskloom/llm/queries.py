@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import quality
+from taskloom.llm import packing, quality, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,5 +16,27 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(docs, trees).select("doc_id", "quality.*")
 
 
-QUERIES = {"op6_quality": op6_quality}
+def tokenizer_definition(path: str | None = None) -> str:
+    """JSON text of the tokenizer at ``path`` (default: the public one with word ends)."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack_documents(_table(spark, folder, "documents"), tokenizer_definition())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op3_packing": op3_packing, "op4_simhash": op4_simhash, "op6_quality": op6_quality}
 ORACLE: dict[str, str] = {}
