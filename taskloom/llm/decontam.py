@@ -71,13 +71,34 @@ def judge(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 2
     """One row a document: its id, n_words, n_hit, ``items`` (ids as sorted strings), ``hits`` (at, n: where
     windows occur, in words) and contaminated: some word is hit, and at least one word in ``share``.
     """
+    found = _judged(docs, benchmark, width, share, id_col, text_col, item_col, item_text, broadcast_rows)
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "hits", "contaminated")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, id_col: str = "doc_id",
+                      text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+                      broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The documents, all columns, without those that ``judge`` finds contaminated."""
+    found = _judged(docs, benchmark, width, share, id_col, text_col, item_col, item_text, broadcast_rows)
+    bad = written(found.where("contaminated").select("k1", "k2").distinct(), "decontam-bad").toDF("bad1", "bad2")
+    body = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    k1, k2 = _keys(docs[id_col], body)
+    return docs.join(bad, (k1 == bad["bad1"]) & (k2 == bad["bad2"]), "left_anti")
+
+
+def _keys(id_: Column, body: Column) -> tuple[Column, Column]:
+    """Two hashes of id and text: they name a row in every scan."""
+    return F.xxhash64(id_, body), F.xxhash64(body, F.lit("decontam"), id_)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, width: int, share: int, id_col: str, text_col: str, item_col: str,
+            item_text: str, broadcast_rows: int) -> DataFrame:
     windows = written(item_windows(benchmark, width, item_col, item_text), "decontam-windows")
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most ``width`` numbers
     scans = {n: (n - n // 2, n // 2 + 1) for n in lengths}  # gram width and stride
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # Two hashes of id and text name a row in both scans.
-    rows = docs.select(F.col(id_col).alias("id"), body.alias("body")).select(
-        "id", "body", F.xxhash64("id", "body").alias("k1"), F.xxhash64("body", F.lit("decontam"), "id").alias("k2"))
+    k1, k2 = _keys(F.col("id"), F.col("body"))
+    rows = docs.select(F.col(id_col).alias("id"), body.alias("body")).select("id", "body", k1.alias("k1"), k2.alias("k2"))
     read = rows.select("id", "k1", "k2", words_of(F.col("body")).alias("words"))
     scanned = read.select("id", "k1", "k2", F.size("words").alias("n_words"), *(_grams("words", *scans[n]).alias(f"g{n}") for n in lengths))
     scanned = written(scanned, "decontam-scan")
@@ -92,7 +113,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 2
     empty = F.array().cast("array<struct<at:int,n:int>>")
     if touched is None:
         return scanned.select(
-            F.col("id").alias(id_col), F.col("n_words").cast("long"), F.lit(0).cast("long").alias("n_hit"),
+            "id", "k1", "k2", F.col("n_words").cast("long"), F.lit(0).cast("long").alias("n_hit"),
             F.array().cast("array<string>").alias("items"), empty.alias("hits"), F.lit(False).alias("contaminated"))
     touched = written(touched.groupBy("k1", "k2").agg(F.collect_set("n").alias("ns")), "decontam-touched")
 
@@ -117,7 +138,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 2
     judged = judged.withColumn("n_hit", union)
     n_hit, n_words = F.coalesce("n_hit", F.lit(0)).cast("long"), F.col("n_words").cast("long")
     return scanned.select("id", "k1", "k2", "n_words").join(judged, ["k1", "k2"], "left").select(
-        F.col("id").alias(id_col), n_words.alias("n_words"), n_hit.alias("n_hit"),
+        "id", "k1", "k2", n_words.alias("n_words"), n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", empty).alias("hits"),
         ((n_hit > 0) & (share * n_hit >= n_words)).alias("contaminated"))
 

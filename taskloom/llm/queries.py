@@ -3,13 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import decontam, packing, quality, simhash
+from taskloom.llm import decontam, linededup, packing, quality, simhash, substring
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op5_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     trees = quality.train(docs, _table(spark, folder, "labels"))
@@ -38,6 +42,12 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without recurring lines: the text that is left, as a digest, and the counts of lines."""
+    found = linededup.drop_recurring(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.judge(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.select(
@@ -45,8 +55,27 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op3_packing": op3_packing, "op4_simhash": op4_simhash, "op6_quality": op6_quality, "op10_decontamination": op10_decontamination}
+QUERIES = {
+    "op3_packing": op3_packing,
+    "op4_simhash": op4_simhash,
+    "op5_substring": op5_substring,
+    "op6_quality": op6_quality,
+    "op8_line_templates": op8_line_templates,
+    "op10_decontamination": op10_decontamination,
+}
 ORACLE: dict[str, str] = {
+    "op5_substring": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM win) WHERE r > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM later
+), g AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ks, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""",
     "op10_decontamination": r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

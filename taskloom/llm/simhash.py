@@ -79,7 +79,7 @@ def bit_groups(distinct: DataFrame, parts: int) -> list[list[int]]:
 
     sums = distinct.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     both = np.zeros(65 * 65)
-    for r in sums.toLocalIterator():  # 65 x 65 cells
+    for r in sums.collect():  # 65 x 65 cells
         both[r["cell"]] = r["n"]
     both = both.reshape(65, 65)
     n = max(both[64, 64], 1)
@@ -233,3 +233,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
     names = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(member.join(names, "root").select("fp", "component_id"), "simhash-named")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with one of each group: the one with the least id.
+
+    Of rows with equal ids one stays, as they name one document. Rows without an id all stay.
+    """
+    found = near_duplicates(docs, radius, width, id_col, text_col)
+    kept = found.select(F.col("component_id").alias("kept_id")).where("kept_id is not null").distinct()
+    named = docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
