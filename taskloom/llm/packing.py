@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,20 +30,19 @@ from taskloom.llm._text import slices
 
 WINDOW_TOKENS = 4 << 20
 #: Entries of the word memo of a Python worker; it starts anew when full.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 1_500_000
 
-_LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c.lower() == c)
-_SIMPLE = regex.compile(rf"[!-~{_LATIN}]+")
-_RUNS = regex.compile(rf"[a-z{_LATIN}]+|[^a-z{_LATIN}]+")
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
 
 
 class WordTokenizer:
     """Ids of whole texts for a tokenizer that drops white space and never joins words.
 
     Ids are kept per word, since all words between white space are encoded apart
-    from each other. A new word made of plain characters is cut where letters
-    meet other characters, as the tokenizer does, and runs of small Latin letters
-    skip its normalizer; every other word goes through the whole tokenizer.
+    from each other. A new word of Latin letters, with or without ASCII signs
+    after it, is cut before the signs, as the tokenizer does, and its letters skip
+    the normalizer and the word pattern; every other word (digits, apostrophes,
+    special tokens, other scripts) goes through the whole tokenizer.
     """
 
     def __init__(self, definition: str, memo_words: int = MEMO_WORDS):
@@ -61,35 +59,37 @@ class WordTokenizer:
         self.memo_words = memo_words
 
     def learn(self, words: set[bytes]) -> None:
-        plain, other = {}, []
+        cut, other = {}, []
         for w in words:
-            text = w.decode("utf-8", "replace")
-            # Apostrophes start contractions and "<|" special tokens.
-            if _SIMPLE.fullmatch(text) and "'" not in text and "<|" not in text:
-                plain[w] = _RUNS.findall(text.lower())
+            core = w.rstrip(_SIGNS)
+            if core.isalpha():  # ASCII letters only, as these are bytes
+                low = core.lower().decode()
             else:
-                other.append((w, text))
-        fresh = list({r for runs in plain.values() for r in runs} - self.runs.keys())
-        letters = [r for r in fresh if r[0].isalpha()]
-        for low in range(0, len(letters), 500):
-            part = letters[low : low + 500]
+                low = core.decode("utf-8", "replace").lower()
+                # Letters below U+0250 are stable under the tokenizer's normalizer once they are small.
+                if not (low.isalpha() and max(low) < "\u0250"):
+                    other.append(w)
+                    continue
+            cut[w] = low, w[len(core) :]
+        fresh = list({low for low, _ in cut.values()} - self.runs.keys())
+        for at in range(0, len(fresh), 500):
+            part = fresh[at : at + 500]
             found = self.letters.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))
-            for i, r in enumerate(part):
-                self.runs[r] = ids[ends[i] : ends[i + 1]].tobytes()
-        rest = [r for r in fresh if not r[0].isalpha()]
-        for r, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            self.runs[r] = np.array(e.ids, "<u4").tobytes()
-        for w, runs in plain.items():
-            self.memo[w] = b"".join(map(self.runs.__getitem__, runs))
-        for (w, _), e in zip(other, self.whole.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
+            for r, low, high in zip(part, ends, ends[1:]):
+                self.runs[r] = ids[low:high]
+        rest = other + list({t for _, t in cut.values() if t} - self.memo.keys())
+        texts = [t.decode("utf-8", "replace") for t in rest]
+        for w, e in zip(rest, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
             self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (low, tail) in cut.items():
+            self.memo[w] = self.runs[low] + self.memo[tail] if tail else self.runs[low]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
         words = set().union(*split)
-        if len(self.memo) + len(self.runs) + len(words) > self.memo_words:
+        if len(self.memo) + len(words) > self.memo_words:
             self.memo.clear()
             self.runs.clear()
         self.learn(words - self.memo.keys())
