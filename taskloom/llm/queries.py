@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import decontam, linededup, packing, quality, simhash, substring
+from taskloom.llm import decontam, licences, linededup, packing, quality, simhash, substring, urlfilter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,12 +42,22 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("sequence", ",").alias("sequence"), F.array_join("licences", ",").alias("licences"))
+
+
 def op8_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without recurring lines: the text that is left, as a digest, and the counts of lines."""
     found = linededup.drop_recurring(_table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op9_urls(spark: SparkSession, folder: str) -> DataFrame:
+    found = urlfilter.judge(_table(spark, folder, "pages"), block=["net/", "example.com/de/"], allow=["example.net/en/", "org/fr/"])
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.judge(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.select(
@@ -60,10 +70,13 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
     "op6_quality": op6_quality,
+    "op7_licences": op7_licences,
     "op8_line_templates": op8_line_templates,
+    "op9_urls": op9_urls,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE: dict[str, str] = {
+    "op7_licences": licences.oracle(),
     "op5_substring": r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
