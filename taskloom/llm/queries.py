@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import decontam, licences, linededup, packing, quality, simhash, substring, urlfilter
+from taskloom.llm import decontam, licences, linededup, packing, pii, quality, simhash, substring, urlfilter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,48 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(docs, trees).select("doc_id", "quality.*")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Six captures of each page, as a crawler would have made them: four of the page, two of its site's root.
+
+    Visits 0 and 4 and some of 2 are full responses, the rest not-modified; some validators are weak, absent or
+    of another version. The root of a common host is a very common URL.
+    """
+    p, v = F.col("page_id"), F.col("v")
+    visits = pages.select("page_id", "url", F.octet_length("html").alias("size"), F.md5("html").alias("digest"),
+                          F.explode(F.sequence(F.lit(0), F.lit(5))).alias("v"))
+    root = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*", 0)
+    full = ((v == 0) & (p % 11 != 0)) | ((v == 2) & (p % 5 == 0)) | ((v == 4) & (p % 3 == 0))
+    version = F.when((v >= 2) & (p % 5 == 0), "2").otherwise("1")
+    url = F.when(v >= 4, F.concat(root, F.lit("/"))).otherwise(F.col("url"))
+    mark = F.when(v >= 4, F.concat(F.lit('"root'), (p % 2).cast("string"), F.lit('"'))).otherwise(
+        F.concat(F.lit('"'), F.substring(F.md5(F.concat("url", version)), 1, 12), F.lit('"')))
+    tag = F.when(full, F.when(p % 4 != 3, mark)).otherwise(
+        F.when((p % 6 == 5) & (v == 3), '"other"').when(p % 4 == 0, mark).when(p % 4 == 1, F.concat(F.lit("W/"), mark)))
+    ts = p % 97 * 1000 + v * 700 + p % 7 * 13
+    lines = [("Date", F.concat(F.lit("t"), ts.cast("string"))), ("ETag", tag),
+             ("Last-Modified", F.when(p % 3 != 2, F.concat(F.lit("d"), version))),
+             ("Cache-Control", F.concat(F.lit("max-age="), (p % 100 + v).cast("string"))),
+             ("Content-Length", F.when(full, F.col("size")).otherwise(0).cast("string")),
+             ("Content-Type", F.when(full, F.lit("text/html"))), ("X-Digest", F.when(full, F.col("digest"))),
+             ("Server", F.when(~full, F.lit("edge")))]
+    headers = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), c.alias("value")) for k, c in lines)), lambda e: e["value"].isNotNull())
+    return visits.select((p * 6 + v).alias("record_id"), url.alias("url"), ts.alias("ts"), F.when(full, 200).otherwise(304).alias("status"),
+                         F.map_from_entries(headers).alias("headers"))
+
+
+def op1_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.resolve(captures(_table(spark, folder, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n")).withColumn("source_id", F.coalesce("source_id", F.lit(-1).cast("long")))
+
+
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(_table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def tokenizer_definition(path: str | None = None) -> str:
     """JSON text of the tokenizer at ``path`` (default: the public one with word ends)."""
     if path is None:
@@ -66,6 +108,8 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_revisits": op1_revisits,
+    "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
@@ -76,6 +120,33 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 ORACLE: dict[str, str] = {
+    "op1_revisits": r"""
+WITH v AS (SELECT page_id AS p, url, html, unnest([0, 1, 2, 3, 4, 5]) AS v FROM pages
+), f AS (SELECT *, (v = 0 AND p % 11 <> 0) OR (v = 2 AND p % 5 = 0) OR (v = 4 AND p % 3 = 0) AS ok,
+    CASE WHEN v >= 2 AND p % 5 = 0 THEN '2' ELSE '1' END AS version,
+    CASE WHEN v >= 4 THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) || '/' ELSE url END AS u,
+    p % 97 * 1000 + v * 700 + p % 7 * 13 AS ts FROM v
+), m AS (SELECT *, CASE WHEN v >= 4 THEN '"root' || (p % 2) || '"' ELSE '"' || substr(md5(url || version), 1, 12) || '"' END AS mark FROM f
+), c AS (SELECT p * 6 + v AS record_id, ok, ts, u, 't' || ts AS date, CASE WHEN p % 3 <> 2 THEN 'd' || version END AS modified,
+    CASE WHEN ok THEN CASE WHEN p % 4 <> 3 THEN mark END WHEN p % 6 = 5 AND v = 3 THEN '"other"' WHEN p % 4 = 0 THEN mark WHEN p % 4 = 1 THEN 'W/' || mark END AS tag,
+    'max-age=' || (p % 100 + v) AS cache, CASE WHEN ok THEN strlen(html) ELSE 0 END AS size, md5(html) AS digest FROM m
+), k AS (SELECT *, regexp_replace(regexp_replace(u, '#[\s\S]*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS t FROM c
+), q AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(t, '^[^/?]*', 0)), ':(80|443)$', ''), '^www\.', '')
+      || regexp_replace(regexp_extract(t, '^[^/?]*([^?]*)', 1), '/+$', '') AS page,
+    list_sort(list_filter(string_split(regexp_extract(t, '^[^?]*\?([\s\S]*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS params FROM k
+), n AS (SELECT *, page || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key FROM q
+), best AS (SELECT url_key, ts, max(record_id) AS record_id FROM n WHERE ok GROUP BY url_key, ts
+), a AS (SELECT r.*, b.record_id AS source FROM (SELECT * FROM n WHERE NOT ok) r ASOF LEFT JOIN best b ON r.url_key = b.url_key AND r.ts > b.ts
+), j AS (SELECT a.*, s.tag AS stag, s.modified AS smod, s.size AS ssize, s.digest AS sdigest,
+    CASE WHEN a.source IS NULL THEN 'orphan' WHEN a.tag IS NULL AND a.modified IS NULL THEN 'unchecked'
+      WHEN CASE WHEN a.tag IS NOT NULL THEN coalesce(regexp_replace(a.tag, '^W/', '') = regexp_replace(s.tag, '^W/', ''), false)
+        ELSE coalesce(a.modified = s.modified, false) END THEN 'resolved' ELSE 'changed' END AS state
+  FROM a LEFT JOIN n s ON a.source = s.record_id)
+SELECT record_id, url_key, ts, state, CASE WHEN state IN ('resolved', 'unchecked') THEN source ELSE -1 END AS source_id,
+  CASE WHEN state IN ('resolved', 'unchecked') THEN concat_ws(chr(10), 'cache-control: ' || cache, 'content-length: ' || ssize, 'content-type: text/html',
+      'date: ' || date, 'etag: ' || coalesce(tag, stag), 'last-modified: ' || coalesce(modified, smod), 'x-digest: ' || sdigest)
+    ELSE concat_ws(chr(10), 'cache-control: ' || cache, 'content-length: ' || size, 'date: ' || date, 'etag: ' || tag, 'last-modified: ' || modified, 'server: edge') END AS headers
+FROM j""",
     "op7_licences": licences.oracle(),
     "op5_substring": r"""
 WITH d AS (
