@@ -1,13 +1,13 @@
 """Count-min sketches of 64-bit keys, built per partition, merged by Spark, and sent back as "seen twice" bits.
 
-A sketch has two rows of ``width`` cells. A task sends, for each chunk of cells,
+A sketch has three rows of ``width`` cells. A task sends, for each chunk of cells,
 the cells its keys fall into and whether it met them twice; chunks are merged
 where they meet, by counting to two. A key is estimated as repeated if its cells
-in both rows count two: repeated keys always are, since cells only overestimate.
-The width follows the input up to ``MAX_BITS``; the merged bits, two rows of
-``width / 8`` bytes, are thus bounded (64 MB) and are sent to all tasks. Beyond
+in all rows count two: repeated keys always are, since cells only overestimate.
+The width follows the input up to ``MAX_BITS``; the merged bits, three rows of
+``width / 8`` bytes, are thus bounded (96 MB) and are sent to all tasks. Beyond
 the bound more keys are estimated as repeated and go to the exact pass: results
-stay the same.
+stay the same, but the filter helps less.
 """
 
 from collections.abc import Callable, Iterator
@@ -19,19 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_BITS, MAX_BITS = 20, 28
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+ROWS = len(_MIX)
+#: Keys that a task gathers before it sends their cells.
+HELD_KEYS = 1_000_000
 _CHUNK = 20
 TOUCHES = "chunk long, cells binary"
 
 
 def width_bits(keys: float) -> int:
-    """Four cells a key in each row."""
-    return min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(1.0, 4 * keys))))))
+    """Eight cells a key in each row."""
+    return min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(1.0, 8 * keys))))))
 
 
-def cells(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = keys.astype(np.uint64)
-    shift = np.uint64(64 - bits)
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> shift, (keys * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift
+def cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The cell of each key in each row."""
+    return [(keys.astype(np.uint64) * np.uint64(m)) >> np.uint64(64 - bits) for m in _MIX]
 
 
 def touches(keys: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
@@ -52,7 +55,7 @@ def touches(keys: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
 
 def merged(found: DataFrame, bits: int) -> Broadcast:
     """Merge the tasks' sketches into the bits of cells that count two or more."""
-    chunks = 2 << (bits - _CHUNK)
+    chunks = ROWS << (bits - _CHUNK)
 
     def merge(batches):
         counts: dict[int, np.ndarray] = {}
@@ -66,14 +69,14 @@ def merged(found: DataFrame, bits: int) -> Broadcast:
 
     n = min(chunks, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = np.zeros((chunks, (1 << _CHUNK) // 8), np.uint8)
-    for r in found.repartition(n, "chunk").mapInArrow(merge, "chunk long, bits binary").collect():  # 64 MB at most
+    for r in found.repartition(n, "chunk").mapInArrow(merge, "chunk long, bits binary").collect():  # 96 MB at most
         both[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
     return found.sparkSession.sparkContext.broadcast(both.tobytes())
 
 
 def lookup(sent: Broadcast, bits: int) -> Callable[[np.ndarray], np.ndarray]:
     """Keys -> whether they are estimated as repeated."""
-    both = np.frombuffer(sent.value, np.uint8).reshape(2, -1)
+    both = np.frombuffer(sent.value, np.uint8).reshape(ROWS, -1)
 
     def repeated(keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)

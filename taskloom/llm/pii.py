@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskloom.llm._sketch import cells
-from taskloom.llm._text import slices
+from taskloom.llm._sketch import ROWS, cells
+from taskloom.llm._text import slices, small_batches
 from taskloom.session import scratch_path, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -116,11 +116,11 @@ def _term_key(term: str) -> int:
 
 
 def _term_filter(terms: DataFrame) -> tuple[bytes, int]:
-    """A bit set of the terms' hashes, two cells each, 64 MB at most. It lets too many terms pass, never too few."""
+    """A bit set of the terms' hashes, three cells each, 96 MB at most. It lets too many terms pass, never too few."""
     bits = min(28, max(16, (8 * max(1, terms.count()) - 1).bit_length()))
 
     def run(batches):
-        own = np.zeros((2, 1 << bits >> 3), np.uint8)
+        own = np.zeros((ROWS, 1 << bits >> 3), np.uint8)
         for b in batches:
             keys = np.array([_term_key(t) for t in b.column(0).to_pylist()], np.uint64)
             for row, at in enumerate(cells(keys, bits)):
@@ -131,7 +131,7 @@ def _term_filter(terms: DataFrame) -> tuple[bytes, int]:
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own.ravel()[some].astype(np.int32))], ["byte", "bits"])
 
     merged = terms.mapInArrow(run, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(2 * (1 << bits >> 3), np.uint8)
+    out = np.zeros(ROWS * (1 << bits >> 3), np.uint8)
     out[merged.column("byte").to_numpy()] = merged.column("bits").to_numpy()
     return out.tobytes(), bits
 
@@ -142,7 +142,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches):
-        both = np.frombuffer(sent.value, np.uint8).reshape(2, -1)
+        both = np.frombuffer(sent.value, np.uint8).reshape(ROWS, -1)
         counts: dict[str, int] = {}
         for _, texts in slices(batches, "body"):
             per = [set(_TERM.findall(t.decode("utf-8", "replace").lower())) for t in texts]
@@ -171,6 +171,7 @@ def find(docs: DataFrame, reach: int = 10, support: int = 2, generalise: float =
     exclusive, by kind (email, ip, card, phone, generalise, remove) and start.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     out = T.StructType.fromDDL(
         "key long, base array<struct<kind:string,start:int,stop:int>>, near array<struct<entity:bigint,term:string,at:array<struct<start:int,stop:int>>>>")

@@ -3,9 +3,9 @@
 1. Count-min prefilter. A window is counted by its minimiser, the run of
    ``gram`` words in it with the least hash: equal windows have equal minimisers
    at different places, so the count of a window is never more than that of its
-   minimiser, and only one place in seven is counted. Tasks' sketches are merged.
+   minimiser, and only one place in five is counted. Tasks' sketches are merged.
 2. A second pass looks every window up. Documents without a window estimated as
-   repeated are done. In the others the estimated windows are hashed whole (128
+   repeated are done. In the others the estimated windows are hashed whole (96
    bits from the hashes of their words) and grouped exactly: first inside a block
    of some 4 MB of text, where all but the first occurrence are removed already,
    then one occurrence a block is sent on, so a window that is everywhere makes
@@ -20,6 +20,7 @@ columns are not read. Ids are bigint.
 """
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.llm import _sketch
-from taskloom.llm._text import covered, hash128, slices, weights, window_hash
+from taskloom.llm._text import covered, hash128, slices, small_batches, weights, window_hash
 from taskloom.session import scratch_path, shuffle_width
 
-GRAM = 8
+GRAM = 12
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -79,6 +80,25 @@ def _unpacked(parts) -> np.ndarray:
     return np.frombuffer(b"".join(p for p in parts if p), np.int32).reshape(-1, 2)
 
 
+_HASH = np.dtype([("h1", "<u8"), ("h2", "<u4")])
+
+
+def _pack_windows(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> bytes:
+    """Hashes as they are; ids, rows and starts (in the order of the text) as compressed differences."""
+    hashes = np.zeros(len(h1), _HASH)
+    hashes["h1"], hashes["h2"] = h1, h2
+    steps = [np.diff(x.astype(k), prepend=x.dtype.type(0)).astype(k).tobytes() for x, k in ((ids, np.int64), (rows, np.int32), (starts, np.int32))]
+    return hashes.tobytes() + zlib.compress(b"".join(steps), 1)
+
+
+def _unpack_windows(part: bytes, n: int) -> tuple[np.ndarray, ...]:
+    hashes = np.frombuffer(part, _HASH, n)
+    steps = zlib.decompress(part[n * _HASH.itemsize :])
+    ids = np.cumsum(np.frombuffer(steps, np.int64, n), dtype=np.int64)
+    rows = np.cumsum(np.frombuffer(steps, np.int32, n, 8 * n), dtype=np.int32)
+    return hashes["h1"], hashes["h2"], ids, rows, np.cumsum(np.frombuffer(steps, np.int32, n, 12 * n), dtype=np.int32)
+
+
 def _result(words: list[bytes], starts: np.ndarray, width: int) -> tuple[int, int, bytes]:
     if not len(starts):
         return len(words), 0, b" ".join(words)
@@ -92,6 +112,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     ``kept``, those words, null where nothing was removed (the text stays as it is).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     # About one word in seven bytes, two minimisers in (windows' grams + 1) words.
     bits = _sketch.width_bits(_sketch.text_bytes(docs, text_col) / 7 * 2 / (width - gram + 2))
@@ -101,7 +122,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         for _, texts in slices(batches, "body"):
             keys.append(Block(texts, width, gram).counted())
             held += len(keys[-1])
-            if held > 4_000_000:
+            if held > _sketch.HELD_KEYS:
                 yield from _sketch.touches(keys, bits)
                 keys, held = [], 0
         yield from _sketch.touches(keys, bits)
@@ -134,6 +155,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
                 for j in range(width):
                     h1 += c1[j] * block.h[starts + j, 0]
                     h2 += c2[j] * block.h[starts + j, 1]
+                h2 >>= np.uint64(32)
                 local = starts - (block.ends - block.counts)[in_row]
                 order_id = np.array([_NULL_ID if v is None else v for v in ids], np.int64)[in_row]
                 order = np.lexsort((local, in_row, order_id, h2, h1))
@@ -147,16 +169,13 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
                     later[r] = own
                 for i in sorted(waits):
                     gone = later.get(i, np.zeros(0, np.int64))
-                    found.append((1, number, ids[i], i, None, None, None, None, b" ".join(block.words[i]), _packed(np.full(len(gone), i), gone)))
+                    found.append((1, number, ids[i], i, None, None, None, None, zlib.compress(b" ".join(block.words[i]), 1), _packed(np.full(len(gone), i), gone)))
                 # One occurrence a block of each window, dealt by its hash.
                 h1, h2, local, in_row, order_id = (x[first] for x in (h1, h2, local, in_row, order_id))
                 chunk = (h1 % np.uint64(chunks)).astype(np.int64)
-                sent_on = np.zeros(len(h1), [("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("row", "<i4"), ("at", "<i4")])
-                for c, v in zip(("h1", "h2", "id", "row", "at"), (h1, h2, order_id, in_row, local)):
-                    sent_on[c] = v
-                by = np.argsort(chunk, kind="stable")
+                by = np.lexsort((local, in_row, chunk))
                 for c, at in zip(*_runs(chunk[by], by)):
-                    found.append((2, number, None, None, c, None, None, None, None, sent_on[at].tobytes()))
+                    found.append((2, number, None, None, c, len(at), None, None, None, _pack_windows(h1[at], h2[at], order_id[at], in_row[at], local[at])))
             for low in range(0, len(found), 1000):
                 yield table(found[low : low + 1000])
 
@@ -167,22 +186,23 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     def group(table_: pa.Table) -> pa.Table:
         """All occurrences of a chunk's windows but the first, by block."""
-        parts = [np.frombuffer(p, [("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("row", "<i4"), ("at", "<i4")]) for p in table_.column("part").to_pylist()]
-        block = np.repeat(table_.column("block").to_numpy(), [len(p) for p in parts])
-        x = np.concatenate(parts)
-        order = np.lexsort((x["at"], x["row"], block, x["id"], x["h2"], x["h1"]))
-        x, block = x[order], block[order]
-        again = np.zeros(len(x), bool)
-        again[1:] = (x["h1"][1:] == x["h1"][:-1]) & (x["h2"][1:] == x["h2"][:-1])
-        x, block = x[again], block[again]
+        n = table_.column("n_words").to_numpy()
+        parts = [_unpack_windows(p.as_py(), k) for p, k in zip(table_.column("part"), n.tolist())]
+        h1, h2, id_, row, at = (np.concatenate(x) for x in zip(*parts))
+        block = np.repeat(table_.column("block").to_numpy(), n)
+        order = np.lexsort((at, row, block, id_, h2, h1))
+        h1, h2 = h1[order], h2[order]
+        again = np.zeros(len(order), bool)
+        again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        block, row, at = (x[order[again]] for x in (block, row, at))
         by = np.argsort(block, kind="stable")
         ids, parts = [], []
-        for b, at in zip(*_runs(block[by], by)):
+        for b, which in zip(*_runs(block[by], by)):
             ids.append(b)
-            parts.append(_packed(x["row"][at], x["at"][at]))
+            parts.append(_packed(row[which], at[which]))
         return pa.table({"block": pa.array(ids, pa.int64()), "part": pa.array(parts, pa.binary())})
 
-    removals = all_kinds.where("kind = 2").select("chunk", "block", "part").groupBy("chunk").applyInArrow(group, "block long, part binary")
+    removals = all_kinds.where("kind = 2").select("chunk", "block", "n_words", "part").groupBy("chunk").applyInArrow(group, "block long, part binary")
 
     def finish(texts: pa.Table, gone: pa.Table) -> pa.Table:
         outside = _unpacked(gone.column("part").to_pylist())
@@ -190,7 +210,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         by_row = dict(zip(*_runs(*_sorted(outside[:, 0], outside[:, 1]))))
         for id_, row, body, part in zip(*(texts.column(c).to_pylist() for c in ("id", "row", "body", "part"))):
             starts = np.concatenate([_unpacked([part])[:, 1], by_row.get(row, np.zeros(0, np.int32))]).astype(np.int64)
-            n, removed, kept = _result(body.split(), starts, width)
+            n, removed, kept = _result(zlib.decompress(body).split(), starts, width)
             for c, v in zip(found, (id_, n, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if removed else None)):
                 found[c].append(v)
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(found.items(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))})
