@@ -9,11 +9,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand over at most 8 MB of rows at a time, so that long texts don't fill the workers' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut batches so that a slice holds some 4 MB of text (one longer text makes a slice of its own)."""
     for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskloom.llm import _sketch
-from taskloom.llm._text import arrow_type, slices
+from taskloom.llm._text import arrow_type, slices, small_batches
 from taskloom.session import scratch_path, written
 
 _VARIABLE = re.compile(rb"[0-9@]|://")
@@ -72,6 +72,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, depth: int = 3, agree: fl
     from taskloom.llm._text import free_name
 
     spark = docs.sparkSession
+    small_batches(spark)
     name = free_name(docs.columns, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"), F.struct(*docs.columns).alias("row"))
     bits = _sketch.width_bits(_sketch.text_bytes(docs, text_col) / 50)
@@ -86,7 +87,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, depth: int = 3, agree: fl
                 found = {parse(x, depth, min_tokens) for x in set(t.split(b"\n"))} - {None}
                 keys.append(np.array(list({leaf_of(p) for p in found}), np.uint64))
                 held += len(found)
-            if held > 4_000_000:
+            if held > _sketch.HELD_KEYS:
                 yield from _sketch.touches(keys, bits)
                 keys, held = [], 0
         yield from _sketch.touches(keys, bits)

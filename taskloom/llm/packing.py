@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskloom.llm._text import slices
+from taskloom.llm._text import small_batches, slices
 
 WINDOW_TOKENS = 4 << 20
 #: Entries of the word memo of a Python worker; it starts anew when full.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 1_000_000
 
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
 
@@ -55,7 +55,6 @@ class WordTokenizer:
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.memo: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
         self.memo_words = memo_words
 
     def learn(self, words: set[bytes]) -> None:
@@ -71,27 +70,27 @@ class WordTokenizer:
                     other.append(w)
                     continue
             cut[w] = low, w[len(core) :]
-        fresh = list({low for low, _ in cut.values()} - self.runs.keys())
+        fresh, runs = list({low for low, _ in cut.values()}), {}
         for at in range(0, len(fresh), 500):
             part = fresh[at : at + 500]
             found = self.letters.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
             for r, low, high in zip(part, ends, ends[1:]):
-                self.runs[r] = ids[low:high]
+                runs[r] = ids[low:high]
         rest = other + list({t for _, t in cut.values() if t} - self.memo.keys())
         texts = [t.decode("utf-8", "replace") for t in rest]
         for w, e in zip(rest, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
             self.memo[w] = np.array(e.ids, "<u4").tobytes()
         for w, (low, tail) in cut.items():
-            self.memo[w] = self.runs[low] + self.memo[tail] if tail else self.runs[low]
+            self.memo[w] = runs[low] + self.memo[tail] if tail else runs[low]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
+        # Small letters share entries; special tokens are only such as they are written.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         words = set().union(*split)
         if len(self.memo) + len(words) > self.memo_words:
             self.memo.clear()
-            self.runs.clear()
         self.learn(words - self.memo.keys())
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, s)), "<u4") for s in split]
 
@@ -144,6 +143,7 @@ def pack_documents(docs: DataFrame, definition: str, end_id: int = 1, capacity:
     names = ["start", "length", "doc_tokens", "sequence_id", "offset"]
     out = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in names),
                         T.StructField("ids", T.BinaryType())])
+    small_batches(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(definition)  # the size of a vocabulary file
 
     def close(held: list, last: bool, base: int) -> tuple[list, list, int]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskloom.llm._text import arrow_type, covered, free_name, hash64, slices, window_hash
+from taskloom.llm._text import arrow_type, covered, free_name, hash64, slices, small_batches, window_hash
 
 #: Bound on the labelled rows that the trees are fitted on.
 TRAIN_ROWS = 20_000
@@ -200,5 +200,6 @@ def score_documents(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id"
             made = pa.StructArray.from_arrays([*map(pa.array, base.T.copy()), pa.array(score), pa.array(failed), pa.array(kept)], fields=list(inner))
             yield pa.RecordBatch.from_arrays([*part.columns[:width], made], [*part.schema.names[:width], name])
 
+    small_batches(docs.sparkSession)
     rows = docs.withColumn(body, F.col(text_col).cast("string"))
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskloom.llm._graph import components
-from taskloom.llm._text import slices
+from taskloom.llm._text import slices, small_batches
 from taskloom.session import written
 
 #: Cost of verifying a candidate, in probe rows.
@@ -53,6 +53,7 @@ def fingerprint(raw: bytes, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp): fp is the 64-bit fingerprint as a signed bigint."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())])
 
