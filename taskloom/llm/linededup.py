@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskloom.llm import _sketch
-from taskloom.llm._text import arrow_type, slices, small_batches
+from taskloom.llm._text import arrow_type, free_name, slices, small_batches
 from taskloom.session import scratch_path, written
 
 _VARIABLE = re.compile(rb"[0-9@]|://")
@@ -52,15 +52,21 @@ def _agreement(form: Column, template: Column) -> Column:
 
 
 def templates(lines: DataFrame, agree: float, rounds: int) -> DataFrame:
-    """(leaf, form, template) of every line form of ``lines`` (leaf, form, one row a document)."""
-    forms = written(lines.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("docs")), "line-forms")
-    out, left = None, forms
+    """(leaf, form, template) of every line form of ``lines`` (leaf, form, words, one row a document).
+
+    Forms and templates are named by 64-bit hashes, unique in a leaf; only distinct forms carry their words.
+    """
+    forms = lines.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("docs"), F.first("words").alias("words"))
+    out, left = None, written(forms, "line-forms")
     for _ in range(rounds):
-        lead = left.groupBy("leaf").agg(F.max_by("form", F.struct("docs", "form")).alias("template"))
-        tried = written(left.join(lead, "leaf").withColumn("joins", _agreement(F.col("form"), F.col("template")) >= agree), "line-tried")
+        lead = left.groupBy("leaf").agg(F.max(F.struct("docs", "form", "words")).alias("lead"))
+        joins = _agreement(F.col("words"), F.col("lead.words")) >= agree
+        tried = left.join(lead, "leaf").select("leaf", "form", "docs", F.col("lead.form").alias("template"), joins.alias("joins"),
+                                               F.when(~joins, F.col("words")).alias("words"))
+        tried = written(tried, "line-tried")
         joined = tried.where("joins").select("leaf", "form", "template")
         out = joined if out is None else out.unionByName(joined)
-        left = tried.where("not joins").select("leaf", "form", "docs")
+        left = tried.where("not joins").select("leaf", "form", "docs", "words")
     return out.unionByName(left.select("leaf", "form", F.col("form").alias("template")))
 
 
@@ -69,8 +75,6 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, depth: int = 3, agree: fl
     """The documents with recurring lines taken out of ``text_col``, and a struct column ``lines``
     (set aside as ``lines_`` where that name is taken) with n_lines and n_dropped.
     """
-    from taskloom.llm._text import free_name
-
     spark = docs.sparkSession
     small_batches(spark)
     name = free_name(docs.columns, "lines")
@@ -93,7 +97,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, depth: int = 3, agree: fl
         yield from _sketch.touches(keys, bits)
 
     sent = _sketch.merged(rows.select("body").mapInArrow(count, _sketch.TOUCHES), bits)
-    form = T.ArrayType(T.StructType([T.StructField("leaf", T.LongType()), T.StructField("form", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+    form = T.ArrayType(T.StructType([T.StructField("leaf", T.LongType()), T.StructField("form", T.LongType()), T.StructField("words", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
     out = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n_lines", T.LongType()),
                         T.StructField("forms", form), T.StructField("row", rows.schema["row"].dataType)])
 
@@ -113,20 +117,22 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, depth: int = 3, agree: fl
                 leaves = np.array([leaf_of(p) for p in order], np.uint64)
                 hit = repeated(leaves).tolist()
                 signed = leaves.view(np.int64).tolist()
-                forms.append([{"leaf": s, "form": p[1].decode("utf-8", "replace"), "at": found[p]} for p, s, h in zip(order, signed, hit) if h])
+                forms.append([
+                    {"leaf": s, "form": xxhash.xxh3_64_intdigest(p[1]) - (1 << 63), "words": p[1].decode("utf-8", "replace"), "at": found[p]}
+                    for p, s, h in zip(order, signed, hit) if h])
             keys = np.arange(key, key + len(texts))
             key += len(texts)
             yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0), pa.array(n_lines, pa.int64()), pa.array(forms, arrow_type(form)), part.column(2)], out.names)
 
     path = scratch_path(spark, "lines")
-    rows.mapInArrow(second, out).withColumn("waits", F.size("forms") > 0).write.partitionBy("waits").parquet(path)
+    rows.mapInArrow(second, out).withColumn("waits", F.size("forms") > 0).write.option("compression", "zstd").partitionBy("waits").parquet(path)
     read = spark.read.schema(T.StructType([*out.fields, T.StructField("waits", T.BooleanType())])).parquet(path)
     waiting, ready = read.where("waits"), read.where("not waits")
 
-    lines = waiting.select("key", "id", F.explode("forms").alias("f")).select("key", "id", "f.leaf", "f.form", "f.at")
-    named = written(templates(lines.select("leaf", "form"), agree, rounds), "line-templates")
+    lines = waiting.select("key", "id", F.explode("forms").alias("f")).select("key", "id", "f.leaf", "f.form", "f.words", "f.at")
+    named = written(templates(lines.select("leaf", "form", "words"), agree, rounds), "line-templates")
     # The written side and the lines are both dealt by the join, so Spark can split a very common line.
-    marked = written(lines.join(named, ["leaf", "form"]).select("key", "id", "leaf", "template", "at"), "line-marked")
+    marked = written(lines.drop("words").join(named, ["leaf", "form"]).select("key", "id", "leaf", "template", "at"), "line-marked")
     once = marked.groupBy("leaf", "template", "key").agg(F.first("id").alias("id"))
     counts = once.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("id", "key")).alias("first"))
     recurring = written(counts.where(F.col("docs") >= min_docs).select("leaf", "template", F.col("first.key").alias("keeper")), "line-recurring")
