@@ -13,31 +13,41 @@ from pyspark.sql import functions as F
 
 from taskloom.session import shuffle_width
 
-_SEGMENTS = 32
+#: Quantiles that are fetched at most; finer buckets divide the space between two of them evenly.
+_QUANTILES = 512
 
 
 def range_bucket(df: DataFrame, seq: str, n_buckets: int | None = None) -> Column:
     """Bucket expression that is monotone in the bigint column ``seq``.
 
-    One aggregate over ``seq`` alone fetches 33 quantiles; between two of them
-    the buckets are equally wide. The quantiles only balance the work: any
-    monotone bucketing gives the same ordinals, so they need not be exact.
+    One aggregate over ``seq`` alone fetches the limits of the buckets as
+    quantiles, so buckets are even however the values cluster. The quantiles only
+    balance the work: any monotone bucketing gives the same ordinals, so they
+    need not be exact.
     """
     n_buckets = n_buckets or 4 * shuffle_width(df.sparkSession)
-    per = max(1, -(-n_buckets // _SEGMENTS))
-    probes = [i / _SEGMENTS for i in range(_SEGMENTS + 1)]
-    found = df.agg(F.percentile_approx(seq, probes, 10000)).first()[0]
+    parts = min(n_buckets, _QUANTILES)
+    per = -(-n_buckets // parts)
+    found = df.agg(F.percentile_approx(seq, [i / parts for i in range(parts + 1)], 10 * _QUANTILES * 2)).first()[0]
     cuts = sorted(set(found or []))
     if len(cuts) < 2:
         return F.lit(0)
     value = F.col(seq).cast("double")
-    chain = None
-    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        inside = F.floor((value - float(lo)) * (per / (hi - lo)))
-        bucket = F.least(F.greatest(inside, F.lit(0)), F.lit(per - 1)) + i * per
-        test = F.col(seq) < hi
-        chain = F.when(test, bucket) if chain is None else chain.when(test, bucket)
-    return chain.otherwise((len(cuts) - 1) * per).cast("int")
+
+    def inside(i: int) -> Column:
+        if per == 1:
+            return F.lit(i)
+        width = cuts[i + 1] - cuts[i]
+        return F.lit(i * per) + F.least(F.greatest(F.floor((value - float(cuts[i])) * (per / width)), F.lit(0)), F.lit(per - 1))
+
+    # Binary search as nested conditions: log2(quantiles) comparisons a row.
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return inside(low)
+        middle = (low + high) // 2
+        return F.when(F.col(seq) <= cuts[middle + 1], search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(cuts) - 2).cast("int")
 
 
 def number_rows(

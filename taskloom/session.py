@@ -1,5 +1,6 @@
 """Session-level helpers: the shared folder and the parallelism to plan for."""
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
+    """The cluster's shared folder; a temporary one only where none is named and all runs on this machine."""
     found = spark.conf.get(_CHECKPOINT, None) or spark.sparkContext.getConf().get(_CHECKPOINT)
     if found:
         return found
+    master = spark.sparkContext.master or ""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set {_CHECKPOINT} to a folder that driver and executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="taskloom-")

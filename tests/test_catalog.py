@@ -7,9 +7,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, values
+from taskloom.plans.catalog import QUERIES
+from taskloom.plans.oracle import ORACLE
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,7 @@ def db():
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= queries().items() and ORACLE.items() <= oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

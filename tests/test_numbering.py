@@ -48,6 +48,13 @@ def test_hot_key_spans_many_buckets(spark):
     assert largest <= 40
 
 
+@pytest.mark.parametrize("rule", ["id", "id * 1000003 % 999983", "CASE WHEN id < 1900 THEN id ELSE id + 1000000000000 END", "(id % 4) * 8589934592 + id"])
+def test_buckets_are_even(spark, rule):
+    df = spark.range(2000).selectExpr(f"{rule} AS seq")
+    sizes = [r["count"] for r in df.groupBy(range_bucket(df, "seq", 100).alias("b")).count().collect()]
+    assert max(sizes) <= 4 * 20
+
+
 def test_attach_drops_keys_without_partner(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, seq bigint")
     extra = spark.createDataFrame([("a", 9)], "k string, m int")
