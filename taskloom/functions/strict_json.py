@@ -1,9 +1,12 @@
 """Strict JSON out of response columns, natively where possible.
 
 Spark's parser stops at the closing brace, so ``{"a": 1} and more`` would pass.
-Wrapped in brackets it does not: the text must then be exactly one array item.
-Single quotes, bare names and raw control characters are off, so a text is
-accepted when a strict JSON parser accepts it as one object.
+Here the text becomes the first of two array items; the second holds an end mark
+made from the text's hash. Only if the parser arrives at the mark, as the second
+item, was the text one object and nothing else. Single quotes, bare names and raw
+control characters are off, and of a repeated name the last value counts, so a
+text is read as a strict JSON parser reads it. Numbers may be of any length, and
+``NaN`` and ``Infinity`` are taken as values. Nesting beyond 1,000 levels is not.
 
 Only two things need Python (Arrow-batched): lists in Python notation, and the
 optional search for the last *balanced* object.
@@ -25,6 +28,7 @@ STRICT = {
     "allowUnquotedFieldNames": "false",
     "allowUnquotedControlChars": "false",
     "maxStringLen": "2147483647",
+    "maxNumLen": "2147483647",
 }
 _TEXTS = T.ArrayType(T.StringType())
 _NAMED = T.MapType(T.StringType(), T.StringType())
@@ -35,11 +39,30 @@ def one_object(text: Column) -> Column:
     """The text as one object: map of names to strings, nested values as JSON text.
 
     Null if it is anything else. A string map takes every kind of value, so only
-    broken JSON fails, not an unexpected type.
+    broken JSON fails, not an unexpected type. Read values by ``value_of``.
     """
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", STRICT)
-    single = F.transform(F.array(wrapped), lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))))
-    return F.when(F.startswith(strip(text), F.lit("{")), F.get(single, F.lit(0)))
+    mark = F.concat(F.lit("end-"), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(text, F.lit(1))))
+    both = F.concat(F.lit("["), text, F.lit(',{"'), mark, F.lit('":""}]'))
+    wrapped = F.from_json(both, "array<map<string,string>>", STRICT)
+
+    def first(p: Column) -> Column:
+        end = F.get(p, F.lit(1))
+        ended = (F.size(p) == 2) & (F.size(end) == 1) & F.map_contains_key(end, mark)
+        return F.when(F.coalesce(ended, F.lit(False)), F.get(p, F.lit(0)))
+
+    return F.when(F.startswith(strip(text), F.lit("{")), F.get(F.transform(F.array(wrapped), first), F.lit(0)))
+
+
+# Numbers that are no JSON but that parsers take, as Spark prints them.
+_NO_NUMBERS = {'"NaN"': "NaN", '"Infinity"': "Infinity", '"-Infinity"': "-Infinity", '"INF"': "Infinity", '"-INF"': "-Infinity"}
+
+
+def value_of(m: Column, name: str) -> Column:
+    """The last value under a name, as a parser that meets it twice keeps it; null where there is none."""
+    found = F.filter(F.map_entries(m), lambda e: e["key"] == name)
+    last = F.try_element_at(found, F.lit(-1))["value"]
+    shown = F.create_map(*[F.lit(v) for pair in _NO_NUMBERS.items() for v in pair])
+    return F.when(F.startswith(last, F.lit('"')), F.coalesce(F.try_element_at(shown, last), last)).otherwise(last)
 
 
 def json_fields(col: Column, *names: str) -> Column:
@@ -52,7 +75,7 @@ def json_fields(col: Column, *names: str) -> Column:
     def fields(m: Column) -> Column:
         def value(n: str) -> Column:
             key = F.lit(n)
-            return F.when(m.isNotNull(), F.when(F.map_contains_key(m, key), F.try_element_at(m, key)).otherwise(""))
+            return F.when(m.isNotNull(), F.when(F.map_contains_key(m, key), value_of(m, n)).otherwise(""))
 
         return F.struct(m.isNotNull().alias("ok"), *[value(n).alias(n) for n in names])
 
@@ -63,13 +86,13 @@ def json_fields(col: Column, *names: str) -> Column:
 
 def json_list_size(col: Column, name: str) -> Column:
     """Length of the list under ``name``; null where there is none."""
-    found = F.try_element_at(one_object(text_or_empty(col)), F.lit(name))
+    found = value_of(one_object(text_or_empty(col)), name)
     return computed_once(F.size(F.from_json(found, "array<string>", STRICT)).cast("bigint"))
 
 
 def typed_value(m: Column, name: str, kind: T.DataType) -> Column:
     """One value of a parsed object as ``kind``; null where it does not fit."""
-    text = F.try_element_at(m, F.lit(name))
+    text = value_of(m, name)
     if isinstance(kind, T.StringType):
         return text
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):

@@ -20,6 +20,7 @@ from taskloom.functions.hashing import sha_id
 from taskloom.functions.text import text_or_empty, token_count, truncate
 from taskloom.operators.sharding import resume_antijoin
 from taskloom.prompts import DEFAULT_TYPE, STAGES, TYPE_GUIDES
+from taskloom.session import shuffle_width
 
 
 def render_prompt(template: str, values: Sequence[tuple[str, Column]]) -> Column:
@@ -72,13 +73,23 @@ def gen_params(stage: str) -> Column:
     )
 
 
+def settings_text(stage: str) -> str:
+    """The settings of a stage that shape its answers, as part of the request id."""
+    s = STAGES[stage]
+    shown = (s.max_tokens, s.max_model_len, s.temperature, s.top_p, s.top_k, s.repetition_penalty, s.seed)
+    return ",".join("" if v is None else str(v) for v in shown)
+
+
 def requests(rows: DataFrame, stage: str, row_key: Sequence[str], prompt: Column) -> DataFrame:
-    """Add ``prompt``, ``messages``, ``params`` and a ``request_id`` that a retry reproduces."""
+    """Add ``prompt``, ``messages``, ``params`` and a ``request_id`` that a retry reproduces.
+
+    The id covers the prompt and the settings: after a change of either the model is asked again.
+    """
     return (
         rows.withColumn("prompt", prompt)
         .withColumn("messages", chat_messages(F.col("prompt"), STAGES[stage].system))
         .withColumn("params", gen_params(stage))
-        .withColumn("request_id", sha_id(F.lit(stage), *[F.col(c) for c in row_key], F.col("prompt")))
+        .withColumn("request_id", sha_id(F.lit(stage), F.lit(settings_text(stage)), *[F.col(c) for c in row_key], F.col("prompt")))
     )
 
 
@@ -136,9 +147,10 @@ def infer_batches(
             raw.loc[send] = [a.strip() for a in answers]
             yield pd.DataFrame({"request_id": chunk["request_id"], "raw": raw})
 
-    return reqs.select(*columns).mapInPandas(run, "request_id string, raw string")
+    return reqs.select(*columns).mapInPandas(run, RESPONSES)
 
 
+# The row of a job that never succeeded.
 _FAILED = {"return_code": -1, "stdout": "", "stderr": "max retries exceeded"}
 
 
@@ -180,23 +192,37 @@ def run_batches(
                     "stderr": [d.get("stderr") or "" for d in done],
                 })
 
-    schema = "request_id string, success boolean, return_code int, stdout string, stderr string"
-    return jobs.select("request_id", "code", "language", "stdin").mapInPandas(work, schema)
+    return jobs.select("request_id", "code", "language", "stdin").mapInPandas(work, RUNS)
+
 
+RESPONSES = "request_id string, raw string"
+RUNS = "request_id string, success boolean, return_code int, stdout string, stderr string"
 
-def exchange_through(reqs: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def exchange_through(
+    reqs: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame], schema: str = RESPONSES,
+    waves: int = 8, parallelism: int | None = None,
+) -> DataFrame:
     """Answer the requests that ``path`` does not hold yet, append them, and return the table.
 
-    Committed files survive a lost executor or a restart; duplicates cannot
-    arise because a request id is asked only while it is missing. Run it with
-    speculation off.
+    Each distinct request id is asked once. The ids are dealt into ``waves``, each
+    of which is committed before the next begins, so a run that fails keeps the
+    answers of its finished waves, and a restart asks only for the rest. Inside a
+    wave the calls go to ``parallelism`` tasks (default: the shuffle partitions);
+    a given number is not coalesced by size, as a call's cost is not its bytes.
+    Run it with speculation off. ``reqs`` should be a stored table, as it is read
+    once per wave.
     """
     spark = reqs.sparkSession
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    todo = resume_antijoin(reqs, spark.read.parquet(path), "request_id") if exists else reqs
-    answer(todo).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = parallelism or shuffle_width(spark)
+    for wave in range(waves):
+        todo = reqs.where(F.pmod(F.xxhash64("request_id"), F.lit(waves)) == wave).dropDuplicates(["request_id"])
+        if system.exists(folder):
+            todo = resume_antijoin(todo, spark.read.schema(schema).parquet(path), "request_id")
+        answer(todo.repartition(n, "request_id")).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def attach_responses(reqs: DataFrame, responses: DataFrame, out: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taskloom.functions.hashing import sha_id
 from taskloom.functions.text import is_blank, strip, text_or_empty
 from taskloom.functions.strict_json import json_fields
 from taskloom.operators.numbering import lookup_join, number_rows, range_bucket, spread_join
@@ -130,3 +131,19 @@ def synth_key(problem_id: Column, sample_idx: Column) -> Column:
 def trace_key(problem_id: Column, source: Column, n: Column) -> Column:
     """``n`` must be a table-wide ordinal: a per-shard one would collide across shards."""
     return F.concat_ws("::", problem_id, source, n.cast("string"))
+
+
+def with_run_key(inputs: DataFrame) -> DataFrame:
+    """Add ``run_key``: a hash of problem, source, normalised input and, among equal ones, the occurrence by ``seq``."""
+    content = sha_id(text_or_empty(F.col("problem_id")), text_or_empty(F.col("source")), _input_key(F.col("input")))
+    hashed = inputs.withColumn("_content", content)
+    counted = number_rows(hashed, ["_content"], ["seq"], range_bucket(hashed, "seq"), "_nth")
+    return counted.withColumn("run_key", F.substring(sha_id(F.col("_content"), F.col("_nth")), 1, 32)).drop("_content", "_nth")
+
+
+def fuse_funnel(cases: DataFrame, templates: DataFrame) -> DataFrame:
+    """Cases by what becomes of them: fused, or left out as their problem has no template."""
+    known = templates.select(F.col("id").alias("problem_id")).distinct().withColumn("_known", F.lit(True))
+    counts = cases.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n")).join(known, "problem_id", "left")
+    status = F.when(F.col("_known"), "fused").otherwise("no_template")
+    return counts.groupBy(status.alias("fuse_status")).agg(F.sum("n").alias("n"))

@@ -1,5 +1,7 @@
 """Record shaping: problem texts, solutions, names and ratings."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +84,11 @@ def editorial_text() -> Column:
     ).otherwise("None")
 
 
-def solution_rows(qa: DataFrame) -> DataFrame:
+def solution_rows(qa: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
     """One row per (problem, solution); a problem without any keeps one row with null ``pos``."""
     return qa.select(
-        "id", F.posexplode_outer("accepted_solutions").alias("pos", "_s")
-    ).select("id", F.col("pos").cast("bigint"), "_s.source", "_s.og_source", "_s.programmingLanguage", "_s.submission_id")
+        *keep, F.posexplode_outer("accepted_solutions").alias("pos", "_s")
+    ).select(*keep, F.col("pos").cast("bigint"), "_s.source", "_s.og_source", "_s.programmingLanguage", "_s.submission_id")
 
 
 def solution_status(
@@ -113,20 +115,21 @@ def expand_solutions(
     max_code_len: int | None = 8000,
     allowed: list[str] | None = None,
     seed: int = 42,
+    key: str = "id",
 ) -> DataFrame:
     """Usable solutions per problem, renumbered from 0 after filtering and sampling.
 
-    ``solutions`` has one row per (id, pos). With ``max_solutions`` a seeded
+    ``solutions`` has one row per (``key``, pos); where problem ids repeat, the key names the record. With ``max_solutions`` a seeded
     sample is kept and numbered in sample order; otherwise the order is ``pos``.
     """
     kept = solution_status(solutions, max_code_len, allowed).where("status = 'kept'").drop("status")
     if max_solutions is None:
         bucket = range_bucket(solutions, "pos")
-        return number_rows(kept, ["id"], ["pos"], bucket, "solution_idx")
+        return number_rows(kept, [key], ["pos"], bucket, "solution_idx")
     # At most M per problem: in position order where all fit, in sample order where not.
     drawn = kept.withColumn("_draw", md5_key(F.lit(seed), F.col("id"), F.col("pos")))
-    few = top_per_key(drawn, ["id"], ["_draw"], max_solutions + 1, md5_bucket(F.col("_draw"), 2), "_rank")
-    group = Window.partitionBy("id")  # holds max_solutions + 1 rows at most
+    few = top_per_key(drawn, [key], ["_draw"], max_solutions + 1, md5_bucket(F.col("_draw"), 2), "_rank")
+    group = Window.partitionBy(key)  # holds max_solutions + 1 rows at most
     sized = few.withColumn("_all", F.count(F.lit(1)).over(group)).where(F.col("_rank") < max_solutions)
     by_pos = F.when(F.col("_all") <= max_solutions, F.col("pos"))
     order = group.orderBy(by_pos.asc_nulls_last(), "_draw")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from taskloom.functions import lexicon
 from taskloom.functions import text as t
+from taskloom.functions.hashing import sha_id
 from taskloom.functions.language import language_detect, language_runner
 from taskloom.functions.strict_json import json_fields, parse_last_block
 from taskloom.operators import checks, corpus, exchange, export, joins, pairing, responses, runs, shape, sharding
@@ -122,6 +123,16 @@ def read_shards(x: Inputs) -> DataFrame:
     return shards.read_shards(x.spark, path, 3, 9).select("eval_id", "seq", _big("shard"))
 
 
+@query
+def shard_read_report(x: Inputs) -> DataFrame:
+    """Rows of every stored shard, and whether its files could be read."""
+    path = x.scratch("shards")
+    shards.write_shards(sharding.shard_ceil(x.eval_cases, "seq", 16).select("eval_id", "seq", "shard"), path)
+    found = shards.read_report(x.spark, path)
+    return found.groupBy(F.regexp_extract("path", r"shard=(\d+)", 1).cast("bigint").alias("shard")).agg(
+        F.every("readable").alias("readable"), F.sum("rows").alias("n"))
+
+
 @query
 def union_inputs(x: Inputs) -> DataFrame:
     return shards.union_inputs(
@@ -283,7 +294,7 @@ def classified_corpus(x: Inputs) -> DataFrame:
 
 @query
 def type_buckets(x: Inputs) -> DataFrame:
-    return corpus.type_buckets(x.classified, "doc_id", 400).select("corpus_id", _big("type_id"), "corpus_text")
+    return corpus.type_buckets(x.classified, "doc_id").select("corpus_id", _big("type_id"), "corpus_text")
 
 
 @query
@@ -444,6 +455,47 @@ def infer_batches(x: Inputs) -> DataFrame:
     return exchange.attach_responses(reqs.select("seq", "request_id"), table, "synthesis_result").select("seq", "synthesis_result")
 
 
+def _case_requests(x: Inputs) -> DataFrame:
+    """Eval cases as requests, named by their content."""
+    return x.eval_cases.select("seq", "input", sha_id(F.lit("case"), F.col("input")).alias("request_id"), F.col("input").alias("prompt"))
+
+
+def _lengths(prompts: list[str]) -> list[str]:
+    return [str(len(p)) for p in prompts]
+
+
+@query
+def exchange_repeated_rows(x: Inputs) -> DataFrame:
+    """Equal requests are asked once, and every row gets its answer."""
+    copies = F.explode(F.when(F.col("seq") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    reqs = written(_case_requests(x).withColumn("copy", copies), "repeated")
+    table = exchange.exchange_through(reqs.select("request_id", "prompt"), x.scratch("answers"), lambda r: exchange.infer_batches(r, _lengths, 64), waves=2)
+    return exchange.attach_responses(reqs, table, "answer").select("seq", "input", _big("copy"), "answer")
+
+
+@query
+def exchange_resumed(x: Inputs) -> DataFrame:
+    """A first run answers the even cases; a second one over all asks only for the rest."""
+    reqs = written(_case_requests(x).withColumn("request_id", F.col("seq").cast("string")), "resumed")
+    path = x.scratch("answers")
+
+    def by(name: str):
+        return lambda r: exchange.infer_batches(r, lambda prompts: [name] * len(prompts), 64)
+
+    exchange.exchange_through(reqs.where("seq % 2 = 0"), path, by("first"), waves=2)
+    table = exchange.exchange_through(reqs, path, by("second"), waves=2)
+    return exchange.attach_responses(reqs, table, "answered_by").groupBy("answered_by").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def resume_added_inputs(x: Inputs) -> DataFrame:
+    """Inputs that were run before stay done when others are added, also in front of them."""
+    inputs = x.eval_cases.select("problem_id", "source", "input", "seq")
+    done = joins.with_run_key(inputs.where("seq % 4 <> 0")).select("run_key")
+    todo = sharding.resume_antijoin(joins.with_run_key(inputs), written(done, "done"), "run_key")
+    return todo.groupBy("problem_id", "source", "input").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def length_gate(x: Inputs) -> DataFrame:
     """Prompts beyond the budget are not sent and carry an empty result."""
@@ -520,6 +572,11 @@ def round_robin_templates(x: Inputs) -> DataFrame:
     )
 
 
+@query
+def fuse_funnel(x: Inputs) -> DataFrame:
+    return joins.fuse_funnel(x.eval_cases, x.templates)
+
+
 @query
 def template_stats(x: Inputs) -> DataFrame:
     return joins.template_stats(x.templates)

@@ -5,6 +5,7 @@ the caller's. ``work`` is a folder in shared storage: responses are kept there
 by request id, so a job that is started again asks only for what is missing.
 """
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from taskloom.functions.hashing import sha_id
 from taskloom.functions.language import language_runner
 from taskloom.functions.text import truncate
 from taskloom.operators import corpus, exchange, joins, pairing, responses, runs, shape
-from taskloom.operators.numbering import dense_ordinal, lookup_join
+from taskloom.operators.numbering import lookup_join
 from taskloom.operators.sharding import resume_antijoin
 from taskloom.prompts import STAGES
 
@@ -22,21 +23,38 @@ Complete = Callable[[list[str]], list[str]]
 Run = Callable[[dict], dict]
 
 
+def _stored(df: DataFrame, work: str, name: str) -> DataFrame:
+    """The rows as a table of their own under ``work``: what made them runs once."""
+    path = f"{work}/stored/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ask(
     rows: DataFrame, stage: str, key: Sequence[str], values: dict[str, Column], complete: Complete,
-    work: str, out: str, gated: bool = False, template: str | None = None,
+    work: str, out: str, gated: bool = False, template: str | None = None, waves: int = 8,
 ) -> DataFrame:
-    """Render, send, keep and attach: the core of every model job. ``key`` is unique per row."""
+    """Render, store, send, keep and attach: the core of every model job.
+
+    The rendered requests are stored first, so that the rows behind them are
+    computed once. Rows with equal ``key`` and prompt share one answer and stay
+    as many as they were. Rows that the length gate holds back get ``''`` and
+    leave nothing in the response table.
+    """
     s = STAGES[stage]
     prompt = exchange.render_prompt(template or s.template, [(n, values[n]) for n in s.placeholders])
     reqs = exchange.requests(rows, stage, key, prompt)
-    gate = None
     if gated:
-        reqs, gate = exchange.length_gate(reqs, s.max_model_len, s.max_tokens), "sendable"
+        reqs = exchange.length_gate(reqs, s.max_model_len, s.max_tokens)
+    else:
+        reqs = reqs.withColumn("sendable", F.lit(True))
+    reqs = _stored(reqs.select(*rows.columns, "request_id", "prompt", "sendable"), work, stage)
     table = exchange.exchange_through(
-        reqs, f"{work}/{stage}", lambda todo: exchange.infer_batches(todo, complete, s.batch_size, gate=gate)
+        reqs.where("sendable").select("request_id", "prompt"), f"{work}/{stage}",
+        lambda todo: exchange.infer_batches(todo, complete, s.batch_size), waves=waves,
     )
-    return exchange.attach_responses(reqs.select(*rows.columns, "request_id"), table, out).drop("request_id")
+    answered = exchange.attach_responses(reqs.select(*rows.columns, "request_id", "sendable"), table, out)
+    return answered.withColumn(out, F.when(F.col("sendable"), F.col(out)).otherwise("")).drop("request_id", "sendable")
 
 
 def classify_problems(problems: DataFrame, complete: Complete, work: str) -> DataFrame:
@@ -92,17 +110,19 @@ def refine_problems(pairs: DataFrame, complete: Complete, work: str) -> DataFram
     return ask(drafts, "refine", ["id", "sample_idx"], values, complete, work, "refined_result").drop("draft_problem", "draft_input")
 
 
-def _solution_jobs(qa: DataFrame, **limits) -> DataFrame:
-    """Usable solutions with the full text of their problem."""
-    solutions = shape.expand_solutions(shape.solution_rows(qa).where("pos IS NOT NULL"), **limits)
-    problems = qa.select("id", "contest_id", "index", "title", "type_level1", shape.problem_text(with_note=True).alias("problem"))
-    return lookup_join(solutions.drop("source", "og_source", "pos"), problems, ["id"], ["solution_idx"])
+def _solution_jobs(qa: DataFrame, work: str, **limits) -> DataFrame:
+    """Usable solutions with the full text of their problem, numbered per record: ids may repeat."""
+    records = _stored(qa.withColumn("record", F.monotonically_increasing_id()), work, "records")
+    rows = shape.solution_rows(records, ["record", "id"]).where("pos IS NOT NULL")
+    solutions = shape.expand_solutions(rows, key="record", **limits)
+    problems = records.select("record", "contest_id", "index", "title", "type_level1", shape.problem_text(with_note=True).alias("problem"))
+    return lookup_join(solutions.drop("source", "og_source", "pos"), problems, ["record"], ["solution_idx"]).drop("record")
 
 
 def _about_code(stage: str, out: str) -> Callable[..., DataFrame]:
     def job(qa: DataFrame, complete: Complete, work: str, **limits) -> DataFrame:
         values = {n: F.col(n) for n in STAGES[stage].placeholders}
-        return ask(_solution_jobs(qa, **limits), stage, ["id", "solution_idx"], values, complete, work, out)
+        return ask(_solution_jobs(qa, work, **limits), stage, ["id", "solution_idx"], values, complete, work, out)
 
     return job
 
@@ -116,7 +136,9 @@ def _run_through(jobs: DataFrame, run: Run, work: str, name: str) -> DataFrame:
     def answer(todo: DataFrame) -> DataFrame:
         return exchange.run_batches(todo, run).where("success")
 
-    table = exchange.exchange_through(jobs, f"{work}/{name}", answer)
+    jobs = _stored(jobs, work, name)
+    sent = jobs.select("request_id", "code", "language", "stdin")
+    table = exchange.exchange_through(sent, f"{work}/{name}", answer, exchange.RUNS)
     return jobs.drop("stdin").join(table.select("request_id", "success", "return_code", "stdout"), "request_id")
 
 
@@ -148,14 +170,17 @@ def fuse_inputs(cases: DataFrame, stories: DataFrame, complete: Complete, work:
 
 
 def execute_instrumented(inputs: DataFrame, codes: DataFrame, run: Run, work: str, done: DataFrame | None = None) -> DataFrame:
-    """Test inputs (with ``seq``) through instrumented code → trace runs. Mismatches stay, flagged."""
-    numbered = dense_ordinal(inputs, "seq")
-    keyed = numbered.withColumn("trace_id", joins.trace_key(F.col("problem_id"), F.col("source"), F.col("ord"))).drop("ord")
+    """Test inputs (with ``seq``) through instrumented code → trace runs. Mismatches stay, flagged.
+
+    ``done`` holds trace runs that need not be made again. They are told by what
+    was run, so adding inputs anywhere leaves them valid.
+    """
+    keyed = joins.with_run_key(inputs).withColumn("trace_id", joins.trace_key(F.col("problem_id"), F.col("source"), F.col("run_key")))
     todo = resume_antijoin(keyed, done, "trace_id") if done is not None else keyed
     ready = joins.code_join(todo, codes.drop("trace_plan"), "problem_id", ["seq"]).where("code_status = 'ready'")
     # The id covers the content, so a changed input or program is run again.
     jobs = ready.withColumn("request_id", sha_id(F.col("trace_id"), F.col("input"), F.col("code"))).withColumn("stdin", F.col("input"))
-    done_runs = _run_through(jobs, run, work, "traces").where(F.col("stdout") != "")
+    done_runs = _run_through(jobs.drop("run_key"), run, work, "traces").where(F.col("stdout") != "")
     judged = runs.output_match(runs.split_trace(done_runs))
     return judged.select("trace_id", "seq", "problem_id", "source", "input", "expected_output", "actual_output",
                          "output_matched", "traces", F.col("stdout").alias("raw_stdout"), "analysis")

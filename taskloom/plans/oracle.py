@@ -314,7 +314,7 @@ ORACLE: dict[str, str] = {
     "suitable_types": f"WITH {_EXPECTED} SELECT doc_id, {ints('types')} AS types FROM typed",
     "classified_corpus": f"""WITH {_CLASSIFIED} SELECT doc_id, text, {ints('rule_hints')} AS hints, {ints('types')} AS types,
         reasons, raw_output, parse_ok FROM classified""",
-    "type_buckets": f"""WITH {_CLASSIFIED} SELECT doc_id AS corpus_id, unnest(types)::bigint AS type_id, substr({strip('text')}, 1, 400) AS corpus_text FROM classified""",
+    "type_buckets": f"""WITH {_CLASSIFIED} SELECT doc_id AS corpus_id, unnest(types)::bigint AS type_id, substr({strip('text')}, 1, 4096) AS corpus_text FROM classified""",
     "bucket_counts": f"WITH {_BUCKETS} SELECT type_id, count(*) AS entries FROM buckets GROUP BY 1",
     "hint_vs_model": f"""WITH {_CLASSIFIED}, pairs AS (
         SELECT k AS type_id, list_contains(rule_hints, k) AS h, list_contains(types, k) AS m FROM classified, range(1, 6) g(k))
@@ -347,7 +347,7 @@ ORACLE: dict[str, str] = {
         SELECT type_id, {_GUIDE} AS guide, count(*) AS n FROM t GROUP BY 1, 2""",
     "chat_messages": f"""WITH {_PROMPTS} SELECT seq, 0::bigint AS place, 'system' AS role, md5({text(STAGES['synthesize'].system)}) AS content_md5 FROM prompts
         UNION ALL SELECT seq, 1, 'user', md5(prompt) FROM prompts""",
-    "gen_params": f"""WITH {_PROMPTS} SELECT sha256(concat_ws('|', 'synthesize', seq, prompt)) AS request_id, 0.7::double AS temperature, 0.8::double AS top_p,
+    "gen_params": f"""WITH {_PROMPTS} SELECT sha256(concat_ws('|', 'synthesize', '2048,16384,0.7,0.8,20,1.05,42', seq, prompt)) AS request_id, 0.7::double AS temperature, 0.8::double AS top_p,
         1.05::double AS repetition_penalty, 32::bigint AS batch_size, 2048::bigint AS max_tokens, 16384::bigint AS max_model_len, 20::bigint AS top_k, 42::bigint AS seed FROM prompts""",
     "infer_batches": f"WITH {_PROMPTS} SELECT seq, concat('words: ', len({tokens('prompt')})) AS synthesis_result FROM prompts",
     "length_gate": f"""WITH {_PROMPTS}, c AS (SELECT seq, len({tokens('prompt')}) AS n FROM prompts)
@@ -372,6 +372,14 @@ ORACLE: dict[str, str] = {
         turns AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY seq) - 1 AS j FROM {fx('eval_cases')})
         SELECT c.eval_id, c.problem_id, t.i AS template_idx, t.story_problem, t.story_input AS original_input, c.input AS new_input, c.expected_output
         FROM turns c JOIN tpl t ON t.id = c.problem_id AND t.i = c.j % t.m""",
+    "fuse_funnel": f"""WITH {_STORIES}, known AS (SELECT DISTINCT id FROM stories WHERE story_origin IS NOT NULL)
+        SELECT CASE WHEN k.id IS NULL THEN 'no_template' ELSE 'fused' END AS fuse_status, count(*) AS n
+        FROM {fx('eval_cases')} e LEFT JOIN known k ON k.id = e.problem_id GROUP BY 1""",
+    "shard_read_report": f"""SELECT ord // CAST(ceil(n / 16.0) AS BIGINT) AS shard, true AS readable, count(*) AS n FROM (
+        SELECT row_number() OVER (ORDER BY seq) - 1 AS ord, count(*) OVER () AS n FROM {fx('eval_cases')}) GROUP BY 1""",
+    "exchange_repeated_rows": f"""SELECT e.seq, e.input, c.copy AS copy, len(e.input)::varchar AS answer FROM {fx('eval_cases')} e, (VALUES (0), (1)) c(copy) WHERE c.copy = 0 OR e.seq % 3 = 0""",
+    "exchange_resumed": f"""SELECT CASE WHEN seq % 2 = 0 THEN 'first' ELSE 'second' END AS answered_by, count(*) AS n FROM {fx('eval_cases')} GROUP BY 1""",
+    "resume_added_inputs": f"""SELECT problem_id, source, input, count(*) AS n FROM {fx('eval_cases')} WHERE seq % 4 = 0 GROUP BY ALL""",
     "template_stats": f"""WITH {_STORIES} SELECT count(*) AS templates, count(DISTINCT id) AS problems, count(*) / greatest(count(DISTINCT id), 1) AS avg_per_problem
         FROM stories WHERE story_origin IS NOT NULL""",
     "code_join": f"""WITH {_FIRST_CODE} SELECT e.eval_id, c.code, CASE WHEN c.code IS NULL THEN '' ELSE {_case_of('c."programmingLanguage"', _RUNNERS)} END AS runner,
@@ -446,5 +454,5 @@ ORACLE: dict[str, str] = {
         filled AS (SELECT p.id, p.type_id, p.sample_idx, p.corpus_id, {_filled('synthesize', {
             'type_id': 'p.type_id::varchar', 'type_instruction': _GUIDE, 'text': 'p.corpus_text', 'problem': 't.problem'})} AS prompt
           FROM pairs p JOIN texts t USING (id))
-        SELECT *, sha256(concat_ws('|', 'synthesize', id, sample_idx, prompt)) AS request_id FROM filled""",
+        SELECT *, sha256(concat_ws('|', 'synthesize', '2048,16384,0.7,0.8,20,1.05,42', id, sample_idx, prompt)) AS request_id FROM filled""",
 }

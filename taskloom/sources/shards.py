@@ -15,9 +15,15 @@ def write_shards(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.hint("rebalance", "shard").write.mode(mode).partitionBy("shard").parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Read all shards or an index range; unreadable files are skipped, columns are merged."""
-    reader = spark.read.options(ignoreCorruptFiles="true", mergeSchema="true")
+def read_shards(
+    spark: SparkSession, path: str, first: int | None = None, last: int | None = None, skip_unreadable: bool = False
+) -> DataFrame:
+    """Read all shards or an index range; columns are merged.
+
+    An unreadable file stops the job, unless ``skip_unreadable``; ``read_report``
+    then tells which files those are.
+    """
+    reader = spark.read.options(ignoreCorruptFiles=str(skip_unreadable).lower(), mergeSchema="true")
     df = reader.parquet(path)
     if first is not None:
         df = df.where(F.col("shard") >= first)
@@ -26,6 +32,15 @@ def read_shards(spark: SparkSession, path: str, first: int | None = None, last:
     return df
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, rows, readable) of every file: one that gives no row is empty or cannot be read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    read = read_shards(spark, path, skip_unreadable=True).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    joined = files.withColumn("_p", plain).join(read.select(plain.alias("_p"), "rows"), "_p", "left")
+    return joined.select("path", "length", F.coalesce("rows", F.lit(0)).alias("rows"), F.col("rows").isNotNull().alias("readable"))
+
+
 def union_inputs(*tables: DataFrame) -> DataFrame:
     """Concatenate tables by name; columns missing somewhere become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

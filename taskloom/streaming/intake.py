@@ -17,7 +17,15 @@ from taskloom.prompts import STAGES
 from taskloom.sources.jsonl import spread
 
 
-def corpus_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json", **options: str) -> DataFrame:
+#: Files of one micro-batch: what a crash can cost at most.
+FILES_PER_BATCH = 64
+
+
+def corpus_stream(
+    spark: SparkSession, path: str, schema: str, fmt: str = "json", files_per_batch: int = FILES_PER_BATCH, **options: str
+) -> DataFrame:
+    """A file stream in bounded micro-batches, each of which is committed on its own."""
+    options = {"maxFilesPerTrigger": str(files_per_batch), **options}
     return spark.readStream.format(fmt).options(**options).schema(schema).load(path)
 
 

@@ -112,7 +112,11 @@ def test_shards_range_and_corrupt_files(spark, tmp_path):
     path = str(tmp_path / "t")
     shards.write_shards(spark.range(100).selectExpr("id", "cast(id % 10 AS int) AS shard"), path)
     (tmp_path / "t" / "shard=3" / "part-broken.parquet").write_bytes(b"PAR1 broken")
-    assert shards.read_shards(spark, path, 2, 4).count() == 30
+    assert shards.read_shards(spark, path, 2, 4, skip_unreadable=True).count() == 30
+    report = shards.read_report(spark, path).where("not readable").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in report] == ["part-broken.parquet"]
+    with pytest.raises(Exception):
+        shards.read_shards(spark, path, 2, 4).count()
 
 
 def test_stream_resumes_without_duplicates(spark, tmp_path):
@@ -194,3 +198,91 @@ def test_sampled_solutions_keep_position_order_when_all_fit(spark):
 def test_length_gate_boundary(spark):
     df = spark.createDataFrame([("a b c",), ("a b c d",)], "prompt string")
     assert [r.sendable for r in exchange.length_gate(df, 10, 7).orderBy("prompt").collect()] == [True, False]
+
+
+def _answers(name):
+    return lambda reqs: exchange.infer_batches(reqs, lambda ps: [name] * len(ps), 8)
+
+
+def test_restart_after_a_failed_wave_asks_only_for_the_rest(spark, tmp_path):
+    reqs = spark.range(200).selectExpr("cast(id AS string) AS request_id", "'q' AS prompt")
+    path, waves = str(tmp_path / "answers"), []
+
+    def failing(r):
+        waves.append(1)
+        if len(waves) == 3:
+            return exchange.infer_batches(r, lambda ps: ps[:0], 8)
+        return _answers("one")(r)
+
+    with pytest.raises(Exception, match="gave 0 completions"):
+        exchange.exchange_through(reqs, path, failing, waves=4)
+    kept = spark.read.schema(exchange.RESPONSES).parquet(path).count()
+    assert 0 < kept < 200
+    table = exchange.exchange_through(reqs, path, _answers("two"), waves=4)
+    assert {r.raw: r["count"] for r in table.groupBy("raw").count().collect()} == {"one": kept, "two": 200 - kept}
+
+
+def test_restart_after_a_failed_first_wave(spark, tmp_path):
+    reqs = spark.range(20).selectExpr("cast(id AS string) AS request_id", "'q' AS prompt")
+    path = str(tmp_path / "answers")
+    with pytest.raises(Exception, match="completions"):
+        exchange.exchange_through(reqs, path, lambda r: exchange.infer_batches(r, lambda ps: ps[:0], 8))
+    assert exchange.exchange_through(reqs, path, _answers("two")).count() == 20
+
+
+def test_calls_are_spread_over_tasks(spark, tmp_path):
+    from pyspark import TaskContext
+
+    reqs = spark.range(1000).selectExpr("cast(id AS string) AS request_id", "'q' AS prompt")
+    where = lambda r: exchange.infer_batches(r, lambda ps: [str(TaskContext.get().partitionId())] * len(ps), 8)
+    table = exchange.exchange_through(reqs, str(tmp_path / "answers"), where, waves=1, parallelism=6)
+    assert table.select("raw").distinct().count() == 6
+
+
+def test_jobs_keep_repeated_rows_and_read_their_input_once(spark, tmp_path):
+    from taskloom.plans import jobs
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = spark.createDataFrame([("a", "same"), ("a", "same"), ("b", "other")], "id string, question string").mapInPandas(count, "id string, question string")
+    got = jobs.extract_kernel(rows, lambda ps: ['{"text": "K"}'] * len(ps), str(tmp_path))
+    assert got.count() == 3 and seen.value == 3
+
+
+def test_solutions_of_repeated_ids_stay_apart(spark, tmp_path):
+    from taskloom.plans import jobs
+
+    made = spark.range(2).selectExpr(
+        "'p' AS id", "'c' AS contest_id", "'A' AS index", "'T' AS title", "concat('question ', id) AS question", "'' AS refined_question", "'' AS input_format",
+        "'' AS output_format", "'' AS note", "cast(array() AS array<struct<input:string,output:string>>) AS examples", "'1' AS type_level1",
+        "transform(sequence(0, id), i -> struct(concat('code ', id, i) AS source, '' AS og_source, 'C++' AS programmingLanguage, 's' AS submission_id)) AS accepted_solutions")
+    got = jobs.generate_tests(made, lambda ps: ["x"] * len(ps), str(tmp_path)).select("problem", "solution_idx", "code").collect()
+    assert sorted((r.problem[-10:], r.solution_idx, r.code) for r in got) == sorted((r.problem[-10:], r.solution_idx, r.code) for r in got if r.code[5] in r.problem)
+    assert sorted((r.code, r.solution_idx) for r in got) == [("code 00", 0), ("code 10", 0), ("code 11", 1)]
+
+
+def test_done_runs_stay_valid_when_inputs_are_added_in_front(spark):
+    make = lambda seqs: spark.createDataFrame([("p", "s", f"in {i}", i) for i in seqs] + [("p", "s", "twice", 90), ("p", "s", "twice", 91)],
+                                              "problem_id string, source string, input string, seq bigint")
+    keys = lambda df: {r.run_key for r in joins.with_run_key(df).collect()}
+    old, new = keys(make([5, 6, 7])), keys(make([1, 5, 6, 7]))
+    assert len(old) == 5 and old < new and len(new) == 6
+
+
+def test_stream_runs_in_bounded_batches(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    text = "The first step goes north, then east. " * 20
+    (tmp_path / "src").mkdir()
+    for i in range(5):
+        spark.range(i * 4, i * 4 + 4).coalesce(1).selectExpr("id AS doc_id", f"concat(id, ' {text}') AS text", "'news' AS quality_domain_txt").write.mode("append").json(src)
+    source = lambda: corpus_stream(spark, src, "doc_id bigint, text string, quality_domain_txt string", files_per_batch=2)
+    model = lambda prompts: ['{"suitable_types": [2]}'] * len(prompts)
+    intake(source(), out, ckpt, "doc_id", complete=model).awaitTermination()
+    rule = spark.read.parquet(f"{out}/rule")
+    assert rule.select("batch_id").distinct().count() == 3
+    assert sorted(r.doc_id for r in rule.collect()) == list(range(20))

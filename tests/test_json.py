@@ -9,6 +9,9 @@ TEXTS = [
     '{"problem": "a", "input": "b"}', '{"problem": "a"}', '{"problem": "a", "input": null}', '{"problem": 5, "input": 0}',
     '{"problem": "a"} tail', "{'problem': 'a'}", '[1]', '"x"', '', 'null', '{"problem": "line\nbreak"}', '{"problem": "a\\nb"}',
     '{"problem": "a",}', '{"problem": "a"}, {"problem": "b"}', '{"problem": "a"} {"problem": "b"}', ' {"problem": "a"}\n',
+    '{"problem": "a"}] and more', '{"problem": "a"}]', '{"problem": "a"}] , {"x":1}', '{"problem": "a", "problem": "b"}', '{"problem": "a"},{"end-0":""}',
+    '{"problem": ' + "7" * 1500 + '}', '{"problem": "a", "x": ' + "7" * 1500 + '}', '{"problem": NaN}', '{"problem": "a", "x": Infinity}', '{"problem": "a"},', '{"problem": "a"}]]',
+    '{"input": "1", "problem": "a", "input": null}', '{"problem": "NaN"}',
     '{"problem": [1, oops]}', '{"problem": {"x": [1, 2]}, "input": true}', '{problem: "a"}', '{"problem": "q\\"x"}', '[{"problem": "a"}]',
     '{"problem": 01}', '{"a": {"b": {"c": 1}}, "problem": "deep"}', '{"problem": "a"', 'prose {"problem": "a"}', '{}', '{"problem": ""}',
 ]
@@ -38,6 +41,13 @@ def test_acceptance_follows_a_strict_parser(spark):
             assert got[s].input == ""
 
 
+def test_numbers_of_any_length_and_no_numbers(spark):
+    texts = ['{"a": ' + "7" * 1500 + '}', '{"a": NaN}', '{"a": -Infinity}', '{"a": "NaN"}', '{"a": ' + "[" * 1200 + "]" * 1200 + "}"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
+    got = [(r.p.ok, r.p.a) for r in df.select("i", json_fields(F.col("s"), "a").alias("p")).orderBy("i").collect()]
+    assert got == [(True, "7" * 1500), (True, "NaN"), (True, "-Infinity"), (True, "NaN"), (False, None)]
+
+
 def test_null_response(spark):
     row = spark.createDataFrame([(None,)], "s string").select(json_fields(F.col("s"), "a").alias("p")).first()
     assert not row.p.ok and row.p.a is None
