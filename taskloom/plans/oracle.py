@@ -377,7 +377,7 @@ ORACLE: dict[str, str] = {
         FROM {fx('eval_cases')} e LEFT JOIN known k ON k.id = e.problem_id GROUP BY 1""",
     "shard_read_report": f"""SELECT ord // CAST(ceil(n / 16.0) AS BIGINT) AS shard, true AS readable, count(*) AS n FROM (
         SELECT row_number() OVER (ORDER BY seq) - 1 AS ord, count(*) OVER () AS n FROM {fx('eval_cases')}) GROUP BY 1""",
-    "exchange_repeated_rows": f"""SELECT e.seq, e.input, c.copy AS copy, len(e.input)::varchar AS answer FROM {fx('eval_cases')} e, (VALUES (0), (1)) c(copy) WHERE c.copy = 0 OR e.seq % 3 = 0""",
+    "exchange_repeated_rows": f"""SELECT e.seq, e.input, c.copy::bigint AS copy, len(e.input)::varchar AS answer FROM {fx('eval_cases')} e, (VALUES (0), (1)) c(copy) WHERE c.copy = 0 OR e.seq % 3 = 0""",
     "exchange_resumed": f"""SELECT CASE WHEN seq % 2 = 0 THEN 'first' ELSE 'second' END AS answered_by, count(*) AS n FROM {fx('eval_cases')} GROUP BY 1""",
     "resume_added_inputs": f"""SELECT problem_id, source, input, count(*) AS n FROM {fx('eval_cases')} WHERE seq % 4 = 0 GROUP BY ALL""",
     "template_stats": f"""WITH {_STORIES} SELECT count(*) AS templates, count(DISTINCT id) AS problems, count(*) / greatest(count(DISTINCT id), 1) AS avg_per_problem
