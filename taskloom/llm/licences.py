@@ -69,7 +69,8 @@ def normalised(sentence: Column) -> Column:
 
 
 def _table(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame([(k, s) for k, s in known], "known string, sentence string")
+    rows = F.array(*(F.struct(F.lit(k).alias("known"), F.lit(s).alias("sentence")) for k, s in known))
+    return spark.range(1).select(F.inline(rows))
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES,
