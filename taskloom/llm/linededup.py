@@ -59,7 +59,8 @@ def templates(lines: DataFrame, agree: float, rounds: int) -> DataFrame:
     forms = lines.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("docs"), F.first("words").alias("words"))
     out, left = None, written(forms, "line-forms")
     for _ in range(rounds):
-        lead = left.groupBy("leaf").agg(F.max(F.struct("docs", "form", "words")).alias("lead"))
+        # Written, so that the join deals out both sides and Spark can split a very common leaf.
+        lead = written(left.groupBy("leaf").agg(F.max(F.struct("docs", "form", "words")).alias("lead")), "line-leads")
         joins = _agreement(F.col("words"), F.col("lead.words")) >= agree
         tried = left.join(lead, "leaf").select("leaf", "form", "docs", F.col("lead.form").alias("template"), joins.alias("joins"),
                                                F.when(~joins, F.col("words")).alias("words"))
