@@ -49,11 +49,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_str(definition)
-        self.letters = Tokenizer.from_str(definition)
-        self.letters.normalizer = None
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        spaces, as_bytes = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # ASCII letters are their own bytes.
+        self.letters = {True: Tokenizer.from_str(definition), False: Tokenizer.from_str(definition)}
+        for ascii_only, t in self.letters.items():
+            t.normalizer = None
+            t.pre_tokenizer = spaces if ascii_only else pre_tokenizers.Sequence([spaces, as_bytes])
         self.memo: dict[bytes, bytes] = {}
         self.memo_words = memo_words
 
@@ -70,14 +71,16 @@ class WordTokenizer:
                     other.append(w)
                     continue
             cut[w] = low, w[len(core) :]
-        fresh, runs = list({low for low, _ in cut.values()}), {}
-        for at in range(0, len(fresh), 500):
-            part = fresh[at : at + 500]
-            found = self.letters.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
-            for r, low, high in zip(part, ends, ends[1:]):
-                runs[r] = ids[low:high]
+        fresh, runs = {low for low, _ in cut.values()}, {}
+        for ascii_only, letters in self.letters.items():
+            own = [low for low in fresh if low.isascii() == ascii_only]
+            for at in range(0, len(own), 500):
+                part = own[at : at + 500]
+                found = letters.encode(" ".join(part), add_special_tokens=False)
+                ids = np.array(found.ids, "<u4").tobytes()
+                ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
+                for r, low, high in zip(part, ends, ends[1:]):
+                    runs[r] = ids[low:high]
         rest = other + list({t for _, t in cut.values() if t} - self.memo.keys())
         texts = [t.decode("utf-8", "replace") for t in rest]
         for w, e in zip(rest, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
