@@ -10,6 +10,7 @@ the bound more keys are estimated as repeated and go to the exact pass: results
 stay the same, but the filter helps less.
 """
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,17 @@ def cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(keys.astype(np.uint64) * np.uint64(m)) >> np.uint64(64 - bits) for m in _MIX]
 
 
+def _squeezed(ascending: np.ndarray) -> bytes:
+    """Differences of ascending numbers, byte by byte, as most are small."""
+    steps = np.diff(ascending, prepend=np.uint32(0)).astype("<u4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unsqueezed(part: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(part), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def touches(keys: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     """A task's own sketch: one row for each chunk of cells that it touched."""
     every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -48,7 +60,7 @@ def touches(keys: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
         low, ids, parts = 0, [], []
         for high in ends:
             ids.append(int(chunk[low]))
-            parts.append(packed[low:high].tobytes())
+            parts.append(_squeezed(packed[low:high]))
             low = high
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], ["chunk", "cells"])
 
@@ -61,7 +73,7 @@ def merged(found: DataFrame, bits: int) -> Broadcast:
         counts: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, own in zip(b.column(0).to_pylist(), b.column(1)):
-                cell = np.frombuffer(own.as_py(), np.uint32)
+                cell = _unsqueezed(own.as_py())
                 have = counts.setdefault(chunk, np.zeros(1 << _CHUNK, np.uint8))
                 have[cell >> 1] = np.minimum(2, have[cell >> 1] + 1 + (cell & 1))  # cells are distinct in a row
         for chunk, have in counts.items():
