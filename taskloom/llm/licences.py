@@ -24,6 +24,7 @@ SENTENCES = [
     ("gpl2-notice", "this work is licensed under the gnu general public license version 2"),
     ("mit-notice", "released under the mit license"),
     ("apache2-notice", "licensed under the apache license version 2 0"),
+    ("apache2-notice", "licensed under the apache license version 2 0 the license"),
     ("ccbync4-notice", "licensed under cc by nc 4 0"),
     ("ccby4-notice", "licensed under cc by 4 0"),
     ("ccbysa4-notice", "licensed under cc by sa 4 0"),
@@ -37,15 +38,28 @@ SENTENCES = [
     ("bsd-names", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("apache2-grant", "you may not use this file except in compliance with the license"),
-    ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-hope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    # As the cuts leave them: the headers have ':' and ';' inside, version 2 one more before its version.
+    ("gpl-free", "this program is free software"),
+    ("gpl3-terms", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl2-terms", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-terms", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("later-than-3", "either version 3 of the license or at your option any later version"),
+    ("later-than-2", "either version 2 of the license or at your option any later version"),
+    ("gpl-hope", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-implied", "without even the implied warranty of merchantability or fitness for a particular purpose"),
 ]
 RULES = [
     ("MIT", ["mit-grant", "mit-notice-kept", "mit-as-is"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
-    ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-terms", "gpl-hope", "gpl-implied"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-terms", "later-than-3", "gpl-hope", "gpl-implied"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl2-terms", "gpl-hope", "gpl-implied"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl-terms", "later-than-2", "gpl-hope", "gpl-implied"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-terms"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-terms", "later-than-3"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl2-terms"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl-terms", "later-than-2"]),
     ("ISC", ["isc-grant"]),
     ("Apache-2.0", ["apache2-notice", "apache2-grant"]),
     ("Apache-2.0", ["apache2-notice"]),
