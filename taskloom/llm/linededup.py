@@ -4,8 +4,8 @@ A line is parsed into tokens; tokens with a digit, an ``@`` or ``://`` are
 variable fields and become ``<*>``. The path in the tree is the number of tokens
 and the first ``depth`` tokens; it ends in a leaf. In a leaf the line form that
 most documents have becomes a template, and forms that agree with it in at least
-``agree`` of the tokens join it (their differing places are variable); what is
-left is tried once more, and then each form is a template of its own. A template
+``agree`` of the tokens join it (their differing places are variable); so it goes
+on with what is left, until no form is. A template
 found in ``min_docs`` documents or more is recurring: its lines are dropped,
 except in the document with the least id, so that what they say is not lost.
 
@@ -25,15 +25,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskloom.llm import _sketch
 from taskloom.llm._text import arrow_type, free_name, slices, small_batches
+from taskloom.operators.numbering import top_per_key
 from taskloom.session import scratch_path, written
 
 _VARIABLE = re.compile(rb"[0-9@]|://")
+#: Tokens of a leaf's distinct forms that one task settles, and templates a round of a larger leaf.
+LEAF_CELLS, LEADS = 4_000_000, 32
 
 
 def parse(line: bytes, depth: int, min_tokens: int) -> tuple[bytes, bytes] | None:
@@ -46,33 +49,89 @@ def parse(line: bytes, depth: int, min_tokens: int) -> tuple[bytes, bytes] | Non
     return b"%d %s" % (len(tokens), b" ".join(tokens[:depth])), b" ".join(tokens)
 
 
-def _agreement(form: Column, template: Column) -> Column:
-    same = F.zip_with(F.split(form, " "), F.split(template, " "), lambda x, y: F.when(x == y, 1).otherwise(0))
-    return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.size(same)
+def _codes(words: list[str]) -> np.ndarray:
+    """One row a form: its tokens as numbers. The forms are of one leaf, so all have as many tokens."""
+    known: dict[str, int] = {}
+    return np.array([[known.setdefault(t, len(known)) for t in w.split(" ")] for w in words], np.int32)
 
 
-def templates(lines: DataFrame, agree: float, rounds: int) -> DataFrame:
+def greedy(words: list[str], agree: float) -> list[int]:
+    """For each form the place of its template: the first form left takes those that agree with it, until none is left."""
+    if len(words) == 1:
+        return [0]
+    codes, left, out = _codes(words), np.arange(len(words)), np.arange(len(words))
+    while len(left) > 1:
+        joins = (codes[left] == codes[left[0]]).mean(axis=1) >= agree
+        out[left[joins]] = left[0]
+        left = left[~joins]
+    return out.tolist()
+
+
+def templates(lines: DataFrame, agree: float) -> DataFrame:
     """(leaf, form, template) of every line form of ``lines`` (leaf, form, words, one row a document).
 
-    Forms and templates are named by 64-bit hashes, unique in a leaf; only distinct forms carry their words.
+    Forms and templates are named by 64-bit hashes, unique in a leaf; only distinct forms carry their words. A leaf is
+    settled in one task; one of more than ``LEAF_CELLS`` tokens is first cut down, ``LEADS`` templates a round, on all tasks.
     """
     forms = lines.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("docs"), F.first("words").alias("words"))
-    out, left = None, written(forms, "line-forms")
-    for _ in range(rounds):
-        # Written, so that the join deals out both sides and Spark can split a very common leaf.
-        lead = written(left.groupBy("leaf").agg(F.max(F.struct("docs", "form", "words")).alias("lead")), "line-leads")
-        joins = _agreement(F.col("words"), F.col("lead.words")) >= agree
-        tried = left.join(lead, "leaf").select("leaf", "form", "docs", F.col("lead.form").alias("template"), joins.alias("joins"),
-                                               F.when(~joins, F.col("words")).alias("words"))
-        tried = written(tried, "line-tried")
-        joined = tried.where("joins").select("leaf", "form", "template")
-        out = joined if out is None else out.unionByName(joined)
-        left = tried.where("not joins").select("leaf", "form", "docs", "words")
-    return out.unionByName(left.select("leaf", "form", F.col("form").alias("template")))
+    left, small, done = written(forms, "line-forms"), None, None
+
+    def settle(batches):
+        leaf, ids, words = None, [], []
+
+        def flush():
+            named = [ids[i] for i in greedy(words, agree)] if ids else []
+            return [leaf] * len(ids), ids, named
+
+        out: list[tuple] = []
+        for b in batches:
+            for at, form, text in zip(b.column("leaf").to_pylist(), b.column("form").to_pylist(), b.column("words").to_pylist()):
+                if at != leaf:
+                    out.append(flush())
+                    leaf, ids, words = at, [], []
+                ids.append(form)
+                words.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array([x for o in out for x in o[c]], pa.int64()) for c in range(3)], ["leaf", "form", "template"])
+            out = []
+        out.append(flush())
+        yield pa.RecordBatch.from_arrays([pa.array([x for o in out for x in o[c]], pa.int64()) for c in range(3)], ["leaf", "form", "template"])
+
+    def against(batches):
+        leaf, leads = None, []
+        for b in batches:
+            found = []
+            for row in b.select(["leaf", "form", "words", "leads"]).to_pylist():
+                if row["leaf"] != leaf:
+                    leaf, words = row["leaf"], [x["words"] for x in row["leads"]]
+                    leads = [(row["leads"][i]["form"], words[i].split(" ")) for i in dict.fromkeys(greedy(words, agree))]
+                own = row["words"].split(" ")
+                found.append(next((f for f, w in leads if sum(map(str.__eq__, own, w)) / len(own) >= agree), None))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("leaf", "form", "docs", "words")), pa.array(found, pa.int64())],
+                                             ["leaf", "form", "docs", "words", "template"])
+
+    while True:
+        tokens = F.count(F.lit(1)) * F.first(F.size(F.split("words", " ")))
+        large = written(left.groupBy("leaf").agg(tokens.alias("tokens")).where(F.col("tokens") > LEAF_CELLS).select("leaf"), "line-large")
+        rest = left.join(large, "leaf", "left_anti")
+        small = rest if small is None else small.unionByName(rest)
+        if large.isEmpty():
+            break
+        wide = left.join(large, "leaf", "left_semi").withColumn("few", -F.col("docs"))
+        first = top_per_key(wide, ["leaf"], ["few", F.desc("form")], LEADS, F.pmod("form", F.lit(64)), "rank")
+        first = first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "form", "words"))).alias("leads"))
+        # Written, so that the join deals out both sides and Spark can split a very common leaf. Every lead is settled, so each round ends nearer.
+        tried = wide.join(written(first, "line-leads"), "leaf").select("leaf", "form", "docs", "words", "leads")
+        tried = written(tried.mapInArrow(against, "leaf long, form long, docs long, words string, template long"), "line-tried")
+        joined = tried.where("template is not null").select("leaf", "form", "template")
+        done = joined if done is None else done.unionByName(joined)
+        left = tried.where("template is null").drop("template")
+    order = small.repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), F.desc("form"))
+    settled = order.select("leaf", "form", "words").mapInArrow(settle, "leaf long, form long, template long")
+    return settled if done is None else settled.unionByName(done)
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = 3, depth: int = 3, agree: float = 0.75, min_tokens: int = 3,
-                   rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with recurring lines taken out of ``text_col``, and a struct column ``lines``
     (set aside as ``lines_`` where that name is taken) with n_lines and n_dropped.
     """
@@ -131,7 +190,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, depth: int = 3, agree: fl
     waiting, ready = read.where("waits"), read.where("not waits")
 
     lines = waiting.select("key", "id", F.explode("forms").alias("f")).select("key", "id", "f.leaf", "f.form", "f.words", "f.at")
-    named = written(templates(lines.select("leaf", "form", "words"), agree, rounds), "line-templates")
+    named = written(templates(lines.select("leaf", "form", "words"), agree), "line-templates")
     # The written side and the lines are both dealt by the join, so Spark can split a very common line.
     marked = written(lines.drop("words").join(named, ["leaf", "form"]).select("key", "id", "leaf", "template", "at"), "line-marked")
     once = marked.groupBy("leaf", "template", "key").agg(F.first("id").alias("id"))
