@@ -14,7 +14,7 @@ leaves' documents finds the leaves that may recur; only their lines leave the
 task, and only documents with such a line are rewritten in a second step.
 
 Defined cases: a null text stays null and counts one empty line, as an empty text does; lines of fewer than ``min_tokens`` tokens
-are never dropped; repeated rows are documents of their own, in the order of
+(and empty ones) are never dropped; lines of one or two tokens recur only where they are identical; repeated rows are documents of their own, in the order of
 their ids, then as read; null ids come first; an empty table stays empty; all
 columns are handed through, whatever their names; texts are read whole.
 """
@@ -35,6 +35,10 @@ from taskloom.operators.numbering import top_per_key
 from taskloom.session import scratch_path, written
 
 _VARIABLE = re.compile(rb"[0-9@]|://")
+#: What the query and the pipeline take: two documents make a line recurring, and lines of one or two words count too.
+WHOLE = {"min_docs": 2, "min_tokens": 1}
+#: Lines of fewer tokens are masked nowhere, and two forms of them never agree: only identical ones recur.
+SHORT = 3
 #: Tokens of a leaf's distinct forms that one task settles, and templates a round of a larger leaf.
 LEAF_CELLS, LEADS = 4_000_000, 32
 
@@ -42,9 +46,9 @@ LEAF_CELLS, LEADS = 4_000_000, 32
 def parse(line: bytes, depth: int, min_tokens: int) -> tuple[bytes, bytes] | None:
     """(leaf, form) of a line: the tree path and all tokens with variable fields masked."""
     tokens = line.split()
-    if len(tokens) < min_tokens:
+    if len(tokens) < max(1, min_tokens):
         return None
-    if _VARIABLE.search(line):
+    if len(tokens) >= SHORT and _VARIABLE.search(line):
         tokens = [b"<*>" if _VARIABLE.search(t) else t for t in tokens]
     return b"%d %s" % (len(tokens), b" ".join(tokens[:depth])), b" ".join(tokens)
 
@@ -57,8 +61,8 @@ def _codes(words: list[str]) -> np.ndarray:
 
 def greedy(words: list[str], agree: float) -> list[int]:
     """For each form the place of its template: the first form left takes those that agree with it, until none is left."""
-    if len(words) == 1:
-        return [0]
+    if len(words) == 1 or words[0].count(" ") + 1 < SHORT:
+        return list(range(len(words)))
     codes, left, out = _codes(words), np.arange(len(words)), np.arange(len(words))
     while len(left) > 1:
         joins = (codes[left] == codes[left[0]]).mean(axis=1) >= agree
@@ -105,7 +109,8 @@ def templates(lines: DataFrame, agree: float) -> DataFrame:
                     leaf, words = row["leaf"], [x["words"] for x in row["leads"]]
                     leads = [(row["leads"][i]["form"], words[i].split(" ")) for i in dict.fromkeys(greedy(words, agree))]
                 own = row["words"].split(" ")
-                found.append(next((f for f, w in leads if sum(map(str.__eq__, own, w)) / len(own) >= agree), None))
+                least = agree if len(own) >= SHORT else 1.0
+                found.append(next((f for f, w in leads if sum(map(str.__eq__, own, w)) / len(own) >= least), None))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("leaf", "form", "docs", "words")), pa.array(found, pa.int64())],
                                              ["leaf", "form", "docs", "words", "template"])
 

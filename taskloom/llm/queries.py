@@ -91,7 +91,7 @@ def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without recurring lines: the text that is left, as a digest, and the counts of lines."""
-    found = linededup.drop_recurring(_table(spark, folder, "documents").select("doc_id", "text"))
+    found = linededup.drop_recurring(_table(spark, folder, "documents").select("doc_id", "text"), **linededup.WHOLE)
     return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 

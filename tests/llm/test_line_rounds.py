@@ -24,3 +24,15 @@ def test_every_template_of_a_leaf_is_found(spark, monkeypatch, cells):
     docs = spark.createDataFrame(logs(), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["lines"]["n_dropped"] for r in linededup.drop_recurring(docs).collect()}
     assert got == {0: 0, **{d: len(EVENTS) for d in range(1, len(NAMES))}}
+
+
+def test_two_documents_and_short_lines(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(0, "in two docs only this stands\nshort line\nSubscribe\n\npage 7\n9"), (1, "other words\nin two docs only this stands\nSubscribe\n\npage 8\n8"),
+            (2, "short line\n\nlast one\nSHORT line"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_chars int")
+    want = {0: rows[0][1], 1: "other words\n\npage 8\n8", 2: "\nlast one\nSHORT line", 3: None, 4: ""}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == want
+    monkeypatch.setattr(linededup, "LEAF_CELLS", 0)
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == want
