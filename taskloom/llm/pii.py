@@ -10,8 +10,9 @@ hold the entity and the term, and n(t, e) those where the term stands within
 
 of the entity's information: 1 if the term never occurs without it. Terms that
 disclose at least ``remove`` are removed and those above ``generalise`` are
-generalised, where they stand near the entity. Only pairs seen in ``support``
-documents are estimated, as a single one shows nothing.
+generalised, at every place in a document that holds the entity. Pairs seen in fewer
+than ``support`` documents show less: for them, one more document is taken to hold the
+term without the entity.
 
 Defined cases: a null text counts as empty; documents without base spans get no
 other spans; repeated rows are documents of their own; an entity in every
@@ -90,8 +91,8 @@ def entity_of(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}".encode()) - (1 << 63)
 
 
-def contexts(text: str, spans: dict[str, list[tuple[int, int]]], reach: int) -> list[dict]:
-    """For each entity and each term near it: where the term stands, outside the base spans."""
+def contexts(text: str, spans: dict[str, list[tuple[int, int]]], reach: int) -> tuple[list[dict], list[dict], list[int]]:
+    """The pairs of entity and term near it, all terms with where they stand, outside the base spans, and the entities."""
     taken = sorted(s for own in spans.values() for s in own)
     words, i, stop = [], 0, 0
     for m in _TERM.finditer(text):
@@ -101,14 +102,19 @@ def contexts(text: str, spans: dict[str, list[tuple[int, int]]], reach: int) ->
         if stop <= m.start():
             words.append((m.start(), m.end(), m.group().lower()))
     starts = [w[0] for w in words]
-    found: dict[tuple[int, str], set] = {}
+    found: dict[tuple[int, str], None] = {}
+    entities: dict[int, None] = {}
     for kind, own in spans.items():
         for start, end in own:
             entity = entity_of(kind, text[start:end])
+            entities[entity] = None
             low, high = bisect_left(starts, start), bisect_left(starts, end)
-            for a, b, term in words[max(0, low - reach) : high + reach]:
-                found.setdefault((entity, term), set()).add((a, b))
-    return [{"entity": e, "term": t, "at": [{"start": a, "stop": b} for a, b in sorted(at)]} for (e, t), at in found.items()]
+            for _, _, term in words[max(0, low - reach) : high + reach]:
+                found[entity, term] = None
+    places: dict[str, list[dict]] = {}
+    for a, b, term in words:
+        places.setdefault(term, []).append({"start": a, "stop": b})
+    return [{"entity": e, "term": t} for e, t in found], [{"term": t, "at": at} for t, at in places.items()], list(entities)
 
 
 def _term_key(term: str) -> int:
@@ -174,7 +180,8 @@ def find(docs: DataFrame, reach: int = 10, support: int = 2, generalise: float =
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     out = T.StructType.fromDDL(
-        "key long, base array<struct<kind:string,start:int,stop:int>>, near array<struct<entity:bigint,term:string,at:array<struct<start:int,stop:int>>>>")
+        "key long, base array<struct<kind:string,start:int,stop:int>>, near array<struct<entity:bigint,term:string>>, "
+        "words array<struct<term:string,at:array<struct<start:int,stop:int>>>>, entities array<bigint>")
     out.add(T.StructField("id", rows.schema["id"].dataType))
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -183,31 +190,36 @@ def find(docs: DataFrame, reach: int = 10, support: int = 2, generalise: float =
     def first(batches):
         key = TaskContext.get().partitionId() << 33
         for part, texts in slices(batches, "body"):
-            base, near = [], []
+            base, near, words, entities = [], [], [], []
             for raw in texts:
                 text = raw.decode("utf-8", "replace")
                 found = base_spans(text)
                 base.append([{"kind": k, "start": a, "stop": b} for k in KINDS for a, b in found[k]])
-                near.append(contexts(text, found, reach) if base[-1] else [])
+                for column, own in zip((near, words, entities), contexts(text, found, reach) if base[-1] else ([], [], [])):
+                    column.append(own)
             keys = np.arange(key, key + len(texts))
             key += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base, kinds["base"]), pa.array(near, kinds["near"]), part.column(0)], out.names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base, kinds["base"]), pa.array(near, kinds["near"]), pa.array(words, kinds["words"]),
+                                              pa.array(entities, kinds["entities"]), part.column(0)], out.names)
 
     path = scratch_path(spark, "pii")
     rows.mapInArrow(first, out).write.parquet(path)
     read = spark.read.schema(out).parquet(path)
-    near = read.where("size(near) > 0").select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term", "x.at")
+    near = read.where("size(near) > 0").select("key", F.explode("near").alias("x")).select("x.entity", "x.term")
     # near has an entity and term once a document.
-    pairs = written(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support), "pii-pairs")
-    entities = near.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    pairs = written(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")), "pii-pairs")
+    holds = read.select("key", F.explode("entities").alias("entity"))
+    entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     terms = written(term_documents(docs, pairs.select("term").distinct(), text_col), "pii-terms")
     total = F.lit(float(read.count()))
-    share = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log(total / F.col("n_entity"))
+    others = F.col("n_term") + F.when(F.col("n_both") < support, 1).otherwise(0)
+    share = F.log(total * F.col("n_both") / (others * F.col("n_entity"))) / F.log(total / F.col("n_entity"))
     told = pairs.join(entities, "entity").where(total > F.col("n_entity")).join(terms, "term").withColumn("share", share)
     told = written(told.where(F.col("share") >= generalise).select("entity", "term", "share"), "pii-disclosing")
     # A value that very many documents hold is dealt by the join itself, so Spark can split it.
-    marked = near.join(told, ["entity", "term"]).select("key", F.explode("at").alias("at"), "share")
-    marked = marked.groupBy("key", "at").agg(F.max("share").alias("share"))
+    words = read.where("size(words) > 0").select("key", F.explode("words").alias("w")).select("key", "w.term", "w.at")
+    marked = words.join(told, "term").join(holds, ["key", "entity"]).groupBy("key", "term").agg(F.max("share").alias("share"), F.first("at").alias("at"))
+    marked = marked.select("key", F.explode("at").alias("at"), "share").groupBy("key", "at").agg(F.max("share").alias("share"))
     order = F.when(F.col("share") >= remove, 5).otherwise(4)
     span = F.struct(order.alias("order"), F.col("at.start").alias("start"), F.col("at.stop").alias("stop"))
     more = marked.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("more"))
