@@ -1,9 +1,10 @@
-"""The ten operators as queries over whole tables, and what SQL can express of them."""
+"""The thirteen operators as queries over whole tables, and what SQL can express of them."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taskloom.llm import decontam, licences, linededup, packing, pii, quality, simhash, substring, urlfilter, warc
+from taskloom.llm import decontam, fim, licences, linededup, mixing, orchard, packing, pii, quality, simhash, substring, urlfilter, warc
+from taskloom.session import written
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -107,6 +108,24 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    members, clusters = orchard.cluster(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    named = clusters.select("cluster", F.col("inertia").alias("cluster_inertia"), F.sum("inertia").over(Window.partitionBy(F.lit(0))).alias("inertia"),
+                            F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+    return members.join(F.broadcast(named), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_fim(spark: SparkSession, folder: str) -> DataFrame:
+    found = fim.transform(_table(spark, folder, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    sized = _table(spark, folder, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mix(written(sized, "mix-sized")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_revisits": op1_revisits,
     "op2_pii": op2_pii,
@@ -118,6 +137,9 @@ QUERIES = {
     "op8_line_templates": op8_line_templates,
     "op9_urls": op9_urls,
     "op10_decontamination": op10_decontamination,
+    "op11_centroids": op11_centroids,
+    "op12_fim": op12_fim,
+    "op13_mixing": op13_mixing,
 }
 ORACLE: dict[str, str] = {
     "op1_revisits": r"""
@@ -148,6 +170,9 @@ SELECT record_id, url_key, ts, state, CASE WHEN state IN ('resolved', 'unchecked
     ELSE concat_ws(chr(10), 'cache-control: ' || cache, 'content-length: ' || size, 'date: ' || date, 'etag: ' || tag, 'last-modified: ' || modified, 'server: edge') END AS headers
 FROM j""",
     "op7_licences": licences.oracle(),
+    "op11_centroids": orchard.oracle(),
+    "op12_fim": fim.ORACLE,
+    "op13_mixing": mixing.ORACLE,
     "op5_substring": r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents

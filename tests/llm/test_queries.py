@@ -20,8 +20,8 @@ def db():
     return con
 
 
-def test_all_ten_are_there():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+def test_all_thirteen_are_there():
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
 
 
@@ -42,6 +42,9 @@ def test_contract_columns(spark):
         "op6_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
         "op9_urls": "page_id bigint, host string, path string, rule string, verdict string",
         "op10_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+        "op11_centroids": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+        "op12_fim": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+        "op13_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     }
     for name, columns in want.items():
         have = dict(QUERIES[name](spark, FOLDER).dtypes)
