@@ -1,19 +1,24 @@
-"""Near-dedup by exact similarity, for the pipeline: Jaccard of five-word shingles of 0.8 or more.
-
-No radius of fingerprints finds all such pairs, so candidates come from prefixes. The
-shingles of a text stand in one fixed order (common ones last, then by hash); two texts
-of n and m shingles that agree in 0.8 of their union share at least 0.8 n and 0.8 m of
-them, so the first n - ceil(0.8 n) + 1 of both have one in common. Where the first one
-they share stands also bounds what they can share at all; the smaller text needs it in
-its first n - ceil(8 n / 9) + 1. Candidates are verified on the whole sets.
-
-Texts with equal sets are one class from the start. In a bucket (a shingle), texts near
-its leader are linked to it; pairs of two of them are connected by that and left out.
-
-Defined cases: words as in SimHash; fewer words than a shingle form one shingle; a null
-or empty text has the one shingle zero; shingles and sets are named by 64-bit hashes;
-null ids are members of a group but never its name, and all stay; of equal ids one
-stays; an empty table stays empty; texts are read whole.
+"""Near-dedup of whole texts through SimHash (4), for the pipeline: five-word shingles, Jaccard of 0.8 or more.
+
+One 64-bit fingerprint does not tell Jaccard 0.8 from less: such texts differ in some
+ten of its bits, give or take three. So a text has ``WORDS`` independent fingerprints of
+its distinct shingles, and two texts are candidates where any of them differ in at most
+``RADIUS`` bits. Each fingerprint is searched by the generalised pigeonhole principle of
+``simhash``: parts of correlated bits, thresholds allocated per fingerprint, probes.
+Candidates are verified by exact Jaccard on whole shingle sets, so nothing is linked
+wrongly; at 0.8 a pair escapes all four searches in some 8 % of cases, at 0.85 in 1 %.
+
+Texts with equal sets are one class from the start. Before the probes each class is
+compared with one or two leaders of the buckets it is in, and what that links makes
+first groups. Probes then only pass pairs of two groups; in a crowded bucket the rows of
+its leader's group stand apart, and probes of the same group never meet them. A
+thousand copies thus cost some thousand comparisons, not a million.
+
+Defined cases: words as in SimHash; fewer words than a shingle form one shingle; null
+and empty texts share the one shingle zero; shingles and sets are named by 64-bit
+hashes; of a group the row with the least id stays, null ids last, and of rows with
+equal ids the text with the least hash; of rows equal in id and text one stays; an empty
+table stays empty; other columns are carried along; texts are read whole.
 """
 
 import numpy as np
@@ -24,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskloom.llm._graph import components
-from taskloom.llm._text import hash64, slices, small_batches, window_hash
+from taskloom.llm._text import free_name, hash64, slices, small_batches, window_hash
+from taskloom.llm.simhash import _masks, allocate, ball_counts, bit_groups, part_count, part_values
 from taskloom.session import written
 
-#: Shingles in so many texts of one slice are common; so many are sent at most. They only shift work, never results.
-HOT_IN_SLICE, HOT_KEYS = 6, 1 << 18
+WORDS, RADIUS = 4, 9
+#: Buckets of more rows set their leader's group apart. That only saves comparisons of one group with itself.
+CROWDED = 64
 
 
 def shingles(raw: bytes, width: int = 5) -> np.ndarray:
@@ -43,96 +50,149 @@ def _name(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _common(rows: DataFrame, width: int) -> np.ndarray:
-    """Shingles that many texts share, ascending, as far as they are seen inside slices."""
+def fingerprints(own: np.ndarray, words: int = WORDS) -> list[int]:
+    """Independent SimHash fingerprints of a set of shingles, as signed numbers."""
+    out = []
+    for w in range(words):
+        h = own + np.uint64((0x9E3779B97F4A7C15 * (w + 1)) % 2**64)  # a mixed counter for each fingerprint
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        ones = np.zeros(64, np.int64)
+        for low in range(0, len(h), 8192):
+            ones += np.unpackbits(h[low : low + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True))
+    return out
 
-    def run(batches):
-        for _, texts in slices(batches, "body"):
-            key, n = np.unique(np.concatenate([shingles(t, width) for t in texts]), return_counts=True)
-            hot = n >= HOT_IN_SLICE
-            yield pa.RecordBatch.from_arrays([pa.array(key[hot].view(np.int64)), pa.array(n[hot])], ["key", "n"])
 
-    found = rows.select("body").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "key").limit(HOT_KEYS).toArrow()
-    return np.sort(top.column("key").to_numpy().view(np.uint64))
+def _near(x: Column, y: Column, radius: int) -> Column:
+    return F.bit_count(x.bitwiseXOR(y)) <= radius
+
 
+def _same(x: str, y: str) -> Column:
+    return F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.h") == F.col(f"{y}.h"))
 
-def _verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """Those of the candidates (a, b) whose sets agree in 0.8 of their union."""
-    pairs = written(pairs, "similar-candidates")
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "similar-asked")
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets agree in 0.8 of their union. Sets of ``b`` travel to ``a``, which may be in many pairs."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select("first.id", "first.h", "sig")
+    asked = written(asked, "similar-asked")
 
     def run(batches):
-        for _, texts in slices(batches, "body"):
-            sets = [shingles(t, width) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "own"])
+        for part, texts in slices(batches, "body"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).tobytes() for t in texts], pa.binary())], ["sig", "own"])
 
-    every = rows.select("body").mapInArrow(run, "sig long, own binary").join(asked, "sig", "left_semi")
-    sets = written(every.groupBy("sig").agg(F.first("own").alias("own")), "similar-sets")
+    picked = rows.alias("r").join(asked.alias("k"), _same("r", "k")).select("k.sig", "r.body")
+    sets = picked.mapInArrow(run, "sig long, own binary").groupBy("sig").agg(F.first("own").alias("own"))
 
     def compare(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                n = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                keep.append(5 * n >= 4 * (len(x) // 8 + len(y) // 8 - n))
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                n, m = len(x) // 8, len(y) // 8
+                both = 0
+                if 5 * min(n, m) >= 4 * max(n, m):
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                keep.append(5 * both >= 4 * (n + m - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (sets.select(F.col("sig").alias(k), F.col("own").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar-pairs")
+    met = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    return written(met.mapInArrow(compare, "a long, b long"), "similar-pairs")
 
 
-def _can(n: Column, at: Column, m: Column, to: Column) -> Column:
-    """Whether texts of n and m shingles that first meet at these places can be similar."""
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - at, m - to) >= 4 * (n + m))
+def _keys(values: np.ndarray, word: int, part: int) -> np.ndarray:
+    return (values | np.uint64(word) << np.uint64(56) | np.uint64(part) << np.uint64(48)).view(np.int64)
 
 
-def links(classes: DataFrame, rows: DataFrame, width: int = 5) -> DataFrame:
-    """(a, b): verified pairs that connect all similar classes (sig, n, prefix)."""
-    keys = classes.select("sig", "n", F.posexplode("prefix").alias("at", "key"))
-    leads = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("sig", "n", "at")).alias("lead")).where("k > 1").drop("k")
-    met = written(keys.join(leads, "key"), "similar-met")
-    star = met.where("sig <> lead.sig").where(_can(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
-    stars = _verified(star.select(F.col("lead.sig").alias("a"), F.col("sig").alias("b")).distinct(), rows, width)
-    rest = met.where("sig <> lead.sig").select("key", "sig", "n", "at", F.col("lead.sig").alias("a"))
-    rest = rest.join(stars.select("a", F.col("b").alias("sig"), F.lit(True).alias("by")), ["a", "sig"], "left")
-    rest = written(rest.select("key", "sig", "n", "at", F.coalesce("by", F.lit(False)).alias("by")), "similar-rest")
-    x, y = (rest.select("key", *(F.col(c).alias(c + s) for c in ("sig", "n", "at", "by"))) for s in "xy")
-    x = x.where("9 * (nx - atx) >= 8 * nx")
-    two = x.join(y, "key").where("sigx <> sigy and nx <= ny and not (byx and byy)").where(_can(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty")))
-    more = _verified(two.select(F.least("sigx", "sigy").alias("a"), F.greatest("sigx", "sigy").alias("b")).distinct(), rows, width)
-    return stars.unionByName(more)
+def links(classes: DataFrame, rows: DataFrame, radius: int = RADIUS, words: int = WORDS, width: int = 5) -> DataFrame:
+    """(a, b): verified pairs that connect the classes (sig, n, first, f0, f1, …) as all found pairs do. ``classes`` is a written table."""
+    prints = [f"f{w}" for w in range(words)]
+    parts = part_count(classes.count(), radius)
+    plans = []
+    for f in prints:
+        one = classes.select(F.col(f).alias("fp"))
+        groups = bit_groups(one, parts)
+        plans.append((groups, ball_counts(one, groups, radius)))
 
+    def stored(batches):  # batches: sig, another column, fingerprints
+        for b in batches:
+            for w, (groups, _) in enumerate(plans):
+                fps = b.column(2 + w).to_numpy(zero_copy_only=False).astype(np.int64)
+                for i, g in enumerate(groups):
+                    keys = _keys(part_values(fps.view(np.uint64), g), w, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0), b.column(1), pa.array(fps)], ["key", "sig", "other", "fp"])
 
-def keep_one(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, with one of each group of similar texts: the one with the least id."""
+    def probes(batches):
+        for b in batches:
+            for low in range(0, b.num_rows, 2048):
+                sig, root = (b.column(c).slice(low, 2048).to_numpy(zero_copy_only=False) for c in (0, 1))
+                for w, (groups, balls) in enumerate(plans):
+                    fps = b.column(2 + w).slice(low, 2048).to_numpy(zero_copy_only=False).astype(np.int64)
+                    units = allocate(fps.view(np.uint64), groups, balls, radius)
+                    for i, g in enumerate(groups):
+                        values = part_values(fps.view(np.uint64), g)
+                        for u in range(1, radius + 2):
+                            at, masks = np.flatnonzero(units[:, i] == u), _masks(len(g), u - 1)
+                            step = max(1, (1 << 17) // len(masks))
+                            for first in range(0, len(at), step):
+                                some = at[first : first + step]
+                                keys = _keys((values[some, None] ^ masks[None, :]).ravel(), w, i)
+                                columns = [keys, *(np.repeat(c[some], len(masks)) for c in (sig, root, fps))]
+                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "q", "rq", "fq"])
+
+    # Leaders: the class of most documents, and one by hash, of each bucket.
+    index = written(classes.select("sig", "n", *prints).mapInArrow(stored, "key long, sig long, other long, fp long"), "similar-index")
+    lead = lambda rank: F.max(F.struct(rank.alias("rank"), "sig", "fp"))
+    leads = index.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.array(lead(F.col("other")), lead(F.xxhash64("sig"))).alias("leads"))
+    leads = written(leads.where("k > 1"), "similar-leads")
+    met = index.join(leads.drop("k"), "key").select("sig", "fp", F.posexplode("leads").alias("way", "lead"))
+    met = met.where((F.col("sig") != F.col("lead.sig")) & _near(F.col("fp"), F.col("lead.fp"), radius))
+    stars = met.groupBy("sig", "way").agg(F.max(F.struct("lead.rank", "lead.sig"))["sig"].alias("a"))
+    stars = _verified(written(stars.select("a", F.col("sig").alias("b")).distinct(), "similar-stars"), classes, rows, width)
+
+    # First groups, and pairs of two of them.
+    roots = written(components(stars, "a", "b"), "similar-roots")
+    named = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), *prints)
+    named = written(named, "similar-named")
+    crowded = leads.where(F.col("k") > CROWDED).select("key", F.col("leads")[0]["sig"].alias("sig")).join(named.select("sig", "root"), "sig")
+    crowded = written(crowded.select("key", F.col("root").alias("own")), "similar-crowded")
+    index = named.mapInArrow(stored, "key long, sig long, root long, fp long").join(crowded, "key", "left")
+    index = index.select(F.when(F.col("root") == F.col("own"), F.bitwise_not("key")).otherwise(F.col("key")).alias("key"), "sig", "root", "fp")
+    asked = named.mapInArrow(probes, "key long, q long, rq long, fq long").join(crowded, "key", "left")
+    both = F.when(F.col("rq") != F.col("own"), F.array("key", F.bitwise_not("key"))).otherwise(F.array("key"))
+    asked = asked.select(F.explode(both).alias("key"), "q", "rq", "fq")
+    pairs = asked.join(index, "key").where((F.col("rq") != F.col("root")) & (F.col("q") < F.col("sig")) & _near(F.col("fq"), F.col("fp"), radius))
+    pairs = written(pairs.select(F.col("q").alias("a"), F.col("sig").alias("b")).distinct(), "similar-candidates")
+    return stars.unionByName(_verified(pairs, classes, rows, width))
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with one row of each group of similar texts."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
-    sent = docs.sparkSession.sparkContext.broadcast(_common(rows, width))
-    out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()),
-                        T.StructField("prefix", T.ArrayType(T.LongType()))])
+    body = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), body.alias("body"))
+    out = T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("h", "sig", *(f"f{w}" for w in range(words))))])
 
     def run(batches):
-        hot = sent.value
         for part, texts in slices(batches, "body"):
-            sigs, sizes, heads = [], [], []
-            for t in texts:
-                own = shingles(t, width)
-                n = len(own)
-                late = np.zeros(n, bool)
-                if len(hot):
-                    late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
-                order = np.concatenate([own[~late], own[late]])
-                sigs.append(_name(own))
-                sizes.append(n)
-                heads.append(order[: n - (4 * n + 4) // 5 + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], out.names)
+            own = [shingles(t, width) for t in texts]
+            numbers = zip(*((_name(s), *fingerprints(s, words)) for s in own))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in numbers)], out.names)
 
     prints = written(rows.mapInArrow(run, out), "similar-prints")
-    classes = written(prints.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("id").alias("first")), "similar-classes")
-    roots = components(written(links(classes, rows, width), "similar-links"), "a", "b")
+    first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "h")).alias("first")
+    classes = prints.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), first, *(F.min(f"f{w}").alias(f"f{w}") for w in range(words)))
+    classes = written(classes, "similar-classes")
+    roots = components(links(classes, rows, radius, words, width), "a", "b")
     member = classes.select("sig", "first").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    kept = member.groupBy("root").agg(F.min("first").alias("kept_id")).where("kept_id is not null").select("kept_id")
-    kept = written(kept, "similar-kept")
-    named = docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = written(member.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.h"), "similar-kept")
+    # Rows that are equal in id and text are few as a rule; only they are shuffled whole.
+    kept = kept.alias("k").join(prints.groupBy("id", "h").agg(F.count(F.lit(1)).alias("rows")).alias("p"), _same("k", "p")).select("k.id", "k.h", "p.rows")
+    kept = written(kept, "similar-kept-rows")
+    h = free_name(docs.columns, "h")
+    named = docs.withColumn(h, F.xxhash64(body))
+
+    def those(which: DataFrame) -> DataFrame:
+        return named.alias("d").join(which.alias("k"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.id")) & (F.col(f"d.{h}") == F.col("k.h")), "left_semi")
+
+    return those(kept.where("rows = 1")).drop(h).unionByName(those(kept.where("rows > 1")).dropDuplicates([id_col, h]).drop(h))
