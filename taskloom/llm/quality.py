@@ -88,6 +88,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], rounds: int = 60,
               bins: int = 32, least: int = 20, keep: float = 0.995) -> Trees | None:
     """Boosted trees with logistic loss and monotonic constraints.
 
+    A leaf has at least ``least`` rows, or fewer where a class is so small that its rows could not be told apart then.
     A fifth of the rows (every fifth) is held out. The cut is the score that
     ``keep`` of the good held-out rows reach, but at most 0 (even odds).
     """
@@ -101,6 +102,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], rounds: int = 60,
         return None
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in xt.T]
     coded = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, xt.T)], axis=1)
+    least = max(2, min(least, int(min(yt.sum(), len(yt) - yt.sum())) // 6))
     mean = yt.mean()
     bias = float(np.log(mean / (1 - mean)))
     score = np.full(len(yt), bias)

@@ -52,8 +52,9 @@ def test_training_edges(spark):
     assert quality.train(docs, spark.createDataFrame([(0, 1), (0, 1), (None, 0), (1, None), (2, 7)], "doc_id long, quality int")) is None
 
 
-def test_held_out_quality(spark):
-    folder = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_held_out_quality(spark, sf):
+    folder = f"/root/testdata/{sf}"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     half = labels.where("doc_id % 2 = 0")
     scored = quality.score_documents(docs, quality.train(docs, half)).withColumnRenamed("quality", "found")
