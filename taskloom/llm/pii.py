@@ -14,6 +14,11 @@ generalised, at every place in a document that holds the entity. Pairs seen in f
 than ``support`` documents show less: for them, one more document is taken to hold the
 term without the entity.
 
+Which documents a disclosing pair marks is found at the lesser cost: where all documents
+of the term or of the entity have the pair close together and there is one, it is that
+document; else the documents of the entity are asked, or those of the term where they are
+fewer. So a value that very many documents hold never meets its many terms in each.
+
 Defined cases: a null text counts as empty; documents without base spans get no
 other spans; repeated rows are documents of their own; an entity in every
 document has no information to disclose; null ids are handed through; an empty
@@ -32,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskloom.llm._sketch import ROWS, cells
+from taskloom.llm._sketch import _CHUNK, ROWS, _squeezed, _unsqueezed, cells
 from taskloom.llm._text import slices, small_batches
-from taskloom.session import scratch_path, written
+from taskloom.session import scratch_path, shuffle_width, written
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -91,8 +96,8 @@ def entity_of(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}".encode()) - (1 << 63)
 
 
-def contexts(text: str, spans: dict[str, list[tuple[int, int]]], reach: int) -> tuple[list[dict], list[dict], list[int]]:
-    """The pairs of entity and term near it, all terms with where they stand, outside the base spans, and the entities."""
+def words_of(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the words outside the base spans."""
     taken = sorted(s for own in spans.values() for s in own)
     words, i, stop = [], 0, 0
     for m in _TERM.finditer(text):
@@ -100,7 +105,18 @@ def contexts(text: str, spans: dict[str, list[tuple[int, int]]], reach: int) ->
         while i < len(taken) and taken[i][0] < m.end():
             stop, i = max(stop, taken[i][1]), i + 1
         if stop <= m.start():
-            words.append((m.start(), m.end(), m.group().lower()))
+            words.append((m.start(), m.end(), term_of(m.group())))
+    return words
+
+
+def term_of(word: str) -> str:
+    """Words that differ in case only are one term."""
+    return word.lower()
+
+
+def contexts(text: str, spans: dict[str, list[tuple[int, int]]], reach: int) -> tuple[list[dict], list[int]]:
+    """The pairs of entity and term near it, and the entities."""
+    words = words_of(text, spans)
     starts = [w[0] for w in words]
     found: dict[tuple[int, str], None] = {}
     entities: dict[int, None] = {}
@@ -111,10 +127,7 @@ def contexts(text: str, spans: dict[str, list[tuple[int, int]]], reach: int) ->
             low, high = bisect_left(starts, start), bisect_left(starts, end)
             for _, _, term in words[max(0, low - reach) : high + reach]:
                 found[entity, term] = None
-    places: dict[str, list[dict]] = {}
-    for a, b, term in words:
-        places.setdefault(term, []).append({"start": a, "stop": b})
-    return [{"entity": e, "term": t} for e, t in found], [{"term": t, "at": at} for t, at in places.items()], list(entities)
+    return [{"entity": e, "term": t} for e, t in found], list(entities)
 
 
 def _term_key(term: str) -> int:
@@ -123,23 +136,32 @@ def _term_key(term: str) -> int:
 
 def _term_filter(terms: DataFrame) -> tuple[bytes, int]:
     """A bit set of the terms' hashes, three cells each, 96 MB at most. It lets too many terms pass, never too few."""
-    bits = min(28, max(16, (8 * max(1, terms.count()) - 1).bit_length()))
+    bits = min(28, max(20, (8 * max(1, terms.count()) - 1).bit_length()))
+    chunks = ROWS << (bits - _CHUNK)
 
     def run(batches):
-        own = np.zeros((ROWS, 1 << bits >> 3), np.uint8)
         for b in batches:
             keys = np.array([_term_key(t) for t in b.column(0).to_pylist()], np.uint64)
             for row, at in enumerate(cells(keys, bits)):
-                np.bitwise_or.at(own[row], at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        at = np.flatnonzero(own.ravel())
-        for low in range(0, len(at), 1 << 16):
-            some = at[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own.ravel()[some].astype(np.int32))], ["byte", "bits"])
+                at = np.unique(at)
+                chunk = at >> np.uint64(_CHUNK)
+                for c in np.unique(chunk).tolist():
+                    own = (at[chunk == c] & np.uint64((1 << _CHUNK) - 1)).astype(np.uint32)
+                    yield pa.RecordBatch.from_pydict({"chunk": [(row << (bits - _CHUNK)) + c], "cells": [_squeezed(own)]})
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, own in zip(b.column(0).to_pylist(), b.column(1)):
+                held.setdefault(chunk, np.zeros(1 << _CHUNK, np.uint8))[_unsqueezed(own.as_py())] = 1
+        for chunk, own in held.items():
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "bits": [np.packbits(own, bitorder="little").tobytes()]})
 
-    merged = terms.mapInArrow(run, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(ROWS * (1 << bits >> 3), np.uint8)
-    out[merged.column("byte").to_numpy()] = merged.column("bits").to_numpy()
-    return out.tobytes(), bits
+    found = terms.mapInArrow(run, "chunk long, cells binary").repartition(min(chunks, shuffle_width(terms.sparkSession)), "chunk")
+    both = np.zeros((chunks, (1 << _CHUNK) // 8), np.uint8)
+    for r in found.mapInArrow(merge, "chunk long, bits binary").collect():  # one row a chunk, 96 MB at most
+        both[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return both.tobytes(), bits
 
 
 def term_documents(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
@@ -151,7 +173,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFram
         both = np.frombuffer(sent.value, np.uint8).reshape(ROWS, -1)
         counts: dict[str, int] = {}
         for _, texts in slices(batches, "body"):
-            per = [set(_TERM.findall(t.decode("utf-8", "replace").lower())) for t in texts]
+            per = [set(map(term_of, set(_TERM.findall(t.decode("utf-8", "replace"))))) for t in texts]
             every = list(set().union(*per))
             keys = np.array([_term_key(t) for t in every], np.uint64)
             ok = np.ones(len(every), bool)
@@ -180,8 +202,7 @@ def find(docs: DataFrame, reach: int = 10, support: int = 2, generalise: float =
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     out = T.StructType.fromDDL(
-        "key long, base array<struct<kind:string,start:int,stop:int>>, near array<struct<entity:bigint,term:string>>, "
-        "words array<struct<term:string,at:array<struct<start:int,stop:int>>>>, entities array<bigint>")
+        "key long, base array<struct<kind:string,start:int,stop:int>>, near array<struct<entity:bigint,term:string>>, entities array<bigint>, body string")
     out.add(T.StructField("id", rows.schema["id"].dataType))
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -190,24 +211,26 @@ def find(docs: DataFrame, reach: int = 10, support: int = 2, generalise: float =
     def first(batches):
         key = TaskContext.get().partitionId() << 33
         for part, texts in slices(batches, "body"):
-            base, near, words, entities = [], [], [], []
+            base, near, entities, bodies = [], [], [], []
             for raw in texts:
                 text = raw.decode("utf-8", "replace")
                 found = base_spans(text)
                 base.append([{"kind": k, "start": a, "stop": b} for k in KINDS for a, b in found[k]])
-                for column, own in zip((near, words, entities), contexts(text, found, reach) if base[-1] else ([], [], [])):
+                for column, own in zip((near, entities), contexts(text, found, reach) if base[-1] else ([], [])):
                     column.append(own)
+                bodies.append(text if base[-1] else None)
             keys = np.arange(key, key + len(texts))
             key += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base, kinds["base"]), pa.array(near, kinds["near"]), pa.array(words, kinds["words"]),
-                                              pa.array(entities, kinds["entities"]), part.column(0)], out.names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(base, kinds["base"]), pa.array(near, kinds["near"]),
+                                              pa.array(entities, kinds["entities"]), pa.array(bodies, kinds["body"]), part.column(0)], out.names)
 
     path = scratch_path(spark, "pii")
-    rows.mapInArrow(first, out).write.parquet(path)
+    rows.mapInArrow(first, out).write.option("compression", "zstd").parquet(path)
     read = spark.read.schema(out).parquet(path)
-    near = read.where("size(near) > 0").select("key", F.explode("near").alias("x")).select("x.entity", "x.term")
+    near = read.where("size(near) > 0").select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term")
     # near has an entity and term once a document.
-    pairs = written(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")), "pii-pairs")
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.min("key").alias("key"))
+    pairs = written(pairs, "pii-pairs")
     holds = read.select("key", F.explode("entities").alias("entity"))
     entities = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     terms = written(term_documents(docs, pairs.select("term").distinct(), text_col), "pii-terms")
@@ -215,17 +238,51 @@ def find(docs: DataFrame, reach: int = 10, support: int = 2, generalise: float =
     others = F.col("n_term") + F.when(F.col("n_both") < support, 1).otherwise(0)
     share = F.log(total * F.col("n_both") / (others * F.col("n_entity"))) / F.log(total / F.col("n_entity"))
     told = pairs.join(entities, "entity").where(total > F.col("n_entity")).join(terms, "term").withColumn("share", share)
-    told = written(told.where(F.col("share") >= generalise).select("entity", "term", "share"), "pii-disclosing")
-    # A value that very many documents hold is dealt by the join itself, so Spark can split it.
-    words = read.where("size(words) > 0").select("key", F.explode("words").alias("w")).select("key", "w.term", "w.at")
-    marked = words.join(told, "term").join(holds, ["key", "entity"]).groupBy("key", "term").agg(F.max("share").alias("share"), F.first("at").alias("at"))
-    marked = marked.select("key", F.explode("at").alias("at"), "share").groupBy("key", "at").agg(F.max("share").alias("share"))
-    order = F.when(F.col("share") >= remove, 5).otherwise(4)
-    span = F.struct(order.alias("order"), F.col("at.start").alias("start"), F.col("at.stop").alias("stop"))
-    more = marked.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("more"))
-    named = F.transform("more", lambda s: F.struct(F.when(s["order"] == 5, "remove").otherwise("generalise").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return read.join(more, "key", "left").select(
-        F.col("id").alias(id_col), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", named)).alias("spans"))
+    least = F.least("n_term", "n_entity")
+    way = F.when(least == 1, "one").when((F.col("n_entity") <= F.col("n_term")) | (F.col("n_entity") <= 2 * F.col("n_both")), "entity").otherwise("term")
+    told = written(told.where(F.col("share") >= generalise).select("entity", "term", "share", "key", way.alias("way")), "pii-disclosing")
+    marked = told.where("way = 'one'").select("key", "term", "share")
+    marked = marked.unionByName(holds.join(told.where("way = 'entity'").drop("key"), "entity").select("key", "term", "share"))
+    through = told.where("way = 'term'").drop("key", "way")
+    marked = marked.unionByName(_through_terms(read, through).join(holds, ["key", "entity"], "left_semi").select("key", "term", "share"))
+    marked = marked.groupBy("key", "term").agg(F.max("share").alias("share"))
+    marked = marked.groupBy("key").agg(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("gone"))).alias("marked"))
+    spans = T.StructType([out["base"], T.StructField("more", out["base"].dataType), T.StructField(id_col, out["id"].dataType)])
+
+    def last(batches):
+        for part, texts in slices(batches, "body"):
+            more = []
+            for base, marks, raw in zip(part.column(0), part.column(2), texts):
+                own = {m["term"]: m["gone"] for m in marks.as_py() or ()}
+                found = []
+                if own:
+                    taken: dict[str, list[tuple[int, int]]] = {}
+                    for s in base.as_py():
+                        taken.setdefault(s["kind"], []).append((s["start"], s["stop"]))
+                    for a, b, term in words_of(raw.decode(), taken):
+                        if term in own:
+                            found.append((own[term], a, b))
+                found.sort()
+                more.append([{"kind": "remove" if gone else "generalise", "start": a, "stop": b} for gone, a, b in found])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(more, kinds["base"]), part.column(3)], spans.names)
+
+    done = read.select("key", "id", "base", "body").join(marked, "key", "left").select("base", "body", "marked", "id").mapInArrow(last, spans)
+    return done.select(id_col, "base", F.concat("base", "more").alias("spans"))
+
+
+def _through_terms(read: DataFrame, told: DataFrame) -> DataFrame:
+    """(key, entity, term, share): the documents of each told term, with the entities that it tells of."""
+
+    def run(batches):
+        for part, texts in slices(batches, "body"):
+            keys = part.column(0).to_pylist()
+            terms = [list(dict.fromkeys(map(term_of, _TERM.findall(t.decode())))) for t in texts]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "terms": pa.array(terms, pa.list_(pa.string()))})
+
+    if told.isEmpty():
+        return read.select("key", F.lit(0).cast("long").alias("entity"), F.lit("").alias("term"), F.lit(0.0).alias("share")).limit(0)
+    words = read.where("body is not null").select("key", "body").mapInArrow(run, "key long, terms array<string>")
+    return words.select("key", F.explode("terms").alias("term")).join(told, "term")
 
 
 def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
