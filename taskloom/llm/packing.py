@@ -17,7 +17,9 @@ empty table gives no pieces; columns beside id and text are not read.
 import heapq
 import sys
 import types
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,9 @@ class WordTokenizer:
     after it, is cut before the signs, as the tokenizer does, and its letters skip
     the normalizer and the word pattern; every other word (digits, apostrophes,
     special tokens, other scripts) goes through the whole tokenizer.
+
+    A word has a number, and numbers say where its ids stand in one array, so a
+    text costs one dictionary lookup a word and its ids are gathered in numpy.
     """
 
     def __init__(self, definition: str, memo_words: int = MEMO_WORDS):
@@ -55,47 +60,100 @@ class WordTokenizer:
         for ascii_only, t in self.letters.items():
             t.normalizer = None
             t.pre_tokenizer = spaces if ascii_only else pre_tokenizers.Sequence([spaces, as_bytes])
-        self.memo: dict[bytes, bytes] = {}
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.memo_words = memo_words
-
-    def learn(self, words: set[bytes]) -> None:
-        cut, other = {}, []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.used = np.zeros(1 << 18, "<u4"), 0
+        self.number[b""]  # number 0, no ids
+
+    def _numbers(self, words: Iterable[bytes], n: int) -> np.ndarray:
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, n)
+        while len(self.number) > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        return found
+
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.used += len(ids)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one after the other, and where each word's end."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[numbers] - (ends - sizes), sizes)
+        return self.ids[at], ends
+
+    def _encode_runs(self, words: list[bytes], ascii_only: bool) -> None:
+        """Words that the tokenizer for letters takes, many in one call; a word ends at a token with the suffix."""
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            found = self.letters[ascii_only].encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) == len(part):
+                self._store(self._numbers(part, len(part)), ids, np.diff(stops, prepend=0))
+            else:
+                self._encode_whole(part)
+
+    def _encode_whole(self, words: list[bytes]) -> None:
+        texts = [t.decode("utf-8", "replace") for t in words]
+        found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._store(self._numbers(words, len(words)), np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes)
+
+    def _learn(self, words: list[bytes], known: int) -> None:
+        """Ids of new words; numbers from ``known`` on have none yet."""
+        number = self.number
+        plain: dict[bool, set[bytes]] = {True: set(), False: set()}
+        made, tailed, whole = [], [], set()
         for w in words:
             core = w.rstrip(_SIGNS)
             if core.isalpha():  # ASCII letters only, as these are bytes
-                low = core.lower().decode()
+                low, ascii_only = core.lower(), True
             else:
-                low = core.decode("utf-8", "replace").lower()
+                text = core.decode("utf-8", "replace").lower()
                 # Letters below U+0250 are stable under the tokenizer's normalizer once they are small.
-                if not (low.isalpha() and max(low) < "\u0250"):
-                    other.append(w)
+                if not (text.isalpha() and max(text) < "\u0250"):
+                    whole.add(w)
                     continue
-            cut[w] = low, w[len(core) :]
-        fresh, runs = {low for low, _ in cut.values()}, {}
-        for ascii_only, letters in self.letters.items():
-            own = [low for low in fresh if low.isascii() == ascii_only]
-            for at in range(0, len(own), 500):
-                part = own[at : at + 500]
-                found = letters.encode(" ".join(part), add_special_tokens=False)
-                ids = np.array(found.ids, "<u4").tobytes()
-                ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
-                for r, low, high in zip(part, ends, ends[1:]):
-                    runs[r] = ids[low:high]
-        rest = other + list({t for _, t in cut.values() if t} - self.memo.keys())
-        texts = [t.decode("utf-8", "replace") for t in rest]
-        for w, e in zip(rest, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (low, tail) in cut.items():
-            self.memo[w] = runs[low] + self.memo[tail] if tail else runs[low]
+                low, ascii_only = text.encode(), text.isascii()
+            if number[low] >= known:
+                plain[ascii_only].add(low)
+            if low != w:
+                tail = w[len(core) :]
+                tailed += (low, tail)
+                if number[tail] >= known:
+                    whole.add(tail)
+                made.append(w)
+        for ascii_only, own in plain.items():
+            self._encode_runs(list(own), ascii_only)
+        self._encode_whole(list(whole))
+        ids, ends = self._gather(self._numbers(tailed, len(tailed)))
+        self._store(self._numbers(made, len(made)), ids, np.diff(ends[1::2], prepend=0))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.number) > self.memo_words:
+            self._clear()
         # Small letters share entries; special tokens are only such as they are written.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        words = set().union(*split)
-        if len(self.memo) + len(words) > self.memo_words:
-            self.memo.clear()
-        self.learn(words - self.memo.keys())
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, s)), "<u4") for s in split]
+        known, counts = len(self.number), np.fromiter(map(len, split), np.int64, len(split))
+        numbers = self._numbers(chain.from_iterable(split), int(counts.sum()))
+        fresh = len(self.number) - known
+        self._learn(list(islice(reversed(self.number), fresh)), known)
+        ids, ends = self._gather(numbers)
+        ends = np.concatenate([[0], ends])[np.cumsum(counts)]
+        return np.split(ids, ends[:-1])
 
 
 def _shared_tokenizer(definition: str) -> WordTokenizer:
