@@ -182,7 +182,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, width: i
     prints = written(rows.mapInArrow(run, out), "similar-prints")
     first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "h")).alias("first")
     classes = prints.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), first, *(F.min(f"f{w}").alias(f"f{w}") for w in range(words)))
-    classes = written(classes, "similar-classes")
+    # Small numbers in place of hashes: they travel in every probe, and shuffles compress them.
+    classes = written(classes.withColumn("sig", F.monotonically_increasing_id()), "similar-classes")
     roots = components(links(classes, rows, radius, words, width), "a", "b")
     member = classes.select("sig", "first").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     kept = written(member.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.h"), "similar-kept")
