@@ -7,20 +7,22 @@ id before anything joins them back, so a retried task or a restarted job asks
 only for what is missing.
 """
 
+import queue
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.functions.hashing import sha_id
 from taskloom.functions.text import text_or_empty, token_count, truncate
 from taskloom.operators.sharding import resume_antijoin
 from taskloom.prompts import DEFAULT_TYPE, STAGES, TYPE_GUIDES
-from taskloom.session import shuffle_width
+from taskloom.session import delete, exists, names_in, scratch_path, shuffle_width
 
 
 def render_prompt(template: str, values: Sequence[tuple[str, Column]]) -> Column:
@@ -154,6 +156,26 @@ def infer_batches(
 _FAILED = {"return_code": -1, "stdout": "", "stderr": "max retries exceeded"}
 
 
+def _with_deadline(call: Callable[[dict], dict], job: dict, seconds: float) -> dict:
+    """The call's result, or an error once it takes too long. Such a call is left to itself, on a thread that ends with the worker."""
+    answer: queue.SimpleQueue = queue.SimpleQueue()
+
+    def work() -> None:
+        try:
+            answer.put((call(job), None))
+        except BaseException as e:
+            answer.put((None, e))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        found, error = answer.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds} s") from None
+    if error is not None:
+        raise error
+    return found
+
+
 def run_batches(
     jobs: DataFrame,
     run: Callable[[dict], dict],
@@ -161,28 +183,36 @@ def run_batches(
     max_attempts: int = 3,
     concurrency: int = 100,
     wait: tuple[float, float] = (3.0, 5.0),
+    request_timeout: float = 60,
 ) -> DataFrame:
-    """Run table (request_id, success, return_code, stdout, stderr) for (code, language, stdin) jobs.
+    """Run table (request_id, success, return_code, stdout, stderr, abandoned) for (code, language, stdin) jobs.
 
     ``run`` handles one job and may raise; it is tried ``max_attempts`` times
     with a jittered wait, and a job that never succeeds becomes a failure row.
-    ``concurrency`` bounds the calls in flight per task.
+    ``run_timeout`` is handed to ``run``; a call that has not come back after
+    ``request_timeout`` seconds counts as a failed attempt and is abandoned, so a
+    runner that hangs never holds a task. ``abandoned`` counts such calls.
+    ``concurrency`` bounds the calls that a task waits for.
     """
 
-    def attempt(job: dict) -> dict:
+    def attempt(job: dict) -> tuple[dict, int]:
+        abandoned = 0
         for i in range(max_attempts):
             try:
-                return run(job)
+                return _with_deadline(run, job, request_timeout), abandoned
+            except TimeoutError:
+                abandoned += 1
             except Exception:  # the runner is foreign code: any error means "try again"
-                if i + 1 < max_attempts:
-                    time.sleep(random.uniform(*wait))
-        return _FAILED
+                pass
+            if i + 1 < max_attempts:
+                time.sleep(random.uniform(*wait))
+        return _FAILED, abandoned
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrency) as pool:
             for chunk in _chunks(frames, 4 * concurrency):
                 todo = [{**job, "run_timeout": run_timeout} for job in chunk.to_dict("records")]
-                done = list(pool.map(attempt, todo))
+                done, abandoned = zip(*pool.map(attempt, todo))
                 codes = [int(d.get("return_code", -1)) for d in done]
                 yield pd.DataFrame({
                     "request_id": chunk["request_id"],
@@ -190,39 +220,112 @@ def run_batches(
                     "return_code": codes,
                     "stdout": [d.get("stdout") or "" for d in done],
                     "stderr": [d.get("stderr") or "" for d in done],
+                    "abandoned": abandoned,
                 })
 
     return jobs.select("request_id", "code", "language", "stdin").mapInPandas(work, RUNS)
 
 
 RESPONSES = "request_id string, raw string"
-RUNS = "request_id string, success boolean, return_code int, stdout string, stderr string"
+RUNS = "request_id string, success boolean, return_code int, stdout string, stderr string, abandoned int"
+
+#: Buckets of a response store; requests of one wave, where the number of waves is not given; files that a bucket may gather.
+BUCKETS, WAVE_ROWS, BUCKET_FILES = 8, 100_000, 64
+
+
+def bucket_of(request_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(request_id), F.lit(buckets)).cast("int")
+
+
+class ResponseStore:
+    """Answers by request id, in buckets of the id's hash: a wave reads the buckets it works on and no others.
+
+    ``path/buckets=<n>/gen=<g>/bucket=<b>`` holds appended files; the number of buckets is fixed with the first answer.
+    ``compact`` writes the next generation, with few files a bucket. A generation counts once it is complete; the one
+    before stays until the next compaction, for those who still read it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str = RESPONSES, buckets: int = BUCKETS):
+        found = [n for n in names_in(spark, path) if n.startswith("buckets=")]
+        self.spark, self.schema = spark, schema
+        self.buckets = int(found[0].split("=")[1]) if found else buckets
+        self.root = f"{path}/buckets={self.buckets}"
+
+    def _generations(self) -> list[int]:
+        found = [int(n.split("=")[1]) for n in names_in(self.spark, self.root) if n.startswith("gen=")]
+        return sorted(g for g in found if g == 0 or exists(self.spark, f"{self.root}/gen={g}/_SUCCESS"))
+
+    def folder(self) -> str:
+        return f"{self.root}/gen={(self._generations() or [0])[-1]}"
+
+    def read(self, first: int = 0, last: int | None = None) -> DataFrame:
+        """Answers of the buckets from first to last, with the column ``bucket``; only these are read."""
+        folder, schema = self.folder(), f"{self.schema}, bucket int"
+        if not exists(self.spark, folder):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(folder).where(F.col("bucket").between(first, self.buckets - 1 if last is None else last))
+
+    def append(self, answers: DataFrame) -> None:
+        answers.withColumn("bucket", bucket_of(F.col("request_id"), self.buckets)).write.mode("append").partitionBy("bucket").parquet(self.folder())
+
+    def files(self) -> int:
+        folder = self.folder()
+        return sum(len([f for f in names_in(self.spark, f"{folder}/{b}") if f.endswith(".parquet")]) for b in names_in(self.spark, folder) if b.startswith("bucket="))
+
+    def compact(self) -> None:
+        generations = self._generations() or [0]
+        rows = self.read().hint("rebalance", "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/gen={generations[-1] + 1}")
+        for old in generations[:-1]:
+            delete(self.spark, f"{self.root}/gen={old}")
 
 
 def exchange_through(
     reqs: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame], schema: str = RESPONSES,
-    waves: int = 8, parallelism: int | None = None,
+    waves: int | None = None, parallelism: int | None = None, wave_rows: int = WAVE_ROWS, bucket_files: int = BUCKET_FILES,
+    dealt: int | None = None,
 ) -> DataFrame:
-    """Answer the requests that ``path`` does not hold yet, append them, and return the table.
-
-    Each distinct request id is asked once. The ids are dealt into ``waves``, each
-    of which is committed before the next begins, so a run that fails keeps the
-    answers of its finished waves, and a restart asks only for the rest. Inside a
-    wave the calls go to ``parallelism`` tasks (default: the shuffle partitions);
-    a given number is not coalesced by size, as a call's cost is not its bytes.
-    Run it with speculation off. ``reqs`` should be a stored table, as it is read
-    once per wave.
+    """Answer the requests that the store at ``path`` does not hold yet, append them, and return the table.
+
+    Each distinct request id is asked once. The ids are dealt into buckets and the
+    buckets into waves, as many as given or as hold some ``wave_rows`` requests
+    each. A wave is committed before the next begins, so a run that fails keeps
+    the answers of its finished waves, and a restart asks only for the rest.
+    Requests and answers lie by bucket, so all waves together read each of them
+    once. Inside a wave the calls go to ``parallelism`` tasks (default: the shuffle
+    partitions); a given number is not coalesced by size, as a call's cost is not
+    its bytes. Run it with speculation off.
+
+    ``reqs`` is written by bucket first, unless it already lies by a column ``bucket``
+    of as many buckets as the store has (``by_bucket``): ``dealt`` says so.
     """
     spark = reqs.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store = ResponseStore(spark, path, schema, dealt or waves or BUCKETS)
     n = parallelism or shuffle_width(spark)
-    for wave in range(waves):
-        todo = reqs.where(F.pmod(F.xxhash64("request_id"), F.lit(waves)) == wave).dropDuplicates(["request_id"])
-        if system.exists(folder):
-            todo = resume_antijoin(todo, spark.read.schema(schema).parquet(path), "request_id")
-        answer(todo.repartition(n, "request_id")).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    if dealt != store.buckets:
+        place = scratch_path(spark, "requests")
+        laid = by_bucket(reqs.drop("bucket"), store.buckets)
+        laid.write.partitionBy("bucket").parquet(place)
+        reqs = spark.read.schema(laid.schema).parquet(place)
+    waves = min(store.buckets, waves or max(1, -(-reqs.count() // wave_rows)))
+    edges = [store.buckets * i // waves for i in range(waves + 1)]
+    for first, last in zip(edges, edges[1:]):
+        if first < last:
+            store.append(answer(wave_of(reqs, store, first, last - 1).repartition(n, "request_id")))
+    if store.files() > bucket_files * store.buckets:
+        store.compact()
+    return store.read().drop("bucket")
+
+
+def by_bucket(reqs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Requests dealt to the tasks by bucket, for a table that waves read one part of."""
+    return reqs.withColumn("bucket", bucket_of(F.col("request_id"), buckets)).hint("rebalance", "bucket")
+
+
+def wave_of(reqs: DataFrame, store: ResponseStore, first: int, last: int) -> DataFrame:
+    """The requests of some buckets that have no answer yet, each once."""
+    asked = reqs.where(F.col("bucket").between(first, last)).dropDuplicates(["request_id"])
+    return resume_antijoin(asked, store.read(first, last), "request_id").drop("bucket")
 
 
 def attach_responses(reqs: DataFrame, responses: DataFrame, out: str) -> DataFrame:

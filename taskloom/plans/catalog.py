@@ -1,5 +1,6 @@
 """Every operator as a query over the given tables."""
 
+import hashlib
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,8 +12,9 @@ from taskloom.functions import text as t
 from taskloom.functions.hashing import sha_id
 from taskloom.functions.language import language_detect, language_runner
 from taskloom.functions.strict_json import json_fields, parse_last_block
-from taskloom.operators import checks, corpus, exchange, export, joins, pairing, responses, runs, shape, sharding
-from taskloom.plans import fixtures
+from taskloom.functions.tokens import tokenizer_length
+from taskloom.operators import checks, corpus, exchange, export, joins, observed, pairing, responses, runs, shape, sharding
+from taskloom.plans import fixtures, jobs
 from taskloom.prompts import STAGES
 from taskloom.session import scratch_path, written
 from taskloom.sources import jsonl, shards
@@ -116,6 +118,23 @@ def read_jsonl(x: Inputs) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def read_jsonl_ordered(x: Inputs) -> DataFrame:
+    """A list of two files of response lines, of many blocks each, read in order; bad lines are dropped and leave gaps."""
+    size, root = "spark.sql.files.maxPartitionBytes", x.scratch("lines")
+    paths = [f"{root}/{i}" for i in range(2)]
+    for i, path in enumerate(paths):
+        part = x.corpus_responses.where(F.col("doc_id") % 2 == i)
+        part.coalesce(1).sortWithinPartitions("doc_id").select(F.col("raw").alias("value")).write.text(path)
+    before = x.spark.conf.get(size)
+    x.spark.conf.set(size, str(64 << 10))  # blocks of 64 kB
+    try:
+        found = jsonl.read_jsonl(x.spark, paths, "suitable_types array<string>", "drop", "*.txt", seq="seq")
+        return written(found.select("seq", F.array_join("suitable_types", ",").alias("types")), "ordered")
+    finally:
+        x.spark.conf.set(size, before)
+
+
 @query
 def read_shards(x: Inputs) -> DataFrame:
     path = x.scratch("shards")
@@ -151,11 +170,12 @@ def write_shards(x: Inputs) -> DataFrame:
 
 @query
 def append_jsonl(x: Inputs) -> DataFrame:
-    """Two appends of records with non-ASCII text, read back strictly."""
+    """Two batches of records with non-ASCII text, one of them appended twice, read back strictly."""
     path = x.scratch("appended")
-    for part in (x.table("documents").select("doc_id", "text"), x.table("benchmark").selectExpr("-1 - item_id AS doc_id", "text")):
-        jsonl.append_jsonl(part, path)
-    return jsonl.read_jsonl(x.spark, path, "doc_id bigint, text string", "fail", "*.json")
+    docs, items = x.table("documents").select("doc_id", "text"), x.table("benchmark").selectExpr("-1 - item_id AS doc_id", "text")
+    for batch, part in (("documents", docs), ("items", items), ("documents", docs)):  # the repeated batch is left alone
+        jsonl.append_jsonl(part, path, batch)
+    return jsonl.appended(x.spark, path, "doc_id bigint, text string")
 
 
 @query
@@ -209,7 +229,7 @@ def solution_rows(x: Inputs) -> DataFrame:
 
 @query
 def expand_solutions(x: Inputs) -> DataFrame:
-    kept = shape.expand_solutions(_known_solutions(x), None, 400, ["cpp", "python", "java"])
+    kept = shape.expand_solutions(_known_solutions(x))
     return kept.select("id", "pos", "code", "language", "submission_id", "solution_idx")
 
 
@@ -219,9 +239,16 @@ def expand_solutions_sampled(x: Inputs) -> DataFrame:
     return kept.select("id", "pos", "language", "solution_idx")
 
 
+def _counts(x: Inputs, column: str, counts: dict[str, int]) -> DataFrame:
+    return x.spark.createDataFrame(list(counts.items()), f"{column} string, n bigint")
+
+
 @query
 def expand_funnel(x: Inputs) -> DataFrame:
-    return shape.expand_funnel(_known_solutions(x), 400, ["cpp", "python", "java"])
+    """The usable solutions are written, and every status is counted on the way."""
+    rows = shape.solution_status(_known_solutions(x), 8000)
+    kept, counts = observed.kept_and_counts(rows, "status", ["kept", "empty", "language", "too_long"], x.scratch("solutions"))
+    return _counts(x, "status", counts)
 
 
 @query
@@ -272,7 +299,10 @@ def rule_hints(x: Inputs) -> DataFrame:
 
 @query
 def rule_filter(x: Inputs) -> DataFrame:
-    return corpus.rule_status(x.hinted).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """The hinted texts are written, and what is left out is counted on the way."""
+    rows = corpus.rule_status(x.hinted).select("doc_id", "text", "rule_hints", "status")
+    kept, counts = observed.kept_and_counts(rows, "status", ["kept", "no_hint", "empty"], x.scratch("hinted"))
+    return _counts(x, "status", counts)
 
 
 @query
@@ -391,6 +421,22 @@ def resume_incremental(x: Inputs) -> DataFrame:
     return x.spark.read.parquet(f"{out}/rule").select("doc_id", "text", _ints("rule_hints").alias("hints"))
 
 
+def _by_length(prompts: list[str]) -> list[str]:
+    return [f'{{"suitable_types": [{1 + len(p) % 5}], "reasons": {{}}}}' for p in prompts]
+
+
+@query
+def intake_two_sinks(x: Inputs) -> DataFrame:
+    """The streaming intake with both sinks, over four micro-batches that are committed one by one."""
+    source, out = x.scratch("corpus-files"), x.scratch("intake")
+    x.corpus_raw.repartition(8, "doc_id").write.parquet(source)
+    n = len(x.spark.read.parquet(source).inputFiles())
+    stream = intake.corpus_stream(x.spark, source, x.corpus_raw.schema, "parquet", files_per_batch=-(-n // 4))
+    intake.intake(stream, out, x.scratch("intake-checkpoint"), "doc_id", _by_length).awaitTermination()
+    rule = intake.taken_in(x.spark, out, "rule").select(F.lit("rule").alias("sink"), "doc_id", _ints("rule_hints").alias("types"))
+    return rule.unionByName(intake.taken_in(x.spark, out, "model").select(F.lit("model").alias("sink"), "doc_id", _ints("suitable_types").alias("types")))
+
+
 @query
 def request_batches(x: Inputs) -> DataFrame:
     return sharding.request_batches(x.eval_cases.select("eval_id", "seq"), "seq", 64).select("eval_id", "batch")
@@ -449,7 +495,7 @@ def _count_words(prompts: list[str]) -> list[str]:
 @query
 def infer_batches(x: Inputs) -> DataFrame:
     """Requests answered through a written response table and joined back."""
-    reqs = _synthesis_prompt(x)
+    reqs = written(_synthesis_prompt(x).select("seq", "request_id", "prompt"), "requests")
     path = x.scratch("responses")
     table = exchange.exchange_through(reqs, path, lambda r: exchange.infer_batches(r, _count_words, STAGES["synthesize"].batch_size))
     return exchange.attach_responses(reqs.select("seq", "request_id"), table, "synthesis_result").select("seq", "synthesis_result")
@@ -505,6 +551,70 @@ def length_gate(x: Inputs) -> DataFrame:
     return rows.select("seq", _big("prompt_tokens"), "sendable", "result")
 
 
+def length_gate_tokens(x: Inputs) -> DataFrame:
+    """Documents as prompts, gated by a tokenizer's own count of their tokens."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        count = tokenizer_length(f.read())
+    reqs = jsonl.spread(x.table("documents")).select("doc_id", F.col("text").alias("prompt"))
+    return exchange.length_gate(reqs, 1024, 512, count).select("doc_id", "prompt_tokens", "sendable")
+
+
+#: No SQL counts tokens; a test holds this against the whole tokenizer.
+UNCHECKED = {"length_gate_tokens"}
+QUERIES["length_gate_tokens"] = lambda spark, sf_dir: length_gate_tokens(Inputs(spark, sf_dir))
+
+
+# --- whole jobs over all rows, with stand-ins for the model and the runner -----
+
+def _digests(prompts: list[str]) -> list[str]:
+    """Stand-in for a model whose answer depends on every character of the prompt."""
+    return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+
+def _stages(x: Inputs) -> jobs.Stages:
+    return jobs.Stages(x.spark, x.scratch("work"), "whole")
+
+
+@query
+def synthesize_problems(x: Inputs) -> DataFrame:
+    found = jobs.synthesize_problems(x.qa, x.ruled, "doc_id", _digests, _stages(x), k=2)
+    return found.select("id", _big("type_id"), _big("sample_idx"), "original_problem", "corpus_text", "synthesis_result")
+
+
+@query
+def refine_problems(x: Inputs) -> DataFrame:
+    found = jobs.refine_problems(x.stories.drop("refined_result"), _digests, _stages(x))
+    return found.select("id", _big("sample_idx"), "title", "refined_result")
+
+
+@query
+def fuse_inputs(x: Inputs) -> DataFrame:
+    found = jobs.fuse_inputs(x.eval_cases, x.stories, _digests, _stages(x))
+    return found.select("eval_id", _big("template_idx"), "original_input", "new_input", "fused_result")
+
+
+def _traced_run(job: dict) -> dict:
+    """Stand-in for a runner: prints one trace line and an answer; some runs fail, some are silent, some are wrong."""
+    n = int(job["stdin"].split()[0])
+    out = "" if n % 13 == 4 else f"[TRACE] read | n={n}\n{n % 97 + (n % 11 == 3)}\n"
+    return {"return_code": int(n % 50 == 7), "stdout": out, "stderr": ""}
+
+
+@query
+def execute_instrumented(x: Inputs) -> DataFrame:
+    inputs = x.eval_cases.select("problem_id", "source", "input", "expected_output", "seq")
+    found = jobs.execute_instrumented(inputs, x.codes, _traced_run, _stages(x))
+    return found.withColumn("traces", F.array_join("traces", "\n"))
+
+
+@query
+def synthesize_reasoning(x: Inputs) -> DataFrame:
+    found = jobs.synthesize_reasoning(x.fused, x.trace_runs, x.codes, _digests, _stages(x))
+    return found.select("eval_id", "problem_id", "source", "cot_result")
+
+
 # --- responses ---------------------------------------------------------------
 
 @query
@@ -625,11 +735,11 @@ def _fake_run(job: dict) -> dict:
 
 @query
 def run_batches(x: Inputs) -> DataFrame:
-    jobs = x.eval_cases.select(
+    calls = x.eval_cases.select(
         F.col("eval_id").alias("request_id"), F.when(F.col("seq") % 50 == 7, "fail").otherwise("print").alias("code"),
         F.lit("cpp").alias("language"), F.col("input").alias("stdin"),
     )
-    done = exchange.run_batches(jobs, _fake_run, wait=(0.0, 0.0), concurrency=8)
+    done = exchange.run_batches(calls, _fake_run, wait=(0.0, 0.0), concurrency=8)
     return done.select("request_id", "success", _big("return_code"), "stdout", "stderr")
 
 
@@ -664,11 +774,14 @@ def answer_match(x: Inputs) -> DataFrame:
 
 @query
 def run_funnel(x: Inputs) -> DataFrame:
-    jobs = runs.output_match(x.split_runs)
-    with_code = joins.code_join(jobs, shape.first_code(x.solutions), "problem_id", ["seq"])
+    judged = runs.output_match(x.split_runs)
+    with_code = joins.code_join(judged, shape.first_code(x.solutions), "problem_id", ["seq"])
     done = x.done_keys.withColumn("is_done", F.lit(True))
     flagged = with_code.join(done, "eval_id", "left").withColumn("is_done", F.coalesce("is_done", F.lit(False)))
-    return runs.run_funnel(flagged)
+    rows = runs.run_status(flagged).select("eval_id", "actual_output", "run_status")
+    statuses = ["done", "no_code", "fail", "success", "mismatch"]
+    kept, counts = observed.kept_and_counts(rows, "run_status", statuses, x.scratch("runs"), ["success", "mismatch"])
+    return _counts(x, "run_status", counts)
 
 
 @query

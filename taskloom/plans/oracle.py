@@ -267,6 +267,12 @@ def _terms(source: str, key: str, col: str, words) -> str:
 ORACLE: dict[str, str] = {
     "read_jsonl": f"""WITH {_EXPECTED} SELECT origin <> 'whole' AS bad_line, CASE WHEN origin = 'whole' THEN {ints('listed')} END AS types,
         count(*) AS n FROM expected GROUP BY 1, 2""",
+    "read_jsonl_ordered": f"""WITH {_EXPECTED}, o AS (SELECT *, row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS seq FROM expected)
+        SELECT seq, coalesce({ints('listed')}, '') AS types FROM o WHERE origin = 'whole'""",
+    "intake_two_sinks": f"""WITH {_FEATURES}, k AS (SELECT *, {_filled('classify_corpus', {
+          'text': 'substr(text, 1, 2048)', 'rule_hints': "CASE WHEN len(rule_hints) > 0 THEN array_to_string(rule_hints, ', ') ELSE 'none' END"})} AS prompt
+          FROM hinted WHERE text <> '' AND len(rule_hints) > 0)
+        SELECT 'rule' AS sink, doc_id, {ints('rule_hints')} AS types FROM k UNION ALL SELECT 'model', doc_id, (1 + length(prompt) % 5)::varchar FROM k""",
     "read_shards": f"""WITH {_status_of(0)} SELECT eval_id, seq, (ord // ((n + 15) // 16))::bigint AS shard FROM ords
         WHERE ord // ((n + 15) // 16) BETWEEN 3 AND 9""",
     "union_inputs": f"""SELECT problem_id, source, input FROM {fx('eval_cases')}
@@ -292,13 +298,13 @@ ORACLE: dict[str, str] = {
     "solution_rows": f"""WITH q AS (SELECT id, unnest(CASE WHEN len(accepted_solutions) = 0 THEN [NULL] ELSE accepted_solutions END) AS s FROM {fx('qa')})
         SELECT id, CASE WHEN s IS NOT NULL THEN 0 ELSE -1 END::bigint AS pos, s.source AS source, s.og_source AS og_source,
         s."programmingLanguage" AS "programmingLanguage", s.submission_id AS submission_id FROM q""",
-    "expand_solutions": f"""WITH {_solutions(400, ('cpp', 'python', 'java'))} SELECT id, pos, code, language, submission_id,
+    "expand_solutions": f"""WITH {_solutions(8000, ())} SELECT id, pos, code, language, submission_id,
         row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS solution_idx FROM kept""",
     "expand_solutions_sampled": f"""WITH {_solutions(8000, ())},
         drawn AS (SELECT *, md5(concat_ws('|', 42, id, pos)) AS h, count(*) OVER (PARTITION BY id) AS n FROM kept),
         ordered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN n <= 2 THEN pos END NULLS LAST, h) - 1 AS solution_idx FROM drawn)
         SELECT id, pos, language, solution_idx FROM ordered WHERE solution_idx < 2""",
-    "expand_funnel": f"""WITH {_solutions(400, ('cpp', 'python', 'java'))}, all_rows AS (SELECT status FROM judged UNION ALL
+    "expand_funnel": f"""WITH {_solutions(8000, ())}, all_rows AS (SELECT status FROM judged UNION ALL
         SELECT 'empty' FROM {fx('qa')} WHERE id NOT IN (SELECT id FROM {fx('solutions')})) SELECT status, count(*) AS n FROM all_rows GROUP BY 1""",
     "language_detect_names": f"""SELECT "programmingLanguage", {_case_of('"programmingLanguage"', _LANGS)} AS language, count(*) AS n FROM {fx('solutions')} GROUP BY 1, 2""",
     "language_runner_names": f"""SELECT "programmingLanguage", {_case_of('"programmingLanguage"', _RUNNERS)} AS runner, count(*) AS n FROM {fx('solutions')} GROUP BY 1, 2""",
@@ -450,6 +456,30 @@ ORACLE: dict[str, str] = {
           (SELECT count(*) FROM {fx('fused')} f WHERE f.type_id = k.type_id) AS cases,
           (SELECT count(*) FROM candidates c WHERE c.type_id = k.type_id AND trace_status = 'matched') AS matched,
           (SELECT count(*) FROM cot c WHERE c.type_id = k.type_id AND verified) AS verified FROM k""",
+    "synthesize_problems": f"""WITH {_pairs(2)}, texts AS (SELECT id, {_problem(False)} AS problem FROM {fx('qa')})
+        SELECT p.id, p.type_id::bigint AS type_id, p.sample_idx::bigint AS sample_idx, t.problem AS original_problem, p.corpus_text, md5({_filled('synthesize', {
+            'type_id': 'p.type_id::varchar', 'type_instruction': _GUIDE, 'text': 'p.corpus_text', 'problem': 't.problem'})}) AS synthesis_result
+        FROM pairs p JOIN texts t USING (id)""",
+    "refine_problems": f"""WITH {_STORIES}, d AS (SELECT *, CASE WHEN {_parsed('synthesis_result')} THEN coalesce(sp, '') ELSE synthesis_result END AS draft,
+          CASE WHEN {_parsed('synthesis_result')} THEN coalesce(si, '') ELSE '' END AS draft_in FROM stories)
+        SELECT id, sample_idx::bigint AS sample_idx, title, md5({_filled('refine', {'draft_problem': 'draft', 'input': 'draft_in', 'corpus': 'corpus_text'})}) AS refined_result FROM d""",
+    "fuse_inputs": f"""WITH {_STORIES},
+        tpl AS (SELECT id, story_problem, story_input, row_number() OVER (PARTITION BY id ORDER BY seq) - 1 AS i,
+          count(*) OVER (PARTITION BY id) AS m FROM stories WHERE story_origin IS NOT NULL),
+        turns AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY seq) - 1 AS j FROM {fx('eval_cases')})
+        SELECT c.eval_id, t.i::bigint AS template_idx, t.story_input AS original_input, c.input AS new_input, md5({_filled('fuse_input', {
+            'problem': 't.story_problem', 'original_input': 't.story_input', 'new_input': 'c.input'})}) AS fused_result
+        FROM turns c JOIN tpl t ON t.id = c.problem_id AND t.i = c.j % t.m""",
+    "execute_instrumented": f"""WITH {_PROGRAMS}, c AS (SELECT *, sha256(concat_ws('|', problem_id, source, sha256({_INPUT_KEY.format('input')}))) AS content,
+          split_part(input, ' ', 1)::bigint AS n FROM {fx('eval_cases')}),
+        k AS (SELECT *, substr(sha256(concat_ws('|', content, row_number() OVER (PARTITION BY content ORDER BY seq) - 1)), 1, 32) AS run_key FROM c),
+        r AS (SELECT k.*, (n % 97 + CASE WHEN n % 11 = 3 THEN 1 ELSE 0 END)::varchar AS answer, p.analysis FROM k JOIN first_usable p ON p.id = k.problem_id
+          WHERE n % 50 <> 7 AND n % 13 <> 4)
+        SELECT concat_ws('::', problem_id, source, run_key) AS trace_id, seq, problem_id, source, input, expected_output, answer AS actual_output,
+          answer = expected_output AS output_matched, concat('[TRACE] read | n=', n) AS traces, concat('[TRACE] read | n=', n, chr(10), answer, chr(10)) AS raw_stdout, analysis FROM r""",
+    "synthesize_reasoning": f"""WITH {_TRACES} SELECT eval_id, problem_id, source, md5({_filled('reasoning', {
+            'problem': 'problem', 'answer': 'expected_output', 'instrumented_code': 'instrumented_code', 'raw_stdout': 'raw_stdout'})}) AS cot_result
+        FROM candidates WHERE trace_status = 'matched'""",
     "synthesis_requests": f"""WITH {_pairs(3)}, texts AS (SELECT id, {_problem(False)} AS problem FROM {fx('qa')}),
         filled AS (SELECT p.id, p.type_id, p.sample_idx, p.corpus_id, {_filled('synthesize', {
             'type_id': 'p.type_id::varchar', 'type_instruction': _GUIDE, 'text': 'p.corpus_text', 'problem': 't.problem'})} AS prompt

@@ -41,3 +41,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _located(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path in shared storage."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, folder = _located(spark, path)
+    return system.exists(folder)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted, without checksums and unfinished files; none if there is no such folder."""
+    system, folder = _located(spark, path)
+    names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+    return sorted(n for n in names if not n.endswith((".crc", ".part")))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, folder = _located(spark, path)
+    system.delete(folder, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written whole or not at all: it gets its name when it is complete."""
+    system, target = _located(spark, path)
+    _, part = _located(spark, f"{path}.{uuid.uuid4().hex}.part")
+    stream = system.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not system.rename(part, target):  # another attempt was first
+        system.delete(part, False)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file, or None."""
+    system, target = _located(spark, path)
+    if not system.exists(target):
+        return None
+    stream = system.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

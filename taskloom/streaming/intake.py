@@ -1,19 +1,23 @@
 """Resumable corpus intake on Structured Streaming.
 
 The stream's checkpoint replaces a line counter: each input file belongs to one
-micro-batch, and a batch that is repeated after a crash overwrites its own
-output directory, so no row is written twice.
+micro-batch. Both sinks of a batch count from the moment it is entered in
+``out/_commits``, which is when both are complete: a batch that broke off in
+between is not seen by ``taken_in``, and is written anew; one that is entered is
+never written again.
 """
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from taskloom.operators.corpus import classified_corpus, corpus_features, rule_filter, rule_hints
 from taskloom.operators.exchange import infer_batches, render_corpus_prompt, requests
 from taskloom.prompts import STAGES
+from taskloom.session import exists, names_in, put_text
 from taskloom.sources.jsonl import spread
 
 
@@ -49,6 +53,11 @@ def intake(
     columns = [c for c in source.columns if c != "text"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if not exists(batch.sparkSession, f"{out}/_commits/{batch_id}"):
+            sinks(batch, batch_id)
+            put_text(batch.sparkSession, f"{out}/_commits/{batch_id}", "")
+
+    def sinks(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rule_path = f"{out}/rule/batch_id={batch_id}"
         hinted = rule_filter(rule_hints(corpus_features(spread(batch)), domain))
@@ -71,3 +80,12 @@ def intake(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def taken_in(spark: SparkSession, out: str, sink: str, schema: T.StructType | None = None) -> DataFrame:
+    """Rows of a sink (``rule`` or ``model``) of all committed batches, with their ``batch_id``."""
+    folders = [f"{out}/{sink}/batch_id={n}" for n in names_in(spark, f"{out}/_commits")]
+    if not folders:
+        return spark.createDataFrame([], schema or T.StructType())
+    reader = spark.read.option("basePath", f"{out}/{sink}")
+    return (reader.schema(schema) if schema else reader).parquet(*folders)
