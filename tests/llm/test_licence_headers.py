@@ -66,6 +66,11 @@ NAMES = """
 ISC = """Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation{b} either
+version {v} of the License, or (at your option) any later version."""
+AGPL = GPL.replace("GNU General", "GNU Affero General").format(a=":", b=",", v=3)
 V3, V2 = {"a": ":", "b": ",", "v": 3}, {"a": ";", "b": ";", "v": 2}
 #: (licence, text), one for each rule, in the order of the rules.
 TEXTS = [
@@ -74,9 +79,19 @@ TEXTS = [
     ("GPL-2.0-or-later", GPL.format(**{**V2, "b": ","}) + HOPE), ("GPL-2.0-or-later", GPL.format(**V2) + HOPE),
     ("GPL-3.0-or-later", GPL.format(**V3)), ("GPL-3.0-or-later", GPL.format(**{**V3, "b": ";"})),
     ("GPL-2.0-or-later", GPL.format(**{**V2, "b": ","})), ("GPL-2.0-or-later", GPL.format(**V2)),
-    ("ISC", ISC), ("Apache-2.0", APACHE), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."), ("GPL-3.0-only", "This work is licensed under the GNU General Public License version 3."),
-    ("GPL-2.0-only", "This work is licensed under the GNU General Public License version 2."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("LGPL-2.1-or-later", LGPL.format(v="2.1", b=",")), ("LGPL-2.1-or-later", LGPL.format(v="2.1", b=";")),
+    ("LGPL-3.0-or-later", LGPL.format(v="3", b=",")), ("LGPL-3.0-or-later", LGPL.format(v="3", b=";")),
+    ("AGPL-3.0-or-later", AGPL + HOPE), ("AGPL-3.0-or-later", AGPL),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all\ncopyright and related or neighboring rights to this work."),
+    ("ISC", ISC), ("Apache-2.0", APACHE),
+    *((name, f"SPDX-License-Identifier: {name}") for name in [*licences._LATER, *(n for n, *_ in licences.NAMED)]),
+    ("MIT", "Released under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License version 3."), ("GPL-2.0-only", "This work is licensed under the GNU General Public License version 2."),
+    ("LGPL-3.0-only", "This library is distributed under the GNU Lesser General Public License, version 3."), ("LGPL-2.1-only", "Released under the GNU Lesser General Public License version 2.1."),
+    ("AGPL-3.0-only", "This program is released under the GNU Affero General Public License version 3."), ("MPL-2.0", "Distributed under the Mozilla Public License, version 2.0."),
+    ("BSD-3-Clause", "This code is licensed under the BSD 3-Clause License."), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."), ("ISC", "Licensed under the ISC license."),
+    ("CC0-1.0", "This work is licensed under CC0 1.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("proprietary", "All rights reserved."),
 ]
 
@@ -97,3 +112,13 @@ def test_known_sentences_are_whole_cuts():
     assert len({s for _, s in licences.SENTENCES}) == len(licences.SENTENCES)
     used = {k for _, ids in licences.RULES for k in ids}
     assert used == {k for k, _ in licences.SENTENCES}
+
+
+def test_headers_with_and_without_all_rights_reserved(spark):
+    head = "Copyright (c) 2020, Someone\nAll rights reserved.\n\n"
+    rows = [("BSD-2-Clause", head + BSD), ("BSD-2-Clause", BSD), ("BSD-3-Clause", head + BSD + NAMES), ("MIT", "This file is licensed under the MIT License."),
+            ("MIT", "// SPDX-License-Identifier: MIT\n// All rights reserved.\nint x;"), ("proprietary", head), ("", "mit\nisc\nno tag before these names"),
+            ("MIT", "word " * 200_000 + "\nReleased under the MIT License.\n")]
+    docs = spark.createDataFrame([(i, t, "known", 1, "s") for i, (_, t) in enumerate(rows)], "doc_id long, text string, known string, cut int, sentence string")
+    got = {r["doc_id"]: ",".join(r["licences"]) for r in licences.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
