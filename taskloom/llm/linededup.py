@@ -7,7 +7,8 @@ most documents have becomes a template, and forms that agree with it in at least
 ``agree`` of the tokens join it (their differing places are variable); so it goes
 on with what is left, until no form is. A template
 found in ``min_docs`` documents or more is recurring: its lines are dropped,
-except in the document with the least id, so that what they say is not lost.
+except in the document with the least id, which shows the template. What other
+lines of it have in its variable places (up to a quarter of the words) goes with them.
 
 Lines of leaves that occur once are most of a corpus. A count-min sketch of the
 leaves' documents finds the leaves that may recur; only their lines leave the
