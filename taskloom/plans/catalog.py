@@ -409,6 +409,17 @@ def resume_antijoin(x: Inputs) -> DataFrame:
     return sharding.resume_antijoin(x.eval_cases, x.done_keys, "eval_id").select("eval_id", "seq")
 
 
+@query
+def resume_history(x: Inputs) -> DataFrame:
+    """The same against a stored history of three appends, compacted once: only the cases are shuffled."""
+    done = sharding.DoneKeys(x.spark, x.scratch("history"), "eval_id", buckets=8)
+    for i in range(3):
+        done.add(x.done_keys.where(F.pmod(F.xxhash64("eval_id"), F.lit(3)) == i))
+        if i == 1:
+            done.compact()
+    return done.todo(x.eval_cases).select("eval_id", "seq")
+
+
 @query
 def resume_incremental(x: Inputs) -> DataFrame:
     """The streaming intake over the documents, run to the end of what is there."""
@@ -877,7 +888,7 @@ def trace_plan_parity(x: Inputs) -> DataFrame:
 @query
 def sft_records(x: Inputs) -> DataFrame:
     path = x.scratch("sft")
-    export.sft_records(x.cot_rows).write.partitionBy("type_id").parquet(path)
+    export.sft_records(x.cot_rows).hint("rebalance", "type_id").write.partitionBy("type_id").parquet(path)
     rows = x.spark.read.parquet(path)
     m = F.col("messages")
     return rows.select("eval_id", _big("type_id"), _big("rating"), m[0]["role"].alias("role_1"), m[0]["content"].alias("content_1"),

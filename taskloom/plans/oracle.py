@@ -342,6 +342,7 @@ ORACLE: dict[str, str] = {
     "shard_ceil": f"WITH {_status_of(0)} SELECT eval_id, ord, (ord // ((n + 15) // 16))::bigint AS shard FROM ords",
     "shard_modulo": f"WITH {_status_of(0, 'corpus_raw')} SELECT doc_id, ord, ord % 5 AS shard FROM ords",
     "resume_antijoin": f"SELECT eval_id, seq FROM {fx('eval_cases')} WHERE eval_id NOT IN (SELECT eval_id FROM {fx('done_keys')})",
+    "resume_history": f"SELECT eval_id, seq FROM {fx('eval_cases')} WHERE eval_id NOT IN (SELECT eval_id FROM {fx('done_keys')})",
     "resume_incremental": f"""WITH {_FEATURES} SELECT doc_id, substr(text, 1, 2048) AS text, {ints('rule_hints')} AS hints FROM hinted
         WHERE text <> '' AND len(rule_hints) > 0""",
     "request_batches": f"WITH {_status_of(0)} SELECT eval_id, ord // 64 AS batch FROM ords",

@@ -7,7 +7,7 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from taskloom.operators import exchange, shape
+from taskloom.operators import exchange, shape, sharding
 from taskloom.plans import jobs
 
 
@@ -160,3 +160,29 @@ def test_limits_of_solutions(spark):
     assert [r.pos for r in shape.expand_solutions(df, None, 10, ["cpp"]).orderBy("pos").collect()] == [1]
     long = spark.createDataFrame([("a", i, "x" * (7999 + i), "", "C++", "s") for i in range(3)], df.schema)
     assert shape.expand_solutions(long).agg(F.max(F.length("code"))).first()[0] == 8000
+
+
+def test_a_resume_shuffles_the_jobs_only(spark, tmp_path):
+    path = str(tmp_path / "history")
+    done = sharding.DoneKeys(spark, path, "k", buckets=4)
+    make = lambda low, high: spark.range(low, high).selectExpr("cast(id AS string) AS k", "id AS n")
+    assert done.todo(make(0, 5)).count() == 5
+    for low in (0, 100, 50):
+        done.add(make(low, low + 100))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo = sharding.DoneKeys(spark, path, "k").todo(make(150, 300))
+        plan = todo._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert sorted(r.n for r in todo.collect()) == list(range(200, 300))
+        history, files = done.read(), done.files()
+        done.compact()
+        assert done.files() == 4 < files and done.read().count() == 200 and history.count() == 300
+        os.makedirs(f"{done.root}/gen=2")  # a compaction that broke off
+        done.add(make(200, 201))
+        assert sorted(r.n for r in done.todo(make(150, 300)).collect()) == list(range(201, 300))
+        done.compact()
+        assert done.read().count() == 201 and not os.path.exists(f"{done.root}/gen=0")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
