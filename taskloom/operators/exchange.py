@@ -156,24 +156,31 @@ def infer_batches(
 _FAILED = {"return_code": -1, "stdout": "", "stderr": "max retries exceeded"}
 
 
-def _with_deadline(call: Callable[[dict], dict], job: dict, seconds: float) -> dict:
-    """The call's result, or an error once it takes too long. Such a call is left to itself, on a thread that ends with the worker."""
-    answer: queue.SimpleQueue = queue.SimpleQueue()
+class _Helper:
+    """A thread that makes one call at a time for another one, which may give up waiting; it ends with the worker."""
 
-    def work() -> None:
-        try:
-            answer.put((call(job), None))
-        except BaseException as e:
-            answer.put((None, e))
+    def __init__(self):
+        self.todo: queue.SimpleQueue = queue.SimpleQueue()
+        self.answer: queue.SimpleQueue = queue.SimpleQueue()
+        threading.Thread(target=self._serve, daemon=True).start()
 
-    threading.Thread(target=work, daemon=True).start()
-    try:
-        found, error = answer.get(timeout=seconds)
-    except queue.Empty:
-        raise TimeoutError(f"no answer within {seconds} s") from None
-    if error is not None:
-        raise error
-    return found
+    def _serve(self) -> None:
+        while (item := self.todo.get()) is not None:
+            call, job = item
+            try:
+                self.answer.put((call(job), None))
+            except BaseException as e:
+                self.answer.put((None, e))
+
+    def result(self, call: Callable[[dict], dict], job: dict, seconds: float) -> dict:
+        self.todo.put((call, job))
+        try:
+            found, error = self.answer.get(timeout=seconds)
+        except queue.Empty:
+            raise TimeoutError(f"no answer within {seconds} s") from None
+        if error is not None:
+            raise error
+        return found
 
 
 def run_batches(
@@ -195,24 +202,34 @@ def run_batches(
     ``concurrency`` bounds the calls that a task waits for.
     """
 
-    def attempt(job: dict) -> tuple[dict, int]:
+    def attempt(job: dict, idle: queue.SimpleQueue) -> tuple[dict, int]:
         abandoned = 0
         for i in range(max_attempts):
             try:
-                return _with_deadline(run, job, request_timeout), abandoned
-            except TimeoutError:
-                abandoned += 1
+                helper = idle.get_nowait()
+            except queue.Empty:
+                helper = _Helper()
+            start = time.monotonic()
+            try:
+                return helper.result(run, job, request_timeout), abandoned
             except Exception:  # the runner is foreign code: any error means "try again"
-                pass
+                if time.monotonic() - start >= request_timeout:
+                    abandoned += 1
+                    helper.todo.put(None)  # it ends when the call comes back, if ever
+                    helper = None
+            finally:
+                if helper:
+                    idle.put(helper)
             if i + 1 < max_attempts:
                 time.sleep(random.uniform(*wait))
         return _FAILED, abandoned
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idle: queue.SimpleQueue = queue.SimpleQueue()
         with ThreadPoolExecutor(concurrency) as pool:
             for chunk in _chunks(frames, 4 * concurrency):
                 todo = [{**job, "run_timeout": run_timeout} for job in chunk.to_dict("records")]
-                done, abandoned = zip(*pool.map(attempt, todo))
+                done, abandoned = zip(*pool.map(attempt, todo, [idle] * len(todo)))
                 codes = [int(d.get("return_code", -1)) for d in done]
                 yield pd.DataFrame({
                     "request_id": chunk["request_id"],
@@ -222,6 +239,8 @@ def run_batches(
                     "stderr": [d.get("stderr") or "" for d in done],
                     "abandoned": abandoned,
                 })
+        while not idle.empty():
+            idle.get().todo.put(None)
 
     return jobs.select("request_id", "code", "language", "stdin").mapInPandas(work, RUNS)
 
