@@ -4,16 +4,19 @@ Words and their counts come from the pages' own texts. Each distinct host label
 (the letters between dots, hyphens and digits) is cut into the most probable
 words: its substrings are joined with the word counts, so no vocabulary is sent
 around or cut off, and the best path is found per label. Multinomial naive Bayes
-is trained on all pages, where a host with one of the seed words is taken as
-unwanted; its words and path words then speak for or against every url that no
-rule covers.
+is trained on all pages with a text: one whose visible text has a seed word is an
+example of the unwanted class, whatever its url. The words of hosts and paths then
+speak for or against every url that no rule covers, also where there is no text.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
-gets the prior's verdict; null texts add no words; repeated pages are judged row
-by row; long hosts are segmented whole; an empty table gives an empty result; if
+gets the prior's verdict; pages whose text is null or has no letters are judged but
+not learned from; repeated pages are judged row by row and count as often as they
+stand; long hosts are segmented whole; an empty table gives an empty result; if
 one class has no pages all verdicts are ``allow``; extra columns are not read.
 """
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from taskloom.session import written
 
-#: Words in a host that mark its pages as examples of the unwanted class.
+#: Words in a page's visible text that make it an example of the unwanted class.
 SEEDS = ("ads", "bet", "bets", "betting", "casino", "cheap", "gambling", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
 #: Longest word that segmentation looks for; longer runs are cut.
 LONGEST = 20
@@ -48,10 +51,21 @@ def matched_rule(host: Column, path: Column, rules: list[str]) -> Column:
     return found
 
 
+def visible(html: Column) -> Column:
+    """Text of a page without tags, A-Z lower-cased."""
+    return _lower(F.regexp_replace(F.coalesce(html.cast("string"), F.lit("")), "<[^>]*>", " "))
+
+
+def unwanted(html: Column, seeds: tuple[str, ...]) -> Column:
+    """Whether the visible text has a seed as a whole word; null where it has no letters."""
+    seen = visible(html)
+    found = seen.rlike(f"(?<![a-z])(?:{'|'.join(map(re.escape, seeds))})(?![a-z])") if seeds else F.lit(False)
+    return F.when(seen.rlike("[a-z]"), found)
+
+
 def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
     """(word, n) over the visible texts of all pages."""
-    seen = F.regexp_replace(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "<[^>]*>", " ")
-    words = F.split(_lower(seen), "[^a-z]+")
+    words = F.split(visible(F.col(html_col)), "[^a-z]+")
     return pages.select(F.explode(words).alias("word")).where("length(word) > 1").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -95,30 +109,27 @@ def judge(pages: DataFrame, block: list[str], allow: list[str], id_col: str = "p
     log odds against the url, null where a class has no pages.
     """
     host, path = parts(F.col(url_col))
-    rows = written(pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")), "url-rows")
-    urls = written(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "url-distinct")
+    rows = written(pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), unwanted(F.col(html_col), seeds).alias("bad")), "url-rows")
+    urls = written(rows.groupBy("host", "path").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")), "url-distinct")
     hosts = urls.select("host").distinct()
     labels = hosts.select("host", F.posexplode(F.split("host", "[^a-z]+")).alias("at", "label")).where("label <> ''")
     labels = written(labels, "url-labels")
     cuts = written(segment(labels.select("label").distinct(), word_counts(pages, html_col)), "url-cuts")
     # Hosts are distinct, so a list holds the words of one host.
     by_host = labels.join(cuts, "label").groupBy("host").agg(F.flatten(F.sort_array(F.collect_list(F.struct("at", "words")))["words"]).alias("words"))
-    by_host = by_host.withColumn("bad", F.arrays_overlap("words", F.array(*map(F.lit, seeds))))
     host_words = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.concat(F.lit("host:"), w))
     path_words = F.transform(F.filter(F.split(_lower(F.col("path")), "[^a-z]+"), lambda w: w != ""), lambda w: F.concat(F.lit("path:"), w))
     # Both sides are dealt by the join, so Spark can split a host that has very many urls.
-    tokens = urls.join(written(by_host, "url-hosts"), "host", "left").select(
-        "host", "path", "n", F.coalesce("bad", F.lit(False)).alias("bad"), F.concat(host_words, path_words).alias("tokens"))
+    tokens = urls.join(written(by_host, "url-hosts"), "host", "left").select("host", "path", "bad", "good", F.concat(host_words, path_words).alias("tokens"))
     tokens = written(tokens, "url-tokens")
-    sides = {r["bad"]: r["n"] for r in tokens.groupBy("bad").agg(F.sum("n").alias("n")).collect()}
+    bad, good = urls.agg(F.sum("bad"), F.sum("good")).first()
     scores = tokens.select("host", "path", F.lit(None).cast("double").alias("score"))
-    if len(sides) == 2:
-        each = tokens.select("host", "path", "n", "bad", F.explode("tokens").alias("token"))
-        seen = each.groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("g"))
-        seen = written(seen, "url-seen")
-        size, b, g = seen.agg(F.count(F.lit(1)), F.sum("b"), F.sum("g")).first()
+    if bad and good:
+        each = tokens.select("host", "path", "bad", "good", F.explode("tokens").alias("token"))
+        seen = written(each.groupBy("token").agg(F.sum("bad").alias("b"), F.sum("good").alias("g")), "url-seen")
+        size, b, g = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).first()
         odds = seen.select("token", (F.log((F.col("b") + 1) / float(b + size)) - F.log((F.col("g") + 1) / float(g + size))).alias("odds"))
-        prior = float(np.log(sides[True] / sides[False]))
+        prior = float(np.log(bad / good))
         # A sum of doubles depends on its order; sorted lists of one url's words make it repeatable.
         summed = each.join(odds, "token").groupBy("host", "path").agg(F.sort_array(F.collect_list("odds")).alias("odds"))
         total = F.aggregate(F.coalesce("odds", F.array().cast("array<double>")), F.lit(prior), lambda s, x: s + x)

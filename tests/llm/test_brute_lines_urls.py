@@ -74,7 +74,8 @@ def test_best_cut_equals_all_cuts():
 def test_scores_equal_plain_bayes(spark):
     r = random.Random(3)
     names = ["casino-win", "news-win", "cheap-shoes", "the-news", "shoes", "blog", "casino", "news-blog"]
-    rows = [(i, f"http://{r.choice(names)}.org/{r.choice(['a', 'win/x', 'en'])}/{r.randrange(2)}", "<p>casino win news cheap shoes the blog org a en x</p>") for i in range(80)]
+    texts = ["<p>win news shoes the blog org a en x</p>", "<p title='xxx'>news, the CASINO-win; cheap</p>", "<p>casinos and cheapest shoes</p>", None, "<b>12</b>"]
+    rows = [(i, f"http://{r.choice(names)}.org/{r.choice(['a', 'win/x', 'en'])}/{r.randrange(2)}", r.choice(texts)) for i in range(80)]
     rows += [rows[0], (900, None, None), (901, "http://" + "longhost" * 60 + ".org/", ""), (902, "no scheme", "casino")]
     pages = spark.createDataFrame([(*x, "h", 0.5) for x in rows], "page_id long, url string, html string, host string, score double")
     found = urlfilter.judge(pages, [], [])
@@ -83,23 +84,27 @@ def test_scores_equal_plain_bayes(spark):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
         host, path = (m.group(1).lower(), m.group(2)) if m else ("", "")
         own = [w for label in re.findall("[a-z]+", host) for w in cut(label)]
-        return [f"host:{w}" for w in own] + [f"path:{w}" for w in re.findall("[a-z]+", path.lower())], any(w in urlfilter.SEEDS for w in own)
+        return [f"host:{w}" for w in own] + [f"path:{w}" for w in re.findall("[a-z]+", path.lower())]
+
+    def words_of(html):
+        return re.findall("[a-z]+", re.sub("<[^>]*>", " ", html or "").lower())
 
     counts = {}
     for _, _, html in rows:
-        for w in re.findall("[a-z]+", re.sub("<[^>]*>", " ", html or "").lower()):
+        for w in words_of(html):
             counts[w] = counts.get(w, 0) + (len(w) > 1)
     counts = {w: n for w, n in counts.items() if n}
     total = sum(counts.values())
     logs = {w: math.log(n / total) for w, n in counts.items()}
     cut = lambda label: urlfilter.best_cut(label, logs, float(total))
     seen = [tokens(url) for _, url, _ in rows]
-    bad = [t for t, b in seen if b]
-    good = [t for t, b in seen if not b]
+    said = [words_of(html) for _, _, html in rows]
+    bad = [t for t, s in zip(seen, said) if set(s) & set(urlfilter.SEEDS)]
+    good = [t for t, s in zip(seen, said) if s and not set(s) & set(urlfilter.SEEDS)]
     flat = lambda side: [w for t in side for w in t]
-    size = len(set(flat(bad) + flat(good)))
+    size = len(set(flat(seen)))
     log_of = lambda w, side: math.log((flat(side).count(w) + 1) / (len(flat(side)) + size))
-    want = sorted((i, round(math.log(len(bad) / len(good)) + sum(log_of(w, bad) - log_of(w, good) for w in t), 6)) for (i, _, _), (t, _) in zip(rows, seen))
+    want = sorted((i, round(math.log(len(bad) / len(good)) + sum(log_of(w, bad) - log_of(w, good) for w in t), 6)) for (i, _, _), t in zip(rows, seen))
     got = found.collect()
     assert sorted((x["page_id"], round(x["score"], 6)) for x in got) == want
     assert all(x["verdict"] == ("block" if x["score"] > 0 else "allow") for x in got)

@@ -203,9 +203,9 @@ def test_url_rules(spark):
 def test_url_words_and_bayes(spark):
     good = [f"http://riverbank{i % 3}.example.org/travel/{i}" for i in range(40)]
     bad = [f"http://cheappills.example.org/buy/{i}" for i in range(20)] + ["http://pillsforless.example.org/buy/now"]
-    html = "<p>river bank cheap pills for less travel buy now</p>"
-    urls = good + bad + [None, "http://neutral.example.org/buy/pills"]
-    pages = spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    rows = [(u, "<p>The river's bank, travel now.</p>") for u in good] + [(u, "<p class=river>CHEAP pills for less, buy now</p>") for u in bad]
+    rows += [(None, None), ("http://neutral.example.org/buy/pills", "<p class=\"travel\">123</p>")]
+    pages = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id long, url string, html string")
     got = [r["verdict"] for r in urlfilter.judge(pages, [], []).orderBy("page_id").collect()]
     assert got[:40] == ["allow"] * 40 and got[40:61] == ["block"] * 21 and got[61] == "allow" and got[62] == "block"
     logs = {w: np.log(0.1) for w in ("cheap", "pills", "river", "bank")}
@@ -214,6 +214,19 @@ def test_url_words_and_bayes(spark):
     assert urlfilter.best_cut("", logs, 100) == []
 
 
+def test_urls_of_hosts_held_out(spark):
+    """Hosts without a seed word and pages without a text: what texts elsewhere say of the same host words decides."""
+    bad, good = ["luckyspin", "spinclub", "jackpotnight", "luckynight"], ["gardenclub", "riverwalk", "nightwalk", "rivergarden"]
+    words = "lucky spin club jackpot night garden river walk"
+    rows = [(f"http://{h}{i}.org/p/{i}", f"<h1>{words}</h1><p>place a bet in our casino</p>") for h in bad for i in range(9)]
+    rows += [(f"http://{h}{i}.org/p/{i}", f"<h1>{words}</h1><p>betting is not, casinos are not whole words</p>".replace("betting", "better")) for h in good for i in range(9)]
+    held = [("http://jackpotspin.net/p/1", None), ("http://luckyjackpot.net/p/1", ""), ("http://gardenwalk.net/p/1", None), ("http://rivergardenwalk.net/q", "<p> 1 </p>")]
+    pages = spark.createDataFrame([(i, *x) for i, x in enumerate(rows + held)], "page_id long, url string, html string")
+    got = [r["verdict"] for r in urlfilter.judge(pages, [], []).orderBy("page_id").collect()]
+    assert got == ["block"] * 36 + ["allow"] * 36 + ["block", "block", "allow", "allow"]
+    assert all(r["score"] is None and r["verdict"] == "allow" for r in urlfilter.judge(pages, [], [], seeds=()).collect())
+
+
 REVISITS = "record_id long, url string, ts long, status int, headers map<string,string>, key string, row int"
 
 
