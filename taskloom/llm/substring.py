@@ -9,7 +9,7 @@
    bits from the hashes of their words) and grouped exactly: first inside a block
    of some 4 MB of text, where all but the first occurrence are removed already,
    then one occurrence a block is sent on, so a window that is everywhere makes
-   no large group.
+   no large group. Their number follows the bytes of text, as does that of the tasks.
 3. What the groups remove goes back to the blocks' texts.
 
 "Earlier" is by document id, then by row, then by place. Defined cases: a null
@@ -33,6 +33,8 @@ from taskloom.llm._text import covered, hash128, slices, small_batches, weights,
 from taskloom.session import scratch_path, shuffle_width
 
 GRAM = 12
+#: Bytes of text for each group of windows that one task settles at a time: a group stays as large when the input grows.
+GROUP_BYTES = 32 << 20
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -72,6 +74,11 @@ class Block:
         return self.minimiser[first]
 
 
+def groups_for(size: int, width: int) -> int:
+    """Groups of windows for ``size`` bytes of text on ``width`` shuffle partitions."""
+    return max(4 * width, -(-size // GROUP_BYTES))
+
+
 def _packed(rows: np.ndarray, starts: np.ndarray) -> bytes:
     return np.stack([rows, starts], axis=1).astype(np.int32).tobytes()
 
@@ -115,7 +122,8 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     # About one word in seven bytes, two minimisers in (windows' grams + 1) words.
-    bits = _sketch.width_bits(_sketch.text_bytes(docs, text_col) / 7 * 2 / (width - gram + 2))
+    size = _sketch.text_bytes(docs, text_col)
+    bits = _sketch.width_bits(size / 7 * 2 / (width - gram + 2))
 
     def count(batches):
         keys, held = [], 0
@@ -128,7 +136,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         yield from _sketch.touches(keys, bits)
 
     sent = _sketch.merged(rows.mapInArrow(count, _sketch.TOUCHES), bits)
-    chunks = max(4 * shuffle_width(spark), 1)
+    chunks = groups_for(size, shuffle_width(spark))
     c1, c2 = weights(width, 52), weights(width, 53)
     out = "kind int, block long, id long, row int, chunk long, n_words long, n_removed long, sha string, body binary, part binary"
     names = [f.split()[0] for f in out.split(", ")]
@@ -202,7 +210,9 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
             parts.append(_packed(row[which], at[which]))
         return pa.table({"block": pa.array(ids, pa.int64()), "part": pa.array(parts, pa.binary())})
 
-    removals = all_kinds.where("kind = 2").select("chunk", "block", "n_words", "part").groupBy("chunk").applyInArrow(group, "block long, part binary")
+    # A task takes some four groups, however many there are.
+    tasks = chunks // 4
+    removals = all_kinds.where("kind = 2").select("chunk", "block", "n_words", "part").repartition(tasks, "chunk").groupBy("chunk").applyInArrow(group, "block long, part binary")
 
     def finish(texts: pa.Table, gone: pa.Table) -> pa.Table:
         outside = _unpacked(gone.column("part").to_pylist())

@@ -125,6 +125,14 @@ def test_substring_full_sketch_loses_nothing(spark, monkeypatch):
     assert got == substring(rows)
 
 
+def test_substring_groups_follow_the_text(spark, monkeypatch):
+    assert [sub.groups_for(n << 30, 8) for n in (0, 1, 2, 4, 1 << 10)] == [32, 32, 64, 128, 1 << 15]
+    monkeypatch.setattr(sub, "GROUP_BYTES", 500)
+    rows = repeats()
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sub.remove_repeats(table(spark, rows).repartition(5)).collect())
+    assert got == substring(rows)
+
+
 def test_substring_repeated_rows_null_ids_and_empty(spark):
     text = prose(1, 25)
     rows = [(4, text), (4, text), (None, text)]
