@@ -114,7 +114,9 @@ def judge(pages: DataFrame, block: list[str], allow: list[str], id_col: str = "p
     hosts = urls.select("host").distinct()
     labels = hosts.select("host", F.posexplode(F.split("host", "[^a-z]+")).alias("at", "label")).where("label <> ''")
     labels = written(labels, "url-labels")
-    cuts = written(segment(labels.select("label").distinct(), word_counts(pages, html_col)), "url-cuts")
+    # Written, as both the total and the join take them.
+    counts = written(word_counts(pages, html_col), "url-words")
+    cuts = written(segment(labels.select("label").distinct(), counts), "url-cuts")
     # Hosts are distinct, so a list holds the words of one host.
     by_host = labels.join(cuts, "label").groupBy("host").agg(F.flatten(F.sort_array(F.collect_list(F.struct("at", "words")))["words"]).alias("words"))
     host_words = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.concat(F.lit("host:"), w))
