@@ -7,7 +7,8 @@ in all rows count two: repeated keys always are, since cells only overestimate.
 The width follows the input up to ``MAX_BITS``; the merged bits, three rows of
 ``width / 8`` bytes, are thus bounded (96 MB) and are sent to all tasks. Beyond
 the bound more keys are estimated as repeated and go to the exact pass: results
-stay the same, but the filter helps less.
+stay the same, but the filter helps less. The bits travel as compressed chunks,
+which take less on disk and in the driver as long as the sketch is sparse.
 """
 
 import zlib
@@ -77,18 +78,20 @@ def merged(found: DataFrame, bits: int) -> Broadcast:
                 have = counts.setdefault(chunk, np.zeros(1 << _CHUNK, np.uint8))
                 have[cell >> 1] = np.minimum(2, have[cell >> 1] + 1 + (cell & 1))  # cells are distinct in a row
         for chunk, have in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([np.packbits(have > 1, bitorder="little").tobytes()])], ["chunk", "bits"])
+            packed = zlib.compress(np.packbits(have > 1, bitorder="little").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed])], ["chunk", "bits"])
 
     n = min(chunks, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = np.zeros((chunks, (1 << _CHUNK) // 8), np.uint8)
-    for r in found.repartition(n, "chunk").mapInArrow(merge, "chunk long, bits binary").collect():  # 96 MB at most
-        both[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-    return found.sparkSession.sparkContext.broadcast(both.tobytes())
+    rows = found.repartition(n, "chunk").mapInArrow(merge, "chunk long, bits binary").collect()  # 96 MB at most, before compression
+    return found.sparkSession.sparkContext.broadcast({r["chunk"]: bytes(r["bits"]) for r in rows})
 
 
 def lookup(sent: Broadcast, bits: int) -> Callable[[np.ndarray], np.ndarray]:
     """Keys -> whether they are estimated as repeated."""
-    both = np.frombuffer(sent.value, np.uint8).reshape(ROWS, -1)
+    cells_of_chunk = np.zeros((ROWS << (bits - _CHUNK), (1 << _CHUNK) // 8), np.uint8)
+    for chunk, packed in sent.value.items():
+        cells_of_chunk[chunk] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    both = cells_of_chunk.reshape(ROWS, -1)
 
     def repeated(keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
