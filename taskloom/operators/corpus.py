@@ -6,29 +6,26 @@ from pyspark.sql import functions as F
 from taskloom.functions import text as t
 from taskloom.functions.lexicon import NUMERIC_DOMAINS, SPATIAL_WORDS, TEMPORAL_WORDS
 from taskloom.functions.strict_json import parse_last_block
+from taskloom.functions.terms import bounded_batches, term_counts
 
 # (?d): only the line feed ends a line; (?m): ^ at each line.
 _TABLE = r"(?d)\|.{2,}\|"
 _GAP = rf"[[{t.WS}]&&[^\n]]"
 _LIST_LINE = rf"(?mdU)^{_GAP}*+(?:\d+[.):]|[-*•]){_GAP}++[^{t.WS}]"
-
-
-def _score(lower: Column, words: tuple[str, ...]) -> Column:
-    total = F.lit(0)
-    for word in words:
-        total = total + t.occurrences(lower, word)
-    return total
+_WORDS = {"temporal_score": TEMPORAL_WORDS, "spatial_score": SPATIAL_WORDS}
 
 
 def corpus_features(corpus: DataFrame) -> DataFrame:
-    """Measure each text in one narrow pass, without Python.
+    """Measure each text in one narrow pass; the word lists are counted together by an automaton.
 
     Adds text_len, token_count, digit_tokens, numeric_ratio, has_table,
     list_lines, line_count, list_density, temporal_score, spatial_score, is_prose.
     """
+    bounded_batches(corpus.sparkSession)
     stripped = corpus.withColumn("text", t.computed_once(t.strip(t.text_or_empty(F.col("text")))))
     lowered = stripped.withColumn("_lower", t.computed_once(F.lower("text")))
-    measured = lowered.select(
+    scored = lowered.withColumn("_scores", t.computed_once(term_counts(F.col("_lower"), _WORDS)))
+    measured = scored.select(
         "*",
         t.computed_once(F.length("text")).alias("text_len"),
         t.token_count(F.col("_lower")).alias("token_count"),
@@ -36,9 +33,9 @@ def corpus_features(corpus: DataFrame) -> DataFrame:
         F.col("text").rlike(_TABLE).alias("has_table"),
         F.regexp_count("text", F.lit(_LIST_LINE)).alias("list_lines"),
         (t.occurrences(F.col("text"), "\n") + 1).alias("line_count"),
-        _score(F.col("_lower"), TEMPORAL_WORDS).alias("temporal_score"),
-        _score(F.col("_lower"), SPATIAL_WORDS).alias("spatial_score"),
-    ).drop("_lower")
+        F.col("_scores.temporal_score"),
+        F.col("_scores.spatial_score"),
+    ).drop("_lower", "_scores")
     ratios = measured.withColumns({
         "numeric_ratio": F.col("digit_tokens") / F.greatest("token_count", F.lit(1)),
         "list_density": F.col("list_lines") / F.col("line_count"),
