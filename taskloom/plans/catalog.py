@@ -425,8 +425,8 @@ def resume_incremental(x: Inputs) -> DataFrame:
     """The streaming intake over the documents, run to the end of what is there."""
     out = x.scratch("intake")
     raw = x.table("documents").schema
-    source = intake.corpus_stream(
-        x.spark, x.sf_dir, raw, "parquet", pathGlobFilter="documents.parquet", recursiveFileLookup="true"
+    source = intake.corpus_stream(  # the table is one file or a folder of files
+        x.spark, f"{x.sf_dir.rstrip('/')}/documents.parquet", raw, "parquet", recursiveFileLookup="true"
     ).selectExpr(*[f"{e} AS `{c}`" for c, e in fixtures.corpus_raw(fixtures.Dialect("spark"))[0][1].items()])
     intake.intake(source, out, x.scratch("intake-checkpoint"), "doc_id").awaitTermination()
     return x.spark.read.parquet(f"{out}/rule").select("doc_id", "text", _ints("rule_hints").alias("hints"))
