@@ -340,8 +340,9 @@ FIXTURES: dict[str, Callable[[Dialect], Parts]] = {f.__name__: f for f in (
 )}
 
 
-# The large tables, whose rendering is costly; a no-op once the input has enough splits.
-_SPREAD_BY = {"documents": "doc_id", "events": "event_id"}
+# The large tables, whose rendering is costly; for documents a no-op once the input has enough splits. Events are
+# narrow and become long outputs, so a task gets a fixed number of them.
+_SPREAD_BY = {"documents": (["doc_id"], None), "events": (["event_id", "user_id"], 50_000)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -349,7 +350,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for table, columns in FIXTURES[name](Dialect("spark")):
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
         if table in _SPREAD_BY:
-            rows = spread(rows, _SPREAD_BY[table])
+            keys, size = _SPREAD_BY[table]
+            rows = spread(rows, *keys, rows=size)
         part = rows.selectExpr(*[f"{e} AS `{c}`" for c, e in columns.items()])
         out = part if out is None else out.unionByName(part)
     return out

@@ -55,9 +55,15 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return placed.join(starts, ["_file", "_block"]).select("_line", (F.col("_start") + F.col("_at")).alias("_seq"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition for costly per-row work, only where the input has fewer splits than cores."""
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """Repartition for costly per-row work, only where the input has fewer splits than cores.
+
+    Splits say little of a file with few row groups, which leaves most of its splits empty, and of rows that become
+    large. With ``rows`` a table of narrow rows is always dealt out, to tasks of some so many rows.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        return df.repartition(max(cores, -(-df.count() // rows)), *keys)  # counted in the footers of the files
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 

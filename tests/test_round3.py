@@ -1,7 +1,12 @@
 """Faults that larger or otherwise laid out tables showed."""
 
+import threading
+import time
 
+from pyspark.sql import functions as F
 
+from taskloom.operators import exchange, runs
+from taskloom.plans import fixtures
 from taskloom.plans.catalog import QUERIES
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars int"
@@ -15,3 +20,61 @@ def test_intake_of_a_table_in_several_files(spark, tmp_path):
     next((tmp_path / "one" / "whole").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
     many, one = (sorted(map(tuple, QUERIES["resume_incremental"](spark, str(tmp_path / d)).collect())) for d in ("many", "one"))
     assert many == one and [r[0] for r in many] == [i for i in range(30) if i % 3]
+
+
+def test_events_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
+    rows = spark.range(120_000).selectExpr("id AS event_id", "id % 1000 AS user_id", "'view' AS event_type")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")  # more splits than cores, all but one of them empty
+    try:
+        cases = fixtures.load(spark, str(tmp_path), "eval_cases").select("seq", F.spark_partition_id().alias("task"))
+        sizes = [r["count"] for r in cases.groupBy("task").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(sizes) == 120_000 and max(sizes) <= 20_000
+
+
+def test_tasks_of_events_grow_in_number_and_not_in_size(spark, tmp_path):
+    spark.range(1_000_000).selectExpr("id AS event_id", "id % 1000 AS user_id", "'view' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    cases = fixtures.load(spark, str(tmp_path), "runs").select("seq", F.spark_partition_id().alias("task"))
+    assert max(r["count"] for r in cases.groupBy("task").count().collect()) <= 60_000
+
+
+def test_label_stats_make_the_events_once(spark, capsys):
+    out = "[TRACE] a | x=1 | y=2\n[TRACE] a | x=3\n[TRACE] b\n"
+    rows = spark.createDataFrame([(1, "p", out), (2, "p", "[TRACE] a | z=1"), (3, None, "[TRACE] a | z=1")], "seq bigint, problem_id string, stdout string")
+    stats = runs.trace_label_stats(runs.trace_events(runs.split_trace(rows)))
+    stats.explain()
+    assert capsys.readouterr().out.count("Scan ExistingRDD") == 1
+    assert sorted(map(str, map(tuple, stats.collect()))) == sorted(map(str, [("p", "a", 3, 3), ("p", "b", 1, 0), (None, "a", 1, 0)]))
+
+
+def test_quick_calls_cost_no_thread_each(spark):
+    jobs = spark.range(3000).selectExpr("cast(id AS string) AS request_id", "if(id % 50 = 7, 'bad', 'ok') AS code", "'cpp' AS language", "cast(id AS string) AS stdin").coalesce(1)
+
+    def run(job):
+        if job["code"] == "bad":
+            raise OSError("no connection")
+        return {"return_code": 0, "stdout": f"{job['stdin']} {threading.get_ident()}", "stderr": ""}
+
+    got = {r.request_id: r for r in exchange.run_batches(jobs, run, concurrency=4, wait=(0, 0)).collect()}
+    assert len(got) == 3000 and all(r.success == (int(i) % 50 != 7) and r.abandoned == 0 for i, r in got.items())
+    assert all(r.stdout.split()[0] == i for i, r in got.items() if r.success)
+
+
+def test_calls_at_once_are_bounded_and_a_late_one_is_tried_again(spark):
+    jobs = spark.range(24).selectExpr("cast(id AS string) AS request_id", "if(id = 5, 'late', 'ok') AS code", "'cpp' AS language", "'' AS stdin").coalesce(1)
+
+    def run(job, seen={}):
+        n = seen[job["request_id"]] = seen.get(job["request_id"], 0) + 1
+        if job["code"] == "late" and n == 1:
+            time.sleep(5)
+        now = seen["now"] = seen.get("now", 0) + 1
+        time.sleep(0.05)
+        seen["now"] -= 1
+        return {"return_code": 0, "stdout": f"{now}", "stderr": ""}
+
+    got = {r.request_id: r for r in exchange.run_batches(jobs, run, concurrency=3, wait=(0, 0), request_timeout=1).collect()}
+    assert all(r.success and int(r.stdout) <= 3 for r in got.values())
+    assert got["5"].abandoned == 1 and sum(r.abandoned for r in got.values()) == 1
