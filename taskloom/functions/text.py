@@ -42,6 +42,10 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WS_CHARS))
 
 
+def strip_left(col: Column) -> Column:
+    return F.ltrim(col, F.lit(WS_CHARS))
+
+
 def is_blank(col: Column) -> Column:
     """Null, empty or white space only."""
     return ~F.coalesce(col.rlike(rf"(?U)[^{WS}]"), F.lit(False))

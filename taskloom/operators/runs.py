@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskloom.functions.text import computed_once, is_blank, lines, strip, text_or_empty
+from taskloom.functions.text import computed_once, is_blank, lines, strip, strip_left, text_or_empty
 
 MARK = "[TRACE]"
 MAX_TRACE_LINES = 20
@@ -20,7 +20,7 @@ def golden_outputs(runs: DataFrame) -> DataFrame:
 
 
 def _is_trace(line: Column) -> Column:
-    return F.startswith(strip(line), F.lit(MARK))
+    return F.startswith(strip_left(line), F.lit(MARK))
 
 
 def split_trace(runs: DataFrame, col: str = "stdout") -> DataFrame:
@@ -70,7 +70,7 @@ def trace_events(runs: DataFrame) -> DataFrame:
     The last of a repeated key wins.
     """
     rows = runs.select("seq", "problem_id", F.posexplode("traces").alias("line_no", "line"))
-    body = strip(F.substring(F.col("line"), len(MARK) + 1, 2_147_483_647))
+    body = strip(F.substring(F.col("line"), len(MARK) + 1, 2_147_483_647))  # of any line, stripped or not
     pair = lambda p: F.struct(
         strip(F.substring_index(p, "=", 1)).alias("key"),
         strip(F.substring(p, F.locate("=", p) + 1, F.length(p))).alias("value"),
@@ -106,12 +106,18 @@ def trace_key_stats(events: DataFrame) -> DataFrame:
 
 
 def trace_label_stats(events: DataFrame) -> DataFrame:
-    """Per problem and label: events and distinct keys, pre-grouped by key."""
+    """Per problem and label: events and distinct keys, pre-grouped by key; the events are made once.
+
+    Rows without a problem count no keys.
+    """
     pair = ["problem_id", "label"]
-    keys = events.select(*pair, F.inline("pairs")).groupBy(*pair, "key").agg(F.count(F.lit(1)))
-    distinct = keys.groupBy(*pair).agg(F.count(F.lit(1)).alias("distinct_keys"))
-    counted = events.groupBy(*pair).agg(F.count(F.lit(1)).alias("events"))
-    return counted.join(distinct, pair, "left").withColumn("distinct_keys", F.coalesce("distinct_keys", F.lit(0)))
+    event = F.array(F.lit(None).cast("string"))  # a null key, which no pair has, stands for the event itself
+    keys = F.concat(event, F.transform("pairs", lambda p: p["key"]))
+    counted = events.select(*pair, F.explode(keys).alias("key")).groupBy(*pair, "key").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy(*pair).agg(
+        F.sum(F.when(F.col("key").isNull(), F.col("_n"))).alias("events"),
+        F.count(F.when(F.col("problem_id").isNotNull(), F.col("key"))).alias("distinct_keys"),
+    )
 
 
 def trace_budget(runs: DataFrame, limit: int = MAX_TRACE_LINES) -> DataFrame:
