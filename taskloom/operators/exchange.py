@@ -7,12 +7,10 @@ id before anything joins them back, so a retried task or a restarted job asks
 only for what is missing.
 """
 
-import queue
 import random
 import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,33 +152,74 @@ def infer_batches(
 
 # The row of a job that never succeeded.
 _FAILED = {"return_code": -1, "stdout": "", "stderr": "max retries exceeded"}
+#: Jobs that a task gathers at least before it waits for all of them.
+_CALLS = 1024
 
 
-class _Helper:
-    """A thread that makes one call at a time for another one, which may give up waiting; it ends with the worker."""
+def _answers(
+    todo: list[dict], run: Callable[[dict], dict], max_attempts: int, concurrency: int, wait: tuple[float, float], request_timeout: float
+) -> list[tuple[dict, int]]:
+    """The answer and the number of abandoned calls of each job.
 
-    def __init__(self):
-        self.todo: queue.SimpleQueue = queue.SimpleQueue()
-        self.answer: queue.SimpleQueue = queue.SimpleQueue()
-        threading.Thread(target=self._serve, daemon=True).start()
-
-    def _serve(self) -> None:
-        while (item := self.todo.get()) is not None:
-            call, job = item
+    Threads take one job after the other, so a quick call costs no hand-over. This one only looks for calls that
+    take too long: it abandons them, and another thread goes on in place of theirs, which ends if its call comes back.
+    """
+    out: list[tuple[dict, int]] = [(_FAILED, 0)] * len(todo)
+    numbers, lock, ready = iter(range(len(todo))), threading.Lock(), threading.Event()
+    calls: dict[object, tuple[float, int, int, int]] = {}  # by thread: start, job, attempt, calls of it that were abandoned
+    errors, settled = [], 0
+
+    def settle(i: int, answer: dict, abandoned: int) -> None:
+        nonlocal settled
+        out[i] = (answer, abandoned)
+        settled += 1
+        if settled == len(todo):
+            ready.set()
+
+    def serve(i: int | None, attempt: int = 0, abandoned: int = 0) -> None:
+        me = object()
+        while i is not None:
+            if attempt:
+                time.sleep(random.uniform(*wait))
+            with lock:
+                calls[me] = (time.monotonic(), i, attempt, abandoned)
+            answer, failed = None, False
             try:
-                self.answer.put((call(job), None))
-            except BaseException as e:
-                self.answer.put((None, e))
-
-    def result(self, call: Callable[[dict], dict], job: dict, seconds: float) -> dict:
-        self.todo.put((call, job))
-        try:
-            found, error = self.answer.get(timeout=seconds)
-        except queue.Empty:
-            raise TimeoutError(f"no answer within {seconds} s") from None
-        if error is not None:
-            raise error
-        return found
+                answer = run(todo[i])
+            except Exception:  # the runner is foreign code: any error means "try again"
+                failed = True
+            except BaseException as e:  # but for one that ends the task
+                errors.append(e)
+                ready.set()
+                return
+            attempt += 1
+            with lock:
+                if calls.pop(me, None) is None:
+                    return
+                if failed and attempt < max_attempts:
+                    continue
+                settle(i, _FAILED if failed else answer, abandoned)
+            i, attempt, abandoned = next(numbers, None), 0, 0
+
+    def start(*job) -> None:
+        threading.Thread(target=serve, args=job, daemon=True).start()
+
+    for _ in range(min(concurrency, len(todo))):
+        if (i := next(numbers, None)) is not None:
+            start(i)
+    while todo and not ready.wait(min(request_timeout / 10, 0.1)):
+        with lock:
+            now = time.monotonic()
+            late = [(me, call) for me, call in calls.items() if now - call[0] >= request_timeout]
+            for me, (_, i, attempt, abandoned) in late:
+                del calls[me]
+                if attempt + 1 == max_attempts:
+                    settle(i, _FAILED, abandoned + 1)
+        for _, (_, i, attempt, abandoned) in late:
+            start(*((i, attempt + 1, abandoned + 1) if attempt + 1 < max_attempts else (next(numbers, None),)))
+    if errors:
+        raise errors[0]
+    return out
 
 
 def run_batches(
@@ -202,45 +241,19 @@ def run_batches(
     ``concurrency`` bounds the calls that a task waits for.
     """
 
-    def attempt(job: dict, idle: queue.SimpleQueue) -> tuple[dict, int]:
-        abandoned = 0
-        for i in range(max_attempts):
-            try:
-                helper = idle.get_nowait()
-            except queue.Empty:
-                helper = _Helper()
-            start = time.monotonic()
-            try:
-                return helper.result(run, job, request_timeout), abandoned
-            except Exception:  # the runner is foreign code: any error means "try again"
-                if time.monotonic() - start >= request_timeout:
-                    abandoned += 1
-                    helper.todo.put(None)  # it ends when the call comes back, if ever
-                    helper = None
-            finally:
-                if helper:
-                    idle.put(helper)
-            if i + 1 < max_attempts:
-                time.sleep(random.uniform(*wait))
-        return _FAILED, abandoned
-
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idle: queue.SimpleQueue = queue.SimpleQueue()
-        with ThreadPoolExecutor(concurrency) as pool:
-            for chunk in _chunks(frames, 4 * concurrency):
-                todo = [{**job, "run_timeout": run_timeout} for job in chunk.to_dict("records")]
-                done, abandoned = zip(*pool.map(attempt, todo, [idle] * len(todo)))
-                codes = [int(d.get("return_code", -1)) for d in done]
-                yield pd.DataFrame({
-                    "request_id": chunk["request_id"],
-                    "success": [c == 0 for c in codes],
-                    "return_code": codes,
-                    "stdout": [d.get("stdout") or "" for d in done],
-                    "stderr": [d.get("stderr") or "" for d in done],
-                    "abandoned": abandoned,
-                })
-        while not idle.empty():
-            idle.get().todo.put(None)
+        for chunk in _chunks(frames, max(4 * concurrency, _CALLS)):
+            todo = [{**job, "run_timeout": run_timeout} for job in chunk.to_dict("records")]
+            done, abandoned = zip(*_answers(todo, run, max_attempts, concurrency, wait, request_timeout))
+            codes = [int(d.get("return_code", -1)) for d in done]
+            yield pd.DataFrame({
+                "request_id": chunk["request_id"],
+                "success": [c == 0 for c in codes],
+                "return_code": codes,
+                "stdout": [d.get("stdout") or "" for d in done],
+                "stderr": [d.get("stderr") or "" for d in done],
+                "abandoned": abandoned,
+            })
 
     return jobs.select("request_id", "code", "language", "stdin").mapInPandas(work, RUNS)
 
