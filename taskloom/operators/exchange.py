@@ -325,8 +325,8 @@ def exchange_through(
     the answers of its finished waves, and a restart asks only for the rest.
     Requests and answers lie by bucket, so all waves together read each of them
     once. Inside a wave the calls go to ``parallelism`` tasks (default: the shuffle
-    partitions); a given number is not coalesced by size, as a call's cost is not
-    its bytes. Run it with speculation off.
+    partitions, or as many as read the wave's files, if those are enough for all cores of a first run);
+    a given number is not coalesced by size, as a call's cost is not its bytes. Run it with speculation off.
 
     ``reqs`` is written by bucket first, unless it already lies by a column ``bucket``
     of as many buckets as the store has (``by_bucket``): ``dealt`` says so.
@@ -339,25 +339,40 @@ def exchange_through(
         laid = by_bucket(reqs.drop("bucket"), store.buckets)
         laid.write.partitionBy("bucket").parquet(place)
         reqs = spark.read.schema(laid.schema).parquet(place)
-    waves = min(store.buckets, waves or max(1, -(-reqs.count() // wave_rows)))
+    named = reqs.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    waves, once = min(store.buckets, waves or max(1, -(-(named[0] or 0) // wave_rows))), named[1] == 1
+    # A first run over many files sends them as they lie: nothing is answered yet, and each file is a task of its own.
+    as_laid = once and parallelism is None and not store.files() and len(reqs.inputFiles()) >= waves * spark.sparkContext.defaultParallelism
     edges = [store.buckets * i // waves for i in range(waves + 1)]
     for first, last in zip(edges, edges[1:]):
         if first < last:
-            store.append(answer(wave_of(reqs, store, first, last - 1).repartition(n, "request_id")))
+            laid = reqs.where(F.col("bucket").between(first, last - 1)).drop("bucket")
+            store.append(answer(laid if as_laid else wave_of(reqs, store, first, last - 1, n, once)))
     if store.files() > bucket_files * store.buckets:
         store.compact()
     return store.read().drop("bucket")
 
 
+def with_bucket(reqs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    return reqs.withColumn("bucket", bucket_of(F.col("request_id"), buckets))
+
+
 def by_bucket(reqs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Requests dealt to the tasks by bucket, for a table that waves read one part of."""
-    return reqs.withColumn("bucket", bucket_of(F.col("request_id"), buckets)).hint("rebalance", "bucket")
+    return with_bucket(reqs, buckets).hint("rebalance", "bucket")
 
 
-def wave_of(reqs: DataFrame, store: ResponseStore, first: int, last: int) -> DataFrame:
-    """The requests of some buckets that have no answer yet, each once."""
-    asked = reqs.where(F.col("bucket").between(first, last)).dropDuplicates(["request_id"])
-    return resume_antijoin(asked, store.read(first, last), "request_id").drop("bucket")
+def wave_of(reqs: DataFrame, store: ResponseStore, first: int, last: int, tasks: int | None = None, once: bool = False) -> DataFrame:
+    """The requests of some buckets that have no answer yet, each once, dealt to a number of tasks if one is given.
+
+    ``once`` says that no id occurs twice: the prompts are then moved once, to the tasks that send them. Otherwise
+    copies are left out before they move, as a single id may have most of the rows.
+    """
+    asked, done = reqs.where(F.col("bucket").between(first, last)).drop("bucket"), store.read(first, last)
+    if once and tasks:
+        return resume_antijoin(asked.repartition(tasks, "request_id"), done, "request_id")
+    todo = resume_antijoin(asked.dropDuplicates(["request_id"]), done, "request_id")
+    return todo.repartition(tasks, "request_id") if tasks else todo
 
 
 def attach_responses(reqs: DataFrame, responses: DataFrame, out: str) -> DataFrame:

@@ -12,7 +12,7 @@ import hashlib
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.functions.hashing import sha_id
@@ -47,10 +47,23 @@ class Stages:
         if get_text(self.spark, mark) != settings:
             delete(self.spark, mark)
             out = df.write.mode("overwrite")
-            (out.partitionBy(by) if by else out).parquet(path)
+            if by:
+                self._laid(out.partitionBy(by), path)
+            else:
+                out.parquet(path)
             put_text(self.spark, mark, settings)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _laid(self, out: DataFrameWriter, path: str) -> None:
+        """Write a few folders side by side: rows are not sorted by folder first, and neighbours stay so, which compresses."""
+        files, conf = "spark.sql.maxConcurrentOutputFileWriters", self.spark.conf
+        before = conf.get(files)
+        conf.set(files, str(4 * exchange.BUCKETS))
+        try:
+            out.parquet(path)
+        finally:
+            conf.set(files, before)
+
     def finished(self) -> list[str]:
         return names_in(self.spark, f"{self.folder}/_finished")
 
@@ -77,8 +90,8 @@ def ask(
 ) -> DataFrame:
     """Render, store, send, keep and attach: the core of every model job.
 
-    The rendered requests are stored first, so that the rows behind them are
-    computed once. Rows with equal ``key`` and prompt share one answer and stay
+    The rows are stored first with their request ids, so that what made them runs
+    once; the prompt, which repeats their texts, is rendered again where it is sent. Rows with equal ``key`` and prompt share one answer and stay
     as many as they were. Rows that the length gate holds back get ``''`` and
     leave nothing in the response table.
     """
@@ -92,10 +105,10 @@ def ask(
     run = _stages(work, rows)
     buckets = exchange.ResponseStore(run.spark, f"{run.work}/{stage}", buckets=waves or exchange.BUCKETS).buckets
     settings = f"{stage}|{exchange.settings_text(stage)}|{','.join(key)}|{buckets}|{hashlib.md5((template or s.template).encode()).hexdigest()}"
-    reqs = exchange.by_bucket(reqs.select(*rows.columns, "request_id", "prompt", "sendable"), buckets)
+    reqs = exchange.with_bucket(reqs.select(*rows.columns, "request_id", "sendable"), buckets)
     reqs = run.stored(reqs, stage, settings, "bucket")
     table = exchange.exchange_through(
-        reqs.where("sendable").select("request_id", "prompt", "bucket"), f"{run.work}/{stage}",
+        reqs.where("sendable").select("request_id", prompt.alias("prompt"), "bucket"), f"{run.work}/{stage}",
         lambda todo: exchange.infer_batches(todo, complete, s.batch_size), waves=waves, dealt=buckets,
     )
     answered = exchange.attach_responses(reqs.select(*rows.columns, "request_id", "sendable"), table, out)
@@ -184,7 +197,7 @@ def _run_through(jobs: DataFrame, run: Run, work: str | Stages, name: str) -> Da
 
     stages = _stages(work, jobs)
     buckets = exchange.ResponseStore(stages.spark, f"{stages.work}/{name}", exchange.RUNS).buckets
-    jobs = stages.stored(exchange.by_bucket(jobs, buckets), name, str(buckets), "bucket")
+    jobs = stages.stored(exchange.with_bucket(jobs, buckets), name, str(buckets), "bucket")
     sent = jobs.select("request_id", "code", "language", "stdin", "bucket")
     table = exchange.exchange_through(sent, f"{stages.work}/{name}", answer, exchange.RUNS, dealt=buckets)
     return jobs.drop("stdin", "bucket").join(table.select("request_id", "success", "return_code", "stdout"), "request_id")
