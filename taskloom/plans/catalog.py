@@ -440,7 +440,9 @@ def _by_length(prompts: list[str]) -> list[str]:
 def intake_two_sinks(x: Inputs) -> DataFrame:
     """The streaming intake with both sinks, over four micro-batches that are committed one by one."""
     source, out = x.scratch("corpus-files"), x.scratch("intake")
-    x.corpus_raw.repartition(8, "doc_id").write.parquet(source)
+    # Files of bounded size, so that the tasks of a batch are even and grow in number with the input.
+    width = max(8, x.corpus_raw.rdd.getNumPartitions())
+    x.corpus_raw.repartition(width, "doc_id").write.option("maxRecordsPerFile", 5000).parquet(source)
     n = len(x.spark.read.parquet(source).inputFiles())
     stream = intake.corpus_stream(x.spark, source, x.corpus_raw.schema, "parquet", files_per_batch=-(-n // 4))
     intake.intake(stream, out, x.scratch("intake-checkpoint"), "doc_id", _by_length).awaitTermination()
