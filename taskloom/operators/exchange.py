@@ -370,7 +370,9 @@ def wave_of(reqs: DataFrame, store: ResponseStore, first: int, last: int, tasks:
     """
     asked, done = reqs.where(F.col("bucket").between(first, last)).drop("bucket"), store.read(first, last)
     if once and tasks:
-        return resume_antijoin(asked.repartition(tasks, "request_id"), done, "request_id")
+        # Not an anti-join, which the optimizer moves below the repartition: that would be a second move.
+        known = done.select("request_id", F.lit(True).alias("_known"))
+        return asked.repartition(tasks, "request_id").join(known, "request_id", "left").where(F.col("_known").isNull()).drop("_known")
     todo = resume_antijoin(asked.dropDuplicates(["request_id"]), done, "request_id")
     return todo.repartition(tasks, "request_id") if tasks else todo
 
