@@ -31,8 +31,10 @@ from pyspark.sql import types as T
 from taskloom.llm._text import small_batches, slices
 
 WINDOW_TOKENS = 4 << 20
-#: Entries of the word memo of a Python worker; it starts anew when full.
-MEMO_WORDS = 1_000_000
+#: Entries of the word memo; it starts anew when full, and with each task, as Python workers outlive their tasks.
+MEMO_WORDS = 200_000
+#: Bytes of text whose words are lists at one time; such lists take several times the text.
+ENCODE_BYTES = 1 << 20
 
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
 
@@ -65,9 +67,10 @@ class WordTokenizer:
         suffix = getattr(self.whole.model, "end_of_word_suffix", None)
         self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.memo_words = memo_words
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Empty the memo."""
         self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, "<u4"), 0
@@ -143,8 +146,13 @@ class WordTokenizer:
         self._store(self._numbers(made, len(made)), ids, np.diff(ends[1::2], prepend=0))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        piece = np.cumsum([len(t) for t in texts]) // ENCODE_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)]
+        return [ids for low, high in zip(edges, edges[1:]) for ids in self._encode(texts[low:high])]
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.number) > self.memo_words:
-            self._clear()
+            self.forget()
         # Small letters share entries; special tokens are only such as they are written.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         known, counts = len(self.number), np.fromiter(map(len, split), np.int64, len(split))
@@ -157,7 +165,7 @@ class WordTokenizer:
 
 
 def _shared_tokenizer(definition: str) -> WordTokenizer:
-    """One tokenizer with its memo per Python worker, kept from task to task."""
+    """One tokenizer per Python worker, kept from task to task."""
     held = sys.modules.setdefault("_word_tokenizers", types.ModuleType("_word_tokenizers"))
     if getattr(held, "definition", None) != definition:
         held.definition, held.tokenizer = definition, WordTokenizer(definition)
@@ -249,5 +257,6 @@ def pack_documents(docs: DataFrame, definition: str, end_id: int = 1, capacity:
                     yield from batches_of(made, kind)
         if held:
             yield from batches_of(close(held, True, base)[0], kind)
+        tokenizer.forget()
 
     return rows.mapInArrow(run, out)

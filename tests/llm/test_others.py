@@ -78,6 +78,31 @@ def test_word_tokenizer_equals_the_whole_one():
         assert list(words.encode([text.encode()])[0]) == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_word_memo_is_bounded_and_ends_with_the_task(spark):
+    import sys
+
+    import pyarrow as pa
+
+    words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(5)) for i in range(600_000)]
+    texts = [" ".join(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+    tokenizer = packing.WordTokenizer(tokenizer_definition())
+    found = tokenizer.encode([t.encode() for t in texts])
+    assert len(tokenizer.number) < 400_000  # a full memo and the words of one piece
+    assert len(found) == len(texts)
+    for i in (0, 11, 29):
+        assert list(found[i]) == tokenizer.whole.encode(texts[i], add_special_tokens=False).ids
+
+    def held(batches):  # runs in the workers that packed before
+        tokenizers = [m.tokenizer for m in [sys.modules.get("_word_tokenizers")] if m]
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(t.number) for t in tokenizers], pa.int64())], ["n"])
+
+    packing.pack_documents(table(spark, texts[:4]), tokenizer_definition()).write.format("noop").mode("overwrite").save()
+    found = spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()
+    assert found and all(r["n"] <= 1 for r in found)
+
+
 @pytest.mark.parametrize("window", [3000, 1 << 22])
 def test_packing_round_trip(spark, window):
     from tokenizers import Tokenizer
