@@ -164,6 +164,14 @@ def _masks(bits: int, threshold: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for d in range(threshold + 1) for c in combinations(range(bits), d)], np.uint64)
 
 
+def probe_counts(units: np.ndarray, groups: list[list[int]], radius: int) -> np.ndarray:
+    """Number of probes of each fingerprint."""
+    out = np.zeros(len(units), np.int64)
+    for i, g in enumerate(groups):
+        out += np.cumsum([0, *(comb(len(g), d) for d in range(radius + 1))])[units[:, i]]
+    return out
+
+
 def part_count(n: int, radius: int) -> int:
     """Number of parts with least expected cost for n even fingerprints."""
 

@@ -14,6 +14,10 @@ first groups. Probes then only pass pairs of two groups; in a crowded bucket the
 its leader's group stand apart, and probes of the same group never meet them. A
 thousand copies thus cost some thousand comparisons, not a million.
 
+The number of probes of a class rises with the number of classes, so they are not made
+all at once: a search takes one fingerprint and a slice of the classes, and its shuffle
+is gone before the next.
+
 Defined cases: words as in SimHash; fewer words than a shingle form one shingle; null
 and empty texts share the one shingle zero; shingles and sets are named by 64-bit
 hashes; of a group the row with the least id stays, null ids last, and of rows with
@@ -21,6 +25,8 @@ equal ids the text with the least hash; of rows equal in id and text one stays;
 table stays empty; other columns are carried along; texts are read whole.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,12 +36,16 @@ from pyspark.sql import types as T
 
 from taskloom.llm._graph import components
 from taskloom.llm._text import free_name, hash64, slices, small_batches, window_hash
-from taskloom.llm.simhash import _masks, allocate, ball_counts, bit_groups, part_count, part_values
-from taskloom.session import written
+from taskloom.llm.simhash import _masks, allocate, ball_counts, bit_groups, part_count, part_values, probe_counts
+from taskloom.session import shuffle_width, written
 
 WORDS, RADIUS = 4, 9
 #: Buckets of more rows set their leader's group apart. That only saves comparisons of one group with itself.
 CROWDED = 64
+#: Of a larger index the buckets have to be larger, so that the list of them (16 bytes each) stays within this length.
+LISTED = 1 << 17
+#: Probes of one search, for each class, some 20 bytes each in a shuffle; smaller searches than the latter are made at once.
+ROUND_PROBES, SMALL_ROUND = 80, 1 << 22
 
 
 def shingles(raw: bytes, width: int = 5) -> np.ndarray:
@@ -75,7 +85,7 @@ def _same(x: str, y: str) -> Column:
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets agree in 0.8 of their union. Sets of ``b`` travel to ``a``, which may be in many pairs."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select("first.id", "first.h", "sig")
-    asked = written(asked, "similar-asked")
+    asked = written(asked, "similar-asked", free=True)
 
     def run(batches):
         for part, texts in slices(batches, "body"):
@@ -97,39 +107,76 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int)
 
     left, right = (sets.select(F.col("sig").alias(k), F.col("own").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     met = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return written(met.mapInArrow(compare, "a long, b long"), "similar-pairs")
+    return written(met.mapInArrow(compare, "a long, b long"), "similar-pairs", free=True)
 
 
 def _keys(values: np.ndarray, word: int, part: int) -> np.ndarray:
     return (values | np.uint64(word) << np.uint64(56) | np.uint64(part) << np.uint64(48)).view(np.int64)
 
 
+def _split(keys: np.ndarray, roots: np.ndarray, listed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the rows whose bucket is listed: rows of the group that stands apart there, and rows of other groups."""
+    held, owns = listed
+    if not len(held):
+        return np.zeros((2, len(keys)), bool)
+    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    hit, same = held[at] == keys, owns[at] == roots
+    return hit & same, hit & ~same
+
+
+def rounds(counts: list[int], most: int) -> list[tuple[list[int], int, int]]:
+    """(fingerprints, slice, number of slices): searches of some ``most`` probes that make up all."""
+    if sum(counts) <= most:
+        return [(list(range(len(counts))), 0, 1)]
+    slots = [(w, max(1, -(-n // most))) for w, n in enumerate(counts)]
+    return [([w], part, of) for w, of in slots for part in range(of)]
+
+
 def links(classes: DataFrame, rows: DataFrame, radius: int = RADIUS, words: int = WORDS, width: int = 5) -> DataFrame:
     """(a, b): verified pairs that connect the classes (sig, n, first, f0, f1, …) as all found pairs do. ``classes`` is a written table."""
     prints = [f"f{w}" for w in range(words)]
-    parts = part_count(classes.count(), radius)
+    n = classes.count()
+    parts = part_count(n, radius)
     plans = []
     for f in prints:
         one = classes.select(F.col(f).alias("fp"))
         groups = bit_groups(one, parts)
         plans.append((groups, ball_counts(one, groups, radius)))
-
-    def stored(batches):  # batches: sig, another column, fingerprints
-        for b in batches:
-            for w, (groups, _) in enumerate(plans):
-                fps = b.column(2 + w).to_numpy(zero_copy_only=False).astype(np.int64)
-                for i, g in enumerate(groups):
-                    keys = _keys(part_values(fps.view(np.uint64), g), w, i)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0), b.column(1), pa.array(fps)], ["key", "sig", "other", "fp"])
-
-    def probes(batches):
+    deals = [groups for groups, _ in plans]
+
+    def stored(ws, listed=((), ())):  # batches: sig, another column, fingerprints
+        def run(batches):
+            for b in batches:
+                other = b.column(1).to_numpy(zero_copy_only=False)
+                for c, w in enumerate(ws):
+                    fps = b.column(2 + c).to_numpy(zero_copy_only=False).astype(np.int64)
+                    for i, g in enumerate(deals[w]):
+                        keys = _keys(part_values(fps.view(np.uint64), g), w, i)
+                        keys = np.where(_split(keys, other, listed)[0], ~keys, keys)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0), b.column(1), pa.array(fps)], ["key", "sig", "other", "fp"])
+
+        return run
+
+    def allocated(batches):  # batches: sig, root, fingerprints
         for b in batches:
             for low in range(0, b.num_rows, 2048):
-                sig, root = (b.column(c).slice(low, 2048).to_numpy(zero_copy_only=False) for c in (0, 1))
+                part = b.slice(low, 2048)
+                units, counts = [], []
                 for w, (groups, balls) in enumerate(plans):
-                    fps = b.column(2 + w).slice(low, 2048).to_numpy(zero_copy_only=False).astype(np.int64)
-                    units = allocate(fps.view(np.uint64), groups, balls, radius)
-                    for i, g in enumerate(groups):
+                    fps = part.column(2 + w).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    found = allocate(fps, groups, balls, radius)
+                    units.append(pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * parts, pa.array(found.ravel().astype(np.int8))))
+                    counts.append(pa.array(probe_counts(found, groups, radius)))
+                yield pa.RecordBatch.from_arrays([*part.columns, *units, *counts], ["sig", "root", *prints, *shares, *amounts])
+
+    def probes(ws, listed):  # batches: sig, root, fingerprints, units
+        def run(batches):
+            for b in batches:
+                sig, root = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                for c, w in enumerate(ws):
+                    fps = b.column(2 + c).to_numpy(zero_copy_only=False).astype(np.int64)
+                    units = b.column(2 + len(ws) + c).flatten().to_numpy(zero_copy_only=False).reshape(-1, parts)
+                    for i, g in enumerate(deals[w]):
                         values = part_values(fps.view(np.uint64), g)
                         for u in range(1, radius + 2):
                             at, masks = np.flatnonzero(units[:, i] == u), _masks(len(g), u - 1)
@@ -137,32 +184,55 @@ def links(classes: DataFrame, rows: DataFrame, radius: int = RADIUS, words: int
                             for first in range(0, len(at), step):
                                 some = at[first : first + step]
                                 keys = _keys((values[some, None] ^ masks[None, :]).ravel(), w, i)
-                                columns = [keys, *(np.repeat(c[some], len(masks)) for c in (sig, root, fps))]
-                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "q", "rq", "fq"])
+                                columns = [keys, *(np.repeat(x[some], len(masks)) for x in (sig, root, fps))]
+                                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "q", "rq", "fq"])
+                                also = _split(keys, columns[2], listed)[1]
+                                if also.any():
+                                    columns = [~keys[also], *(x[also] for x in columns[1:])]
+                                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "q", "rq", "fq"])
+
+        return run
 
     # Leaders: the class of most documents, and one by hash, of each bucket.
-    index = written(classes.select("sig", "n", *prints).mapInArrow(stored, "key long, sig long, other long, fp long"), "similar-index")
+    index = classes.select("sig", "n", *prints).mapInArrow(stored(range(words)), "key long, sig long, other long, fp long")
+    index = written(index, "similar-index")
     lead = lambda rank: F.max(F.struct(rank.alias("rank"), "sig", "fp"))
     leads = index.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.array(lead(F.col("other")), lead(F.xxhash64("sig"))).alias("leads"))
-    leads = written(leads.where("k > 1"), "similar-leads")
+    leads = written(leads.where("k > 1"), "similar-leads", free=True)
     met = index.join(leads.drop("k"), "key").select("sig", "fp", F.posexplode("leads").alias("way", "lead"))
     met = met.where((F.col("sig") != F.col("lead.sig")) & _near(F.col("fp"), F.col("lead.fp"), radius))
     stars = met.groupBy("sig", "way").agg(F.max(F.struct("lead.rank", "lead.sig"))["sig"].alias("a"))
-    stars = _verified(written(stars.select("a", F.col("sig").alias("b")).distinct(), "similar-stars"), classes, rows, width)
+    stars = stars.select("a", F.col("sig").alias("b")).distinct()
+    stars = _verified(written(stars, "similar-stars", free=True), classes, rows, width)
 
-    # First groups, and pairs of two of them.
-    roots = written(components(stars, "a", "b"), "similar-roots")
+    # First groups, and the searches of each class.
+    roots = written(components(stars, "a", "b"), "similar-roots", free=True)
+    shares, amounts = [f"u{w}" for w in range(words)], [f"p{w}" for w in range(words)]
     named = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), *prints)
-    named = written(named, "similar-named")
-    crowded = leads.where(F.col("k") > CROWDED).select("key", F.col("leads")[0]["sig"].alias("sig")).join(named.select("sig", "root"), "sig")
-    crowded = written(crowded.select("key", F.col("root").alias("own")), "similar-crowded")
-    index = named.mapInArrow(stored, "key long, sig long, root long, fp long").join(crowded, "key", "left")
-    index = index.select(F.when(F.col("root") == F.col("own"), F.bitwise_not("key")).otherwise(F.col("key")).alias("key"), "sig", "root", "fp")
-    asked = named.mapInArrow(probes, "key long, q long, rq long, fq long").join(crowded, "key", "left")
-    both = F.when(F.col("rq") != F.col("own"), F.array("key", F.bitwise_not("key"))).otherwise(F.array("key"))
-    asked = asked.select(F.explode(both).alias("key"), "q", "rq", "fq")
-    pairs = asked.join(index, "key").where((F.col("rq") != F.col("root")) & (F.col("q") < F.col("sig")) & _near(F.col("fq"), F.col("fp"), radius))
-    pairs = written(pairs.select(F.col("q").alias("a"), F.col("sig").alias("b")).distinct(), "similar-candidates")
+    named = named.repartition(shuffle_width(classes.sparkSession), "sig")
+    kinds = [*(f"{c} long" for c in ("sig", "root", *prints)), *(f"{c} array<byte>" for c in shares), *(f"{c} long" for c in amounts)]
+    named = named.mapInArrow(allocated, ", ".join(kinds))
+    named = written(named, "similar-named", free=True)
+    counts = [c or 0 for c in named.agg(*(F.sum(c) for c in amounts)).first()]
+
+    # Leaders that have a group set it apart in their bucket, in LISTED buckets at most.
+    least = max(CROWDED, -(-n * words * parts // LISTED))
+    crowded = leads.where(F.col("k") > least).select("key", F.col("leads")[0]["sig"].alias("node")).join(roots, "node")
+    crowded = crowded.select("key", F.col("root").alias("own")).toArrow().sort_by("key")
+    held, owns = (crowded.column(c).to_numpy() for c in ("key", "own"))
+
+    # Pairs of two groups. A search shuffles its own probes only, and they are gone before the next.
+    found = []
+    for ws, part, of in rounds(counts, max(ROUND_PROBES * n, SMALL_ROUND)):
+        mine = np.isin(held >> 56, ws)
+        listed = held[mine], owns[mine]
+        some_prints, some_shares = ([names[w] for w in ws] for names in (prints, shares))
+        index = named.select("sig", "root", *some_prints).mapInArrow(stored(ws, listed), "key long, sig long, root long, fp long")
+        asking = named.where(F.pmod(F.xxhash64("sig"), F.lit(of)) == part).select("sig", "root", *some_prints, *some_shares)
+        asked = asking.mapInArrow(probes(ws, listed), "key long, q long, rq long, fq long")
+        pairs = asked.join(index, "key").where((F.col("rq") != F.col("root")) & (F.col("q") < F.col("sig")) & _near(F.col("fq"), F.col("fp"), radius))
+        found.append(written(pairs.select(F.col("q").alias("a"), F.col("sig").alias("b")).distinct(), "similar-found", free=True))
+    pairs = written(reduce(DataFrame.unionByName, found).distinct(), "similar-candidates", free=True)
     return stars.unionByName(_verified(pairs, classes, rows, width))
 
 
@@ -183,13 +253,13 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, width: i
     first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "h")).alias("first")
     classes = prints.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), first, *(F.min(f"f{w}").alias(f"f{w}") for w in range(words)))
     # Small numbers in place of hashes: they travel in every probe, and shuffles compress them.
-    classes = written(classes.withColumn("sig", F.monotonically_increasing_id()), "similar-classes")
+    classes = written(classes.withColumn("sig", F.monotonically_increasing_id()), "similar-classes", free=True)
     roots = components(links(classes, rows, radius, words, width), "a", "b")
     member = classes.select("sig", "first").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    kept = written(member.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.h"), "similar-kept")
+    kept = written(member.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.h"), "similar-kept", free=True)
     # Rows that are equal in id and text are few as a rule; only they are shuffled whole.
     kept = kept.alias("k").join(prints.groupBy("id", "h").agg(F.count(F.lit(1)).alias("rows")).alias("p"), _same("k", "p")).select("k.id", "k.h", "p.rows")
-    kept = written(kept, "similar-kept-rows")
+    kept = written(kept, "similar-kept-rows", free=True)
     h = free_name(docs.columns, "h")
     named = docs.withColumn(h, F.xxhash64(body))
 

@@ -1,12 +1,16 @@
 """The pipeline's near-dedup: SimHash candidates with exact verification, held against all pairs."""
 
 import random
+import time
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taskloom.llm import similar
+from taskloom import session
+from taskloom.llm import simhash, similar
 
 
 def sets(text):
@@ -111,3 +115,82 @@ def test_similar_edges(spark):
     few = spark.createDataFrame([(1, long), (2, long + " end"), (3, None)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in similar.keep_one(few).collect()) == [1, 3]
     assert similar.keep_one(few.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == 2
+
+
+def shuffle_bytes(spark):
+    """Size of the shuffle files that this session holds."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in folders for f in Path(d.toString()).rglob("shuffle_*.data"))
+
+
+def settled(spark, most):
+    """The same, once files that are being removed are gone, or after some seconds."""
+    for _ in range(50):
+        if shuffle_bytes(spark) <= most:
+            break
+        time.sleep(0.1)
+    return shuffle_bytes(spark)
+
+
+def random_texts(n):
+    r = random.Random(5)
+    return [(i, " ".join(f"w{r.randrange(4000)}" for _ in range(30))) for i in range(n)]
+
+
+def test_probes_of_a_search_are_gone_before_the_next(spark, monkeypatch):
+    """All probes together make some megabytes; once a table is written, none of them is on disk."""
+    docs = spark.createDataFrame(random_texts(6000), "doc_id long, text string").repartition(4)
+    steps, write = {}, similar.written
+    spark._jvm.System.gc()
+    began = settled(spark, 0)
+
+    def noted(df, name, *a, **b):
+        out = write(df, name, *a, **b)
+        steps[name] = settled(spark, began + 3_000_000) - began
+        return out
+
+    monkeypatch.setattr(similar, "written", noted)
+    assert similar.keep_one(docs).count() == 6000
+    assert "similar-candidates" in steps and max(steps.values()) < 4_000_000, steps
+
+
+def test_many_searches_find_what_one_finds(spark, monkeypatch):
+    docs = spark.createDataFrame(near_copies() + [(10_000 + i, t) for i, t in random_texts(300)], "doc_id long, text string").repartition(3)
+    names = []
+    write = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name, *a, **b: names.append(name) or write(df, name, *a, **b))
+    kept_ids = lambda: sorted(r["doc_id"] for r in similar.keep_one(docs).collect())
+    one = kept_ids()
+    assert names.count("similar-found") == 1
+    names.clear()
+    monkeypatch.setattr(similar, "SMALL_ROUND", 0)
+    monkeypatch.setattr(similar, "ROUND_PROBES", 2)
+    monkeypatch.setattr(similar, "CROWDED", 0)
+    assert kept_ids() == one and names.count("similar-found") > 8
+    names.clear()
+    monkeypatch.setattr(similar, "ROUND_PROBES", 30)
+    monkeypatch.setattr(similar, "LISTED", 1)
+    assert kept_ids() == one and names.count("similar-found") == 4
+
+
+def test_rounds_make_up_all_probes():
+    assert similar.rounds([3, 4, 0], 7) == [([0, 1, 2], 0, 1)]
+    assert similar.rounds([3, 4, 0], 6) == [([0], 0, 1), ([1], 0, 1), ([2], 0, 1)]
+    assert similar.rounds([9, 5], 4) == [([0], 0, 3), ([0], 1, 3), ([0], 2, 3), ([1], 0, 2), ([1], 1, 2)]
+    r = np.random.default_rng(1)
+    groups = [list(range(16 * i, 16 * i + 16)) for i in range(4)]
+    units = r.integers(0, 5, (50, 4))
+    want = [sum(len(simhash._masks(16, u - 1)) for u in row if u) for row in units]
+    assert simhash.probe_counts(units, groups, 9).tolist() == want
+
+
+def test_written_frees_its_shuffle(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark._jvm.System.gc()
+    before, began = spark.conf.get(name), shuffle_bytes(spark)
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("x"))
+    found = session.written(rows.repartition(4, "x"), "freed", free=True)
+    assert settled(spark, began) <= began and found.count() == 200_000
+    assert spark.conf.get(name) == before
+    session.written(rows.repartition(4, "x"), "left")
+    assert shuffle_bytes(spark) > began
