@@ -369,11 +369,14 @@ def wave_of(reqs: DataFrame, store: ResponseStore, first: int, last: int, tasks:
     copies are left out before they move, as a single id may have most of the rows.
     """
     asked, done = reqs.where(F.col("bucket").between(first, last)).drop("bucket"), store.read(first, last)
-    if once and tasks and tasks >= shuffle_width(reqs.sparkSession):  # a join deals fewer parts than that anew
+    if once and tasks:
         # Not an anti-join, which the optimizer moves below the repartition: that would be a second move.
         known = done.select("request_id", F.lit(True).alias("_known"))
-        return asked.repartition(tasks, "request_id").join(known, "request_id", "left").where(F.col("_known").isNull()).drop("_known")
-    todo = resume_antijoin(asked if once else asked.dropDuplicates(["request_id"]), done, "request_id")
+        # A join deals fewer parts than the shuffle partitions anew, so it gets a multiple of the tasks.
+        parts = tasks * -(-shuffle_width(reqs.sparkSession) // tasks)
+        todo = asked.repartition(parts, "request_id").join(known, "request_id", "left").where(F.col("_known").isNull()).drop("_known")
+        return todo.coalesce(tasks) if tasks < parts else todo
+    todo = resume_antijoin(asked.dropDuplicates(["request_id"]), done, "request_id")
     return todo.repartition(tasks, "request_id") if tasks else todo
 
 
